@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import chat, mixing, simhash
+from recordloom.llm import chat, mixing, simhash, suffix_dedup
 from recordloom.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op8_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
