@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import chat, mixing, simhash, suffix_dedup
+from recordloom.llm import chat, decontam, mixing, simhash, suffix_dedup
 from recordloom.llm.common import table
 
 
+def op1_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.with_probe(table(spark, sf_dir, "conversations")))
 
