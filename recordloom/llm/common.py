@@ -115,3 +115,47 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
             tail = data[starts[i] + 64 : ends[i]].astype(np.uint64) + np.uint64(1)
             h[i] = h[i] * base + (tail * powers(0xD6E8FEB86659FD93, len(tail))).sum(dtype=np.uint64)
         return mix(h ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
+
+
+def sample_per_class(rows: DataFrame, label: str, cap: int, bound: int = 64) -> list:
+    """At most `cap` (doc_id, label) rows of each class, those whose id hashes least; thin rows only.
+
+    Ids that repeat count once, with their largest label. A label column with more than `bound` distinct values gives its
+    `bound` most frequent classes. What reaches the driver is bound * cap rows at most.
+    """
+    from pyspark.sql.window import Window
+
+    one = rows.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias(label))
+    classes = [r[0] for r in one.groupBy(label).count().orderBy(F.desc("count"), label).limit(bound).collect()]
+    ranked = one.where(F.col(label).isin(classes)).withColumn("_rank", F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")))
+    return ranked.where(F.col("_rank") <= cap).select("doc_id", label).orderBy(label, "_rank").collect()
+
+
+def sampled_documents(docs: DataFrame, picked: list, label: str) -> DataFrame:
+    """The documents of a bounded list of (doc_id, label) rows, joined by broadcasting the list; one row for each id."""
+    spark = docs.sparkSession
+    kind = f"_id {docs.schema['doc_id'].dataType.simpleString()}, {label} {'string' if not picked or isinstance(picked[0][1], str) else 'long'}"
+    ids = spark.createDataFrame([tuple(r) for r in picked], kind)
+    columns = [c for c in docs.columns if c != label]
+    return docs.select(*columns).join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).drop("_id").dropDuplicates(["doc_id"])
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
+def platt(x: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]:
+    """Slope and shift of the logistic curve that turns scores x into probabilities of y, by damped Newton steps."""
+    if not len(x) or y.min() == y.max():
+        return 1.0, 0.0
+    x = np.asarray(x, float)
+    mean, scale = x.mean(), x.std() + 1e-9
+    z = np.stack([(x - mean) / scale, np.ones(len(x))], axis=1)
+    w = np.zeros(2)
+    for _ in range(steps):
+        p = sigmoid(z @ w)
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.eye(2) * 1e-2, z.T @ (y - p) - 1e-2 * w)
+        w += step * min(1, 2 / (np.abs(step).max() + 1e-12))
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(w[0] / scale), float(w[1] - w[0] * mean / scale)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import chat, decontam, mixing, simhash, suffix_dedup
+from recordloom.llm import chat, decontam, langid, mixing, quality, simhash, suffix_dedup, toxicity
 from recordloom.llm.common import table
 
 
@@ -18,6 +18,18 @@ def op3_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.with_probe(table(spark, sf_dir, "conversations")))
 
 
+def op4_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_cnn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.detect(table(spark, sf_dir, "documents"))
+
+
 def op8_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
