@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import chat, decontam, langid, mixing, quality, simhash, suffix_dedup, toxicity
+from recordloom.llm import chat, chroma, decontam, langid, mixing, quality, simhash, suffix_dedup, tokens, toxicity
 from recordloom.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_edit_aware_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op3_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.with_probe(table(spark, sf_dir, "conversations")))
 
@@ -22,6 +26,10 @@ def op4_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chroma.align(chroma.recordings(table(spark, sf_dir, "embeddings")))
+
+
 def op6_cnn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
