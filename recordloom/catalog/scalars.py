@@ -7,17 +7,12 @@ from pyspark.sql import functions as F
 from recordloom.catalog import duck as D
 from recordloom.functions import text as X
 from recordloom.functions import validators as V
-from recordloom.operators import records as R
 from recordloom.plans import derive
 
 BILL = f"WITH {D.BILLS} "
 RECEIPT = f"WITH {D.RECEIPTS} "
 
 
-def _bills(**columns):
-    return lambda s, d: derive.bills(s, d).select("bill_idx", *[c.alias(n) for n, c in columns.items()])
-
-
 #: Captions and labels made of a customer's name and segment.
 RAW = "concat(' *', c_name, ': ', lower(c_mktsegment), ' no. ', c_custkey % 97, ' -')"
 RAW_SQL = "concat(' *', c_name, ': ', lower(c_mktsegment), ' no. ', c_custkey % 97, ' -')"
@@ -25,7 +20,7 @@ COVER = "concat('| ', c_mktsegment, ' 4500', c_custkey, ' Amount :- ', c_custkey
 
 
 def _customers(raw: str, **columns):
-    return lambda s, d: derive.table(s, d, "customer").selectExpr("c_custkey", f"{raw} AS raw").select("c_custkey", *[c.alias(n) for n, c in columns.items()])
+    return lambda s, d: derive.table(s, d, "customer").selectExpr("c_custkey", f"{raw} AS raw").select("c_custkey", *[c().alias(n) for n, c in columns.items()])
 
 
 def _customers_sql(raw: str, **columns: str) -> str:
@@ -60,12 +55,12 @@ QUERIES = {
         "regexp_full_match(text, '[0-9,]+(\\.[0-9]+)?[/\\-]*') OR regexp_full_match(text, '[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}') AS value_like FROM cells",
     ),
     "caption_clean": (
-        _customers(RAW, words=X.caption_words("raw"), key=X.caption_key("raw")),
+        _customers(RAW, words=lambda: X.caption_words("raw"), key=lambda: X.caption_key("raw")),
         _customers_sql(RAW_SQL, words="lower(array_to_string(list_filter(string_split_regex(trim(raw), '\\s+'), lambda t: len(regexp_replace(t, '[^\\p{L}\\p{N}]', '', 'g')) >= 2 AND len(regexp_replace(t, '[^\\p{L}\\p{N}]', '', 'g')) >= len(t) * 0.5), ' '))",
                        key="trim(left(trim(regexp_replace(lower(array_to_string(list_filter(string_split_regex(trim(raw), '\\s+'), lambda t: len(regexp_replace(t, '[^\\p{L}\\p{N}]', '', 'g')) >= 2 AND len(regexp_replace(t, '[^\\p{L}\\p{N}]', '', 'g')) >= len(t) * 0.6), ' ')), '[^a-z0-9]+', '_', 'g'), '_'), 30), '_')"),
     ),
     "field_keys": (
-        _customers(RAW, key=X.field_key("raw"), label=X.row_label("raw")),
+        _customers(RAW, key=lambda: X.field_key("raw"), label=lambda: X.row_label("raw")),
         _customers_sql(RAW_SQL, key="array_to_string(list_transform(list_filter(string_split_regex(regexp_replace(regexp_replace(regexp_replace(raw, '^[\\s*\\-.•]+', ''), '[\\s:*\\-.]+$', ''), '[^0-9A-Za-z_\\s]', ' ', 'g'), '\\s+'), lambda t: t <> ''), lambda t: concat(upper(left(t, 1)), lower(substr(t, 2)))), '_')", label="trim(regexp_replace(lower(raw), '[^a-z ]', ' ', 'g'))"),
     ),
     "report_header": (
@@ -73,11 +68,11 @@ QUERIES = {
         "SELECT c_custkey, concat(upper(left(c_mktsegment, 1)), lower(substr(c_mktsegment, 2)), ' No 3Rd O''Neil') AS header FROM customer",
     ),
     "cover_cleaners": (
-        _customers(COVER, **{n: f("raw") for n, f in X.COVER_CLEANERS.items()}),
+        _customers(COVER, **{n: (lambda f=f: f("raw")) for n, f in X.COVER_CLEANERS.items()}),
         _customers_sql(COVER, vendor_name=_EDGE, invoice_number=_EDGE, vendor_code=f"coalesce(nullif(regexp_extract(raw, '[0-9][0-9,]{{3,}}'), ''), {_EDGE})", po_number=f"coalesce(nullif(regexp_extract(raw, '[0-9][0-9,]{{3,}}'), ''), {_EDGE})", grn_srn_number=f"coalesce(nullif(regexp_extract(raw, '[0-9][0-9,]{{3,}}'), ''), {_EDGE})",
                        invoice_date=f"coalesce(nullif(regexp_extract(raw, '[0-9]{{1,2}}[./-][0-9]{{1,2}}[./-][0-9]{{2,4}}'), ''), {_EDGE})", penalty_amount=f"coalesce(replace(nullif(regexp_extract(raw, '(?i)amount[^0-9]{{0,6}}([0-9,]+\\s*/?-?)', 1), ''), ' ', ''), {_EDGE})", invoice_amount=f"coalesce(replace(nullif(regexp_extract(raw, '[0-9,]{{3,}}\\s*/?-?'), ''), ' ', ''), {_EDGE})"),
     ),
-    "barcode_code": (_customers(COVER, code=X.barcode("raw")), _customers_sql(COVER, code="coalesce(nullif(regexp_extract(upper(raw), '[A-Z0-9]{6,}'), ''), upper(raw))")),
+    "barcode_code": (_customers(COVER, code=lambda: X.barcode("raw")), _customers_sql(COVER, code="coalesce(nullif(regexp_extract(upper(raw), '[A-Z0-9]{6,}'), ''), upper(raw))")),
     "inline_pairs": (
         lambda s, d: derive.table(s, d, "customer").selectExpr("c_custkey", f"{RAW} AS raw").select("c_custkey", X.inline_pair("raw").alias("p")).where("p is not null").select("c_custkey", "p.label", "p.value"),
         _customers_sql(RAW_SQL, label="trim(regexp_extract(raw, '^([^:]{2,60}):[\\s\\-]*(\\S.*)$', 1))", value="trim(regexp_extract(raw, '^([^:]{2,60}):[\\s\\-]*(\\S.*)$', 2))") + " WHERE regexp_matches(raw, '^([^:]{2,60}):[\\s\\-]*(\\S.*)$')",
