@@ -47,6 +47,12 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("binary"), F.lit(b""))
 
 
+def with_text(rows: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
+    """The columns of `docs` from the packed column `row`, with another text and, if there is one, n_chars counted anew."""
+    new = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return rows.select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
+
+
 def fold(modulus: int, name: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo; a null id falls in fold 0."""
     return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")) % modulus, F.lit(0)).cast("int")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordloom.llm.common import ALNUM, LOWER, bounded_batches, buffers, text_bytes, word_hashes, word_spans
+from recordloom.llm.common import ALNUM, LOWER, bounded_batches, buffers, text_bytes, with_text, word_hashes, word_spans
 
 WINDOW, SAMPLE, BLOCK_BYTES = 10, 8, 16 << 20
 
@@ -290,8 +290,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     Each row is searched and cut where it stands. A document of which no word is left goes, if it had a passage;
     all others stay, and a null text stays null.
     """
-    columns = docs.columns
-    row = F.struct(*columns).alias("doc_id")
+    row = F.struct(*docs.columns).alias("doc_id")
     found = contamination(docs.select(row, "text"), benchmark, window).select(F.col("doc_id").alias("row"), "n_words", "n_hit", "spans")
     raw = F.encode(F.col("row.text"), "utf-8")
     ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))))
@@ -299,5 +298,4 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     pieces = F.transform(F.arrays_zip(ends.alias("a"), begins.alias("b")), lambda p: F.substring(raw, (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int")))
     text = F.when(F.size("spans") > 0, F.decode(F.array_join(F.transform(pieces, lambda p: F.decode(p, "utf-8")), "").cast("binary"), "utf-8")).otherwise(F.col("row.text"))
     left = found.where("n_hit = 0 or n_hit < n_words").select("row", text.alias("_text"))
-    out = left.select(*[F.col("_text").alias(c) if c == "text" else F.col(f"row.{c}").alias(c) for c in columns])
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
+    return with_text(left, docs, F.col("_text"))

@@ -140,12 +140,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0)
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with `copy` counting from 1; documents not taken go.
+    """The mix itself: each document as often as it is taken, with `copy` (instead of any column of that name) counting from 1.
 
+    Documents not taken go.
     Rows of one doc_id are told apart by their text; rows alike in both share their copies evenly enough, since
     such rows take neighbouring places in the rounding: they get the same number of copies, the least any of them got.
     """
     plan = mix(docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("doc_id"), "source", "text"), weights, cap)
     plan = plan.groupBy("doc_id", "source").agg(F.min("copies").alias("_copies")).select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.text_hash").alias("_hash"), F.col("source").alias("_source"), "_copies").where("_copies > 0")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")) & F.col("source").eqNullSafe(F.col("_source"))
-    return docs.join(plan, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_id", "_hash", "_source", "_copies")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", F.xxhash64("text").alias("hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")) & F.col("source").eqNullSafe(F.col("_source"))
+    taken = packed.join(plan, same).select("row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))
+    return taken.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "copy"], "copy")

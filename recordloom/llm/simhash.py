@@ -103,7 +103,8 @@ def keep_one(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """
     found = checkpointed(simhash_components(docs, words, radius))
     first = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id")
+    kept = packed.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     repeats = first.join(found.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1"), "_id", "left_semi").limit(1).count()
     nameless = found.where("doc_id is null").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeats or nameless else kept
+    return (kept.dropDuplicates(["doc_id"]) if repeats or nameless else kept).select("row.*")

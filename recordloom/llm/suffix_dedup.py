@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordloom.llm.common import bounded_batches, buffers, mix, text_bytes
+from recordloom.llm.common import bounded_batches, buffers, mix, text_bytes, with_text
 
 LENGTH, GRAM = 100, 20
 #: Window starts hashed at once, and bytes of stretches that a bin holds on average.
@@ -502,25 +502,21 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     A document of which nothing is left goes; one that was empty before stays, and a null text stays null.
     """
     columns = docs.columns
-    keys = keyed(docs)
+    keys = keyed(docs.select(F.struct(*columns).alias("row"), "doc_id", "text"))
     joined = keys.join(repeated_spans(keys, length, gram), ["_doc", "_sub"], "left")
 
     def cut(batches):
         for b in batches:
-            at = {n: k for k, n in enumerate(b.schema.names)}
-            texts, out = b.column(at["text"]).to_pylist(), []
-            lists = b.column(at["spans"]).to_pylist()
-            for text, spans in zip(texts, lists, strict=True):
+            texts, out = b.column(1).to_pylist(), []
+            for text, spans in zip(texts, b.column(2).to_pylist(), strict=True):
                 if not spans or text is None:
                     out.append(text)
                     continue
                 raw = text.encode()
                 out.append(_kept(raw, _inward(_cuts(np.array(spans, np.int64), raw), raw)).decode())
             gone = pa.array([t == "" and s != "" for t, s in zip(out, texts, strict=True)], pa.bool_())
-            new = pa.array(out, b.schema.field("text").type)
-            arrays = [new if n == "text" else b.column(at[n]) for n in columns]
-            yield pa.RecordBatch.from_arrays([*arrays, gone], [*columns, "_gone"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, b.schema.field(1).type), gone], ["row", "text", "gone"])
 
-    kind = T.StructType([*docs.schema.fields, T.StructField("_gone", T.BooleanType())])
-    left = joined.select(*columns, "spans").mapInArrow(cut, kind).where("not _gone").drop("_gone")
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else left
+    kind = T.StructType([keys.schema["row"], T.StructField("text", T.StringType()), T.StructField("gone", T.BooleanType())])
+    left = joined.select("row", "text", "spans").mapInArrow(cut, kind).where("not gone")
+    return with_text(left, docs, F.col("text"))
