@@ -7,9 +7,9 @@ from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-WORD_BOXES = T.StructType.fromDDL("doc_id long, page_no int, pass int, block int, par int, line int, word int, left int, top int, width int, height int, conf double, text string")
+WORD_BOXES = "doc_id long, page_no int, pass int, block int, par int, line int, word int, left int, top int, width int, height int, conf double, text string"
+CELLS = "table_id long, row_idx long, col_idx int, text string"
 FORMATS = ("parquet", "orc", "json", "csv")
 
 
@@ -31,7 +31,7 @@ class TableProvider:
             raise ValueError(f"one of {FORMATS}")
         self.spark, self.root, self.form = spark, root, form
 
-    def _read(self, name: str, schema: T.StructType | None = None) -> DataFrame:
+    def _read(self, name: str, schema: str | None = None) -> DataFrame:
         reader = self.spark.read.format(self.form)
         if self.form == "csv":
             reader = reader.option("header", True)
@@ -43,7 +43,7 @@ class TableProvider:
         return self._read("words", WORD_BOXES)
 
     def cells(self) -> DataFrame:
-        return self._read("cells", T.StructType.fromDDL("table_id long, row_idx long, col_idx int, text string"))
+        return self._read("cells", CELLS)
 
     def records(self, kind: str) -> DataFrame:
         return self._read(kind)
