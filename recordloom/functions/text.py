@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 LEADING_JUNK = ":.-_>*'\"` "
 CURRENCY = r"^(?:RS|INR|₹|\$)\.?"
 UNITS = r"(?:TONNES|TONNE|TONS|TON|KGS|KG|MTS|MT|RS|INR)\.?$"
+#: Fixed value: all characters that count as white space.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(E[+-]?[0-9]+)?\z"
 SPACE = r"(?U)\s+"
 
@@ -19,7 +21,7 @@ def col(x: Column | str) -> Column:
 
 def strip(x: Column | str) -> Column:
     """Without white space of any kind at both ends; null is empty."""
-    return F.regexp_replace(F.coalesce(col(x), F.lit("")), r"(?U)^\s+|\s+$", "")
+    return F.btrim(F.coalesce(col(x), F.lit("")), F.lit(WHITE))
 
 
 def blank_to_null(x: Column | str) -> Column:
@@ -50,12 +52,12 @@ YEAR_MONTH = "$4-$3-$1"
 
 
 def _parsed_date(x: Column) -> Column:
-    c = F.regexp_replace(strip(x), SPACE, "")
+    c = F.translate(F.coalesce(x, F.lit("")), WHITE, "")
+    full = DAY_FIRST + r"([0-9]{4})$"  # by far the most frequent shape: the others are looked at where it fails
     head = F.regexp_extract(c, r"^[0-9]{1,2}[./\-][0-9]{1,2}[./\-][0-9]{2,4}", 0)
     k = F.when(head == "", c).otherwise(head)
-    shapes = ((r"([0-9]{4})$", ""), (r"(69|[7-9][0-9])$", "19"), (r"([0-9]{2})$", "20"))
-    iso = F.when(k.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), k)
-    for year, century in shapes:
+    iso = F.when(c.rlike(full), F.regexp_replace(c, full, YEAR_MONTH)).when(c.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), c)
+    for year, century in ((r"([0-9]{4})$", ""), (r"(69|[7-9][0-9])$", "19"), (r"([0-9]{2})$", "20")):
         iso = iso.when(k.rlike(DAY_FIRST + year), F.regexp_replace(k, DAY_FIRST + year, century + YEAR_MONTH))
     return F.try_to_date(iso, "yyyy-M-d")
 
@@ -75,15 +77,11 @@ def date_ok(x: Column | str) -> Column:
     return (strip(x) == "") | _parsed_date(col(x)).isNotNull()
 
 
-def _number_text(x: Column) -> Column:
-    n = F.upper(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)[,\s]+", ""))
-    return F.regexp_replace(F.regexp_replace(n, CURRENCY, ""), UNITS, "")
-
-
 def number_value(x: Column | str) -> Column:
     """The number of a text without separators, one currency mark and one unit, to three places (halves away from zero)."""
-    n = _number_text(col(x))
-    return F.round(F.when(n.rlike(NUMBER), n.try_cast("double")), 3)
+    n = F.upper(F.translate(F.coalesce(col(x), F.lit("")), "," + WHITE, ""))
+    bare = F.regexp_replace(F.regexp_replace(n, CURRENCY, ""), UNITS, "")
+    return F.round(F.when(n.rlike(NUMBER), n.try_cast("double")).when(n.rlike("[0-9]") & bare.rlike(NUMBER), bare.try_cast("double")), 3)
 
 
 def number_ok(x: Column | str) -> Column:

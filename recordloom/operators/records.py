@@ -73,8 +73,10 @@ def candidates(bills: DataFrame, receipts: DataFrame) -> DataFrame:
     exact, digits = lookup(receipts, "lr_no_norm").alias("p"), lookup(receipts, "lr_no_digits").alias("f")
     joined = bills.alias("b").join(exact, F.expr("nullif(b.lr_no_norm, '') = p._key"), "left").join(digits, F.expr("p._key is null and nullif(b.lr_no_digits, '') = f._key"), "left")
     chosen = joined.select("b.*", F.coalesce("p._first", "f._first").alias("lr_idx"), F.coalesce("p._same", "f._same").alias("n_candidates"), F.expr("p._first is null and f._first is not null").alias("by_digits"))
-    matched = chosen.where("lr_idx is not null").withColumn("repeat", F.row_number().over(Window.partitionBy("lr_idx").orderBy("bill_idx")) > 1)
-    return matched.unionByName(chosen.where("lr_idx is null").withColumn("repeat", F.lit(False)))
+    # bills without a receipt are spread by their own number: they form no group, neither here nor in the join that follows
+    chosen = chosen.withColumn("_apart", F.when(F.col("lr_idx").isNull(), F.col("bill_idx")).otherwise(F.lit(0)))
+    nth = F.row_number().over(Window.partitionBy("lr_idx", "_apart").orderBy("bill_idx"))
+    return chosen.withColumn("repeat", F.col("lr_idx").isNotNull() & (nth > 1))
 
 
 def reconcile(bills: DataFrame, receipts: DataFrame) -> DataFrame:
@@ -84,8 +86,8 @@ def reconcile(bills: DataFrame, receipts: DataFrame) -> DataFrame:
     unbilled), the five matches and two differences (null where not comparable), and flags in their fixed order.
     """
     b = candidates(bills, receipts).alias("b")
-    r = receipts.alias("r")
-    both = b.join(r, F.col("b.lr_idx") == F.col("r.lr_idx"), "left")
+    r = receipts.withColumns({"_apart": F.lit(0).cast(bills.schema["bill_idx"].dataType), "_there": F.lit(True)}).alias("r")
+    both = b.join(r, (F.col("b.lr_idx") == F.col("r.lr_idx")) & (F.col("b._apart") == F.col("r._apart")), "full")
     weight, weight_diff = compare_number(F.col("b.gross_qty_num"), F.col("r.net_wt_num"), WEIGHT_TOLERANCE)
     amount, amount_diff = compare_number(F.col("b.amount_num"), F.col("r.amount_num"), AMOUNT_TOLERANCE)
     found = F.col("b.lr_idx").isNotNull()
@@ -97,16 +99,18 @@ def reconcile(bills: DataFrame, receipts: DataFrame) -> DataFrame:
         "amount_match": amount,
     }
     names = list(match)
+    billed = F.col("b.bill_idx").isNotNull()
     shown = both.select(
-        F.lit(0).alias("section"), "b.bill_idx", "b.lr_idx",
+        F.when(billed, 0).otherwise(1).alias("section"), "b.bill_idx", F.coalesce("b.lr_idx", "r.lr_idx").alias("lr_idx"),
         F.coalesce(X.blank_to_null("b.lr_no"), X.blank_to_null("b.lr_no_norm"), X.blank_to_null("r.lr_no"), X.blank_to_null("r.lr_no_norm"), F.lit("")).alias("lr_no"),
         *[m.alias(n) for n, m in match.items()], weight_diff.alias("net_wt_diff"), amount_diff.alias("amount_diff"),
-        found.alias("_found"), (F.col("b.lr_no_norm") == "").alias("_no_number"), "b.by_digits", (F.col("b.n_candidates") > 1).alias("_many"), "b.repeat",
+        found.alias("_found"), billed.alias("_billed"), (F.col("b.lr_no_norm") == "").alias("_no_number"), (F.col("r.lr_no_norm") == "").alias("_lr_no_number"), "b.by_digits", (F.col("b.n_candidates") > 1).alias("_many"), "b.repeat",
         (F.size("b.parse_warnings") > 0).alias("_bill_warned"), (F.size("r.parse_warnings") > 0).alias("_lr_warned"),
     )
     any_null = F.greatest(*[F.col(n).isNull().cast("int") for n in names]) == 1
     any_false = F.greatest(*[F.coalesce(~F.col(n), F.lit(False)).cast("int") for n in names]) == 1
     flags = listed(
+        ("lr_lr_no_missing", ~F.col("_billed") & F.col("_lr_no_number")),
         ("lr_no_fuzzy_matched", F.col("by_digits")),
         ("bill_lr_no_missing", F.col("_no_number")),
         ("ambiguous_lr_match", F.col("_many")),
@@ -115,17 +119,9 @@ def reconcile(bills: DataFrame, receipts: DataFrame) -> DataFrame:
         ("bill_parse_warnings", F.col("_bill_warned")),
         ("lr_parse_warnings", F.col("_lr_warned")),
     )
-    status = F.when(~F.col("_found"), "missing_lr").when(any_false, "mismatch").otherwise("clear")
-    billed = shown.select("section", "bill_idx", "lr_idx", "lr_no", F.when(F.col("_found"), "A").otherwise("B").alias("category"), status.alias("status"), *names, "net_wt_diff", "amount_diff", flags.alias("flags"))
-    used = b.where("lr_idx is not null").select("lr_idx").distinct()
-    rest = receipts.join(used, "lr_idx", "left_anti")
-    unbilled = rest.select(
-        F.lit(1).alias("section"), F.lit(None).cast(bills.schema["bill_idx"].dataType).alias("bill_idx"), "lr_idx",
-        F.coalesce(X.blank_to_null("lr_no"), X.blank_to_null("lr_no_norm"), F.lit("")).alias("lr_no"), F.lit("C").alias("category"), F.lit("unbilled").alias("status"),
-        *[F.lit(None).cast("boolean").alias(n) for n in names], F.lit(None).cast("double").alias("net_wt_diff"), F.lit(None).cast("double").alias("amount_diff"),
-        listed(("lr_lr_no_missing", F.col("lr_no_norm") == ""), ("lr_parse_warnings", F.size("parse_warnings") > 0)).alias("flags"),
-    )
-    return billed.unionByName(unbilled)
+    status = F.when(~F.col("_billed"), "unbilled").when(~F.col("_found"), "missing_lr").when(any_false, "mismatch").otherwise("clear")
+    category = F.when(~F.col("_billed"), "C").when(F.col("_found"), "A").otherwise("B")
+    return shown.select("section", "bill_idx", "lr_idx", "lr_no", category.alias("category"), status.alias("status"), *names, "net_wt_diff", "amount_diff", flags.alias("flags"))
 
 
 def ordered(result: DataFrame) -> DataFrame:
