@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from recordloom.llm import chat, chroma, decontam, langid, mixing, quality, simhash, suffix_dedup, tokens, toxicity
 from recordloom.llm.common import table
+from recordloom.llm.oracle import SQL
 
 
 def op1_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "spans")
 
 
 def op2_edit_aware_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,4 +56,4 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
