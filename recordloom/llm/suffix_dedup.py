@@ -305,7 +305,7 @@ def bin_spans(data: np.ndarray, starts: np.ndarray, items: np.ndarray, length: i
 # ---- the distributed part ------------------------------------------------------------------------------------------
 
 
-def _pack(items: np.ndarray, text: np.ndarray, level: int = 3) -> bytes:
+def _pack(items: np.ndarray, text: np.ndarray, level: int = 6) -> bytes:
     """Stretches as one compressed row: fields column by column, ids and places as differences, then all bytes."""
     head = b"".join(np.diff(items[n], prepend=items[n].dtype.type(0)).tobytes() if n in ("doc", "at") else items[n].tobytes() for n in FIELDS.names)
     return zstandard.ZstdCompressor(level=level).compress(len(items).to_bytes(8, "little") + head + text.tobytes())
@@ -428,10 +428,23 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     bins = max(8, math.ceil(total * (1 + 2 * (length - 1) / (length - gram + 2)) / BIN_BYTES))
     sent = docs.where(F.octet_length("text") >= length).select("_doc", "_sub", text_bytes().alias("text"))
     rows = sent.mapInArrow(_shards(length, gram, bins), "bin int, blob binary")
-    found = rows.repartition(bins, "bin").sortWithinPartitions("bin").mapInArrow(_bins(length, gram), "doc long, sub long, span long")
+    placed = rows.repartitionById(bins, F.pmod(F.col("bin"), F.lit(bins)))  # by hash some tasks would get several bins
+    found = placed.sortWithinPartitions("bin").mapInArrow(_bins(length, gram), "doc long, sub long, span long")
     return found.groupBy(F.col("doc").alias("_doc"), F.col("sub").alias("_sub")).agg(F.collect_list("span").alias("spans"))
 
 
+def _compressed(docs: DataFrame) -> DataFrame:
+    """doc_id, _doc, _sub and the text's bytes compressed one by one, which halves what a shuffle writes of them."""
+
+    def run(batches):
+        c = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([c.compress(t) for t in b.column(3).to_pylist()], pa.binary())], ["doc_id", "_doc", "_sub", "text"])
+
+    columns = docs.select("doc_id", "_doc", "_sub", text_bytes().alias("text"))
+    return columns.mapInArrow(run, columns.schema)
+
+
 def _cuts(spans: np.ndarray | None, text: bytes) -> list[tuple[int, int]]:
     """Packed spans of one document as disjoint runs in order."""
     if spans is None or not len(spans):
@@ -473,14 +486,14 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kee
     """
     docs = keyed(docs.select("doc_id", "text"))
     spans = repeated_spans(docs, length, gram)
-    joined = docs.select("doc_id", "_doc", "_sub", text_bytes().alias("text")).join(spans, ["_doc", "_sub"], "left")
+    joined = _compressed(docs).join(spans, ["_doc", "_sub"], "left")
 
     def run(batches):
         for b in batches:
             rows = []
             lists = b.column(2)
             flat, off, null = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy(), lists.is_null().to_pylist()
-            for i, text in enumerate(b.column(1).to_pylist()):
+            for i, text in enumerate(map(zstandard.decompress, b.column(1).to_pylist())):
                 cuts = [] if null[i] else _cuts(flat[off[i] : off[i + 1]], text)
                 kept = _kept(text, cuts)
                 rows.append((len(text), len(text) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), cuts, kept))
