@@ -5,8 +5,8 @@ by time, FILTERS rectangle filters are evaluated by an integral image at every f
 each, which makes a packed 32-bit integer a frame. Recordings are aligned by the offsets at which their integers agree: the
 offset with most votes wins and is verified by the share of bits that differ over the whole overlap.
 
-Recordings of one fingerprint are one class and are searched once; classes and votes meet in joins on the integers, so
-nothing is compared pair by pair. Frames without sound carry no integer that is looked up.
+Recordings of one fingerprint are one class and are searched once. The queries, a stated share of the rows, go to the executors in blocks of
+at most QUERY_BYTES; every class looks its integers up in a block's sorted ones. Frames without sound carry no integer that is looked up.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from recordloom.llm.common import bounded_batches
 
 RATE, FRAME, HOP, SPAN, FILTERS = 4000, 512, 128, 12, 16
 LOW, HIGH = 110.0, 1760.0
+#: Bytes of fingerprints in a block of queries; what is broadcast is about four times as much.
+QUERY_BYTES = 4 << 20
 
 
 def rectangles() -> list[tuple[int, int, int, int]]:
@@ -138,19 +140,6 @@ def fingerprints(audio: DataFrame) -> DataFrame:
     return audio.select("vec_id", "audio").mapInArrow(run, kind)
 
 
-def postings(classes: DataFrame) -> DataFrame:
-    """(key, owner, frame): the integers with sound of each class."""
-
-    def run(batches):
-        for b in batches:
-            for owner, code, heard in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                at = np.flatnonzero(np.frombuffer(heard, np.uint8))
-                keys = np.frombuffer(code, np.int32)[at]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(at), owner, np.int64)), pa.array(at.astype(np.int32))], ["key", "owner", "frame"])
-
-    return classes.select("owner", "code", "heard").mapInArrow(run, "key int, owner long, frame int")
-
-
 def bit_errors(a: bytes, b: bytes, offset: int) -> tuple[int, float]:
     """Frames that overlap when b starts `offset` frames into a, and the share of bits that differ there."""
     x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
@@ -160,6 +149,32 @@ def bit_errors(a: bytes, b: bytes, offset: int) -> tuple[int, float]:
     return hi - lo, float(np.bitwise_count(x[lo:hi] ^ y[lo - offset : hi - offset]).sum()) / (32 * (hi - lo))
 
 
+def query_book(rows: list[tuple[int, bytes, bytes]]) -> dict:
+    """A block of queries (owner, code, heard): the integers with sound of all, sorted, each with its query and frame."""
+    codes = [np.frombuffer(c, np.uint32) for _, c, _ in rows]
+    at = [np.flatnonzero(np.frombuffer(h, np.uint8)) for _, _, h in rows]
+    keys = np.concatenate([c[i] for c, i in zip(codes, at, strict=True)]) if rows else np.zeros(0, np.uint32)
+    order = np.argsort(keys, kind="stable")
+    of = np.repeat(np.arange(len(rows)), [len(i) for i in at])
+    return {"owners": [r[0] for r in rows], "codes": [r[1] for r in rows], "keys": keys[order], "of": of[order], "frames": np.concatenate([*at, np.zeros(0, np.int64)])[order]}
+
+
+def vote(book: dict, code: bytes, heard: bytes, votes: int) -> list[tuple[int, int, int]]:
+    """(query, offset, votes) of the queries that a recording agrees with `votes` times at one offset; of offsets with most votes the smallest."""
+    at = np.flatnonzero(np.frombuffer(heard, np.uint8))
+    k = np.frombuffer(code, np.uint32)[at]
+    lo, hi = np.searchsorted(book["keys"], k, "left"), np.searchsorted(book["keys"], k, "right")
+    n = hi - lo
+    hits = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    offset = book["frames"][hits] - np.repeat(at, n)
+    cells, count = np.unique((book["of"][hits] << 32) + offset + (1 << 31), return_counts=True)
+    cells, count = cells[count >= votes], count[count >= votes]
+    query, offset = cells >> 32, (cells & 0xFFFFFFFF) - (1 << 31)
+    best = np.lexsort((offset, -count, query))
+    best = best[np.concatenate([[True], query[best][1:] != query[best][:-1]])] if len(best) else best
+    return list(zip(query[best].tolist(), offset[best].tolist(), count[best].tolist(), strict=True))
+
+
 def align(audio: DataFrame, every: int = 100, votes: int = 8, errors: float = 0.35) -> DataFrame:
     """Recordings that sound like each query, a row for each class of equal fingerprints that does.
 
@@ -177,18 +192,28 @@ def align(audio: DataFrame, every: int = 100, votes: int = 8, errors: float = 0.
     asked = prints.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "code", "heard").distinct()
     asked = checkpointed(asked.join(classes.select("code", "heard", "owner"), ["code", "heard"]).select("query_id", "owner"))
     sought = classes.join(asked.select("owner").distinct(), "owner", "left_semi")
-    of = postings(sought).select("key", F.col("owner").alias("q"), F.col("frame").alias("q_frame"))
-    hits = of.join(postings(classes), "key").groupBy("q", "owner", (F.col("q_frame") - F.col("frame")).alias("offset")).agg(F.count("*").alias("n_votes"))
-    best = hits.where(F.col("n_votes") >= votes).groupBy("q", "owner").agg(F.max(F.struct("n_votes", (-F.col("offset")).alias("back"))).alias("best"))
-    code = classes.select("owner", "code", "n_copies")
-    both = best.join(code, "owner").join(code.select(F.col("owner").alias("q"), F.col("code").alias("q_code")), "q")
-
-    def run(batches):
-        for b in batches:
-            q, owner, offset, n, copies, x, y = (c.to_pylist() for c in b.columns)
-            found = [bit_errors(a, c, o) for a, c, o in zip(x, y, offset, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(owner, pa.int64()), pa.array(offset, pa.int32()), pa.array(n, pa.int64()), pa.array(copies, pa.int64()), pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.float64())], ["q", "match_id", "offset", "n_votes", "n_copies", "overlap", "bit_error_rate"])
-
-    scored = both.select("q", "owner", (-F.col("best.back")).cast("int").alias("offset"), F.col("best.n_votes").alias("n_votes"), "n_copies", "q_code", "code").mapInArrow(run, "q long, match_id long, offset int, n_votes long, n_copies long, overlap int, bit_error_rate double")
+    size = sought.agg(F.sum(F.octet_length("code"))).first()[0] or 0  # one number
+    blocks = max(1, -(-size // QUERY_BYTES))
+    names = ["q", "match_id", "offset", "n_votes", "n_copies", "overlap", "bit_error_rate"]
+
+    def search(shared):
+        def run(batches):
+            for b in batches:
+                rows, book = [], shared.value
+                for owner, copies, code, heard in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    for q, offset, n in vote(book, code, heard, votes):
+                        rows.append((book["owners"][q], owner, offset, n, copies, *bit_errors(book["codes"][q], code, offset)))
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.float64()]
+                cols = list(zip(*rows, strict=True)) or [()] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names)
+
+        return run
+
+    scored = None
+    for k in range(blocks):
+        block = sought.where(F.pmod(F.xxhash64("owner"), F.lit(blocks)) == k).select("owner", "code", "heard").collect()  # about QUERY_BYTES at most
+        book = audio.sparkSession.sparkContext.broadcast(query_book([(r.owner, bytes(r.code), bytes(r.heard)) for r in block]))
+        part = classes.select("owner", "n_copies", "code", "heard").mapInArrow(search(book), "q long, match_id long, offset int, n_votes long, n_copies long, overlap int, bit_error_rate double")
+        scored = part if scored is None else scored.union(part)
     near = scored.where(F.col("bit_error_rate") <= errors)
     return near.join(asked.withColumnRenamed("owner", "q"), "q").select("query_id", "match_id", "n_copies", "offset", "n_votes", "overlap", "bit_error_rate")
