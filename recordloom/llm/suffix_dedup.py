@@ -94,6 +94,17 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.cumsum(out)
 
 
+def gather(data: np.ndarray, starts: np.ndarray, lens: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """The bytes of all slices, one after the other; about `step` of them at once are addressed by number."""
+    ends = np.cumsum(lens)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, data.dtype)
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, len(out), step), "right"), len(lens)))
+    for a, b in zip(np.append(0, cuts)[:-1].tolist(), cuts.tolist(), strict=True) if len(lens) else ():
+        if a < b:
+            out[ends[a] - lens[a] : ends[b - 1]] = data[ragged(starts[a:b], lens[a:b])]
+    return out
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Hashes of slices of at least 8 bytes, by their 8-byte words; equal slices have equal hashes."""
     words = np.ndarray((max(0, len(data) - 7),), "<u8", data, strides=(1,))
@@ -121,7 +132,7 @@ def collapse(data: np.ndarray, starts: np.ndarray, items: np.ndarray) -> tuple[n
     if len(own):
         alike = (lens[own] == lens[theirs]) & (items["a"][own] == items["a"][theirs])
         size = np.where(alike, lens[own], 1)
-        differ = data[ragged(starts[own], size)] != data[ragged(starts[theirs], size)]
+        differ = gather(data, starts[own], size) != gather(data, starts[theirs], size)
         alike &= np.add.reduceat(differ, np.concatenate([[0], np.cumsum(size)[:-1]])) == 0
         own, theirs = own[alike], theirs[alike]  # others, whose hashes met by chance, stay
     kept = np.ones(len(items), bool)
@@ -351,7 +362,7 @@ def _shards(length: int, gram: int, bins: int):
             for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 part = items[kept[x:y]]
                 names.append(int(home[x]))
-                blobs.append(_pack(part, data[ragged(first[kept[x:y]], part["a"].astype(np.int64) + part["b"])]))
+                blobs.append(_pack(part, gather(data, first[kept[x:y]], part["a"].astype(np.int64) + part["b"])))
             yield out()
 
     return run
@@ -378,7 +389,7 @@ def _bins(length: int, gram: int):
             lens = items["a"].astype(np.int64) + items["b"]
             starts = np.cumsum(lens) - lens
             kept, spans = collapse(text, starts, items)
-            self.items, self.text = [items[kept]], [text[ragged(starts[kept], lens[kept])]]
+            self.items, self.text = [items[kept]], [gather(text, starts[kept], lens[kept])]
             self.size = len(self.text[0])
             return spans
 
