@@ -13,7 +13,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -95,16 +95,29 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, seed: i
     return marked.join(owner, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def text_key() -> Column:
+    """What tells documents apart whatever their ids: (nameless, doc_id, hash of the text); null ids come last."""
+    return F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id"), F.xxhash64(text_bytes()).alias("hash"))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the text key in the place of the id."""
+    return docs.select(text_key().alias("doc_id"), "text")
+
+
+def keep_first(docs: DataFrame, components: DataFrame) -> DataFrame:
+    """Of each component (doc_id, component_id: text keys) the document whose key names it; of repeated rows with that key one stays."""
+    found = checkpointed(components)
+    first = found.select(F.col("component_id").alias("_key")).distinct()
+    kept = docs.select(F.struct(*docs.columns).alias("row"), text_key().alias("key")).join(first, F.col("key").eqNullSafe(F.col("_key")), "left_semi")
+    again = found.groupBy("doc_id").count().where("count > 1")
+    repeats = first.join(again, F.col("_key").eqNullSafe(F.col("doc_id")), "left_semi").limit(1).count()
+    return (kept.dropDuplicates(["key"]) if repeats else kept).select("row.*")
+
+
 def keep_one(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
-    """The documents without their near copies: of each component the one with the smallest doc_id stays.
+    """The documents without their near copies: of each component one row stays, that of the smallest (doc_id, hash of the text).
 
-    Of repeated rows with that id one stays; rows with a null id are never taken for the first of a component
-    that has other ids.
+    Every component keeps one, whether its ids are null or those of other components; null ids come last.
     """
-    found = checkpointed(simhash_components(docs, words, radius))
-    first = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    packed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id")
-    kept = packed.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    repeats = first.join(found.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1"), "_id", "left_semi").limit(1).count()
-    nameless = found.where("doc_id is null").limit(1).count()
-    return (kept.dropDuplicates(["doc_id"]) if repeats or nameless else kept).select("row.*")
+    return keep_first(docs, simhash_components(keyed(docs), words, radius))
