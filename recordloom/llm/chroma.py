@@ -149,7 +149,7 @@ def bit_errors(a: bytes, b: bytes, offset: int) -> tuple[int, float]:
     return hi - lo, float(np.bitwise_count(x[lo:hi] ^ y[lo - offset : hi - offset]).sum()) / (32 * (hi - lo))
 
 
-def query_book(rows: list[tuple[int, bytes, bytes]]) -> dict:
+def query_book(rows: list[tuple[str, bytes, bytes]]) -> dict:
     """A block of queries (owner, code, heard): the integers with sound of all, sorted, each with its query and frame."""
     codes = [np.frombuffer(c, np.uint32) for _, c, _ in rows]
     at = [np.flatnonzero(np.frombuffer(h, np.uint8)) for _, _, h in rows]
@@ -175,45 +175,73 @@ def vote(book: dict, code: bytes, heard: bytes, votes: int) -> list[tuple[int, i
     return list(zip(query[best].tolist(), offset[best].tolist(), count[best].tolist(), strict=True))
 
 
+def classed(audio: DataFrame) -> DataFrame:
+    """(vec_id, class_id, code, heard): class_id is a digest of the fingerprint, so it needs no id."""
+    digest = F.sha2(F.concat("code", "heard"), 256)
+    return fingerprints(audio).select(F.col("vec_id").cast("long").alias("vec_id"), digest.alias("class_id"), "code", "heard")
+
+
 def align(audio: DataFrame, every: int = 100, votes: int = 8, errors: float = 0.35) -> DataFrame:
     """Recordings that sound like each query, a row for each class of equal fingerprints that does.
 
     Queries are the rows whose id is divisible by `every`, each against all rows. Returns query_id, match_id (the smallest id
-    of the class), n_copies (recordings of the class), offset (frames by which the match starts later in the query), n_votes,
-    overlap (frames) and bit_error_rate; matches have at least `votes` votes at their offset and at most `errors` of the
+    of the class, null if none has one), n_copies (recordings of the class), offset (frames by which the match starts later in the query), n_votes,
+    overlap (frames), bit_error_rate and class_id; matches have at least `votes` votes at their offset and at most `errors` of the
     bits of the overlap differ. Of offsets with equally many votes the smallest counts. A query's own class is among its
     matches. Recordings that are null, no PCM file, too short or silent have no votes; rows that repeat an id count as copies;
-    an empty table gives no rows.
+    an empty table gives no rows. `members` tells which recordings a class has.
+    """
+    from recordloom.llm.common import checkpointed
+
+    return _align(checkpointed(classed(audio)), every, votes, errors)
+
+
+def members(prints: DataFrame) -> DataFrame:
+    """(vec_id, class_id) of each recording, as many rows as there are recordings."""
+    return prints.select("vec_id", "class_id")
+
+
+def align_with_members(audio: DataFrame, **options) -> DataFrame:
+    """The rows of `align` (kind `match`) and of `members` (kind `member`: vec_id and class_id, the rest null) in one table.
+
+    All links of a query to recordings are its matches joined to the members by class_id; the join is left to the reader,
+    since it has the square of a large class.
     """
     from recordloom.llm.common import checkpointed
 
-    prints = checkpointed(fingerprints(audio).withColumn("vec_id", F.col("vec_id").cast("long")))
-    classes = checkpointed(prints.groupBy("code", "heard").agg(F.min("vec_id").alias("owner"), F.count("*").alias("n_copies")).where("owner is not null"))
-    asked = prints.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "code", "heard").distinct()
-    asked = checkpointed(asked.join(classes.select("code", "heard", "owner"), ["code", "heard"]).select("query_id", "owner"))
-    sought = classes.join(asked.select("owner").distinct(), "owner", "left_semi")
+    prints = checkpointed(classed(audio))
+    found = _align(prints, **options).withColumn("kind", F.lit("match"))
+    return found.unionByName(members(prints).withColumn("kind", F.lit("member")), allowMissingColumns=True)
+
+
+def _align(prints: DataFrame, every: int = 100, votes: int = 8, errors: float = 0.35) -> DataFrame:
+    from recordloom.llm.common import checkpointed
+
+    classes = checkpointed(prints.groupBy("class_id", "code", "heard").agg(F.min("vec_id").alias("match_id"), F.count("*").alias("n_copies")))
+    asked = checkpointed(prints.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("class_id").alias("q")).distinct())
+    sought = classes.join(asked.select(F.col("q").alias("class_id")).distinct(), "class_id", "left_semi")
     size = sought.agg(F.sum(F.octet_length("code"))).first()[0] or 0  # one number
     blocks = max(1, -(-size // QUERY_BYTES))
-    names = ["q", "match_id", "offset", "n_votes", "n_copies", "overlap", "bit_error_rate"]
+    names = ["q", "class_id", "match_id", "offset", "n_votes", "n_copies", "overlap", "bit_error_rate"]
 
     def search(shared):
         def run(batches):
             for b in batches:
                 rows, book = [], shared.value
-                for owner, copies, code, heard in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for own, first, copies, code, heard in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     for q, offset, n in vote(book, code, heard, votes):
-                        rows.append((book["owners"][q], owner, offset, n, copies, *bit_errors(book["codes"][q], code, offset)))
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.float64()]
-                cols = list(zip(*rows, strict=True)) or [()] * 7
+                        rows.append((book["owners"][q], own, first, offset, n, copies, *bit_errors(book["codes"][q], code, offset)))
+                kinds = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.float64()]
+                cols = list(zip(*rows, strict=True)) or [()] * 8
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names)
 
         return run
 
     scored = None
     for k in range(blocks):
-        block = sought.where(F.pmod(F.xxhash64("owner"), F.lit(blocks)) == k).select("owner", "code", "heard").collect()  # about QUERY_BYTES at most
-        book = audio.sparkSession.sparkContext.broadcast(query_book([(r.owner, bytes(r.code), bytes(r.heard)) for r in block]))
-        part = classes.select("owner", "n_copies", "code", "heard").mapInArrow(search(book), "q long, match_id long, offset int, n_votes long, n_copies long, overlap int, bit_error_rate double")
+        block = sought.where(F.pmod(F.xxhash64("class_id"), F.lit(blocks)) == k).select("class_id", "code", "heard").collect()  # about QUERY_BYTES at most
+        book = prints.sparkSession.sparkContext.broadcast(query_book([(r.class_id, bytes(r.code), bytes(r.heard)) for r in block]))
+        part = classes.select("class_id", "match_id", "n_copies", "code", "heard").mapInArrow(search(book), "q string, class_id string, match_id long, offset int, n_votes long, n_copies long, overlap int, bit_error_rate double")
         scored = part if scored is None else scored.union(part)
     near = scored.where(F.col("bit_error_rate") <= errors)
-    return near.join(asked.withColumnRenamed("owner", "q"), "q").select("query_id", "match_id", "n_copies", "offset", "n_votes", "overlap", "bit_error_rate")
+    return near.join(asked, "q").select("query_id", "match_id", "n_copies", "offset", "n_votes", "overlap", "bit_error_rate", "class_id")

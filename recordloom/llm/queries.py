@@ -28,7 +28,7 @@ def op4_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chroma.align(chroma.recordings(table(spark, sf_dir, "embeddings")))
+    return chroma.align_with_members(chroma.recordings(table(spark, sf_dir, "embeddings")))
 
 
 def op6_cnn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
