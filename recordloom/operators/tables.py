@@ -116,8 +116,8 @@ def width_split(x: Column, left: Column, width: Column, k: int) -> Column:
 
 
 def page_roles(pages: DataFrame, layout: DataFrame) -> DataFrame:
-    """Pages with the role whose range holds them. layout: role, first_page, last_page (inclusive), a small table."""
-    return pages.join(F.broadcast(layout.limit(1000)), F.col("page_no").between(F.col("first_page"), F.col("last_page")), "left").drop("first_page", "last_page")
+    """Pages with the role whose range holds them. layout: role, first_page, last_page (inclusive); all rows count."""
+    return pages.join(layout, F.col("page_no").between(F.col("first_page"), F.col("last_page")), "left").drop("first_page", "last_page")
 
 
 def layout_warnings(pages: DataFrame, least: int = 3) -> DataFrame:
