@@ -45,15 +45,17 @@ def row_blocks(off: np.ndarray, rows: int = ROWS):
         yield i, part[0], part[-1], part - part[0]
 
 
-def fit(docs: DataFrame, per_lang: int = 400, landmarks: int = 32, ridge: float = 1e-2) -> dict | None:
+def fit(docs: DataFrame, per_lang: int = 400, landmarks: int = 32, ridge: float = 1e-2, languages: int = 64) -> dict | None:
     """Fit on at most `per_lang` documents of each learned language, `landmarks` of which are landmarks; None without any.
 
+    Learned are the `languages` most frequent ones; the memory of the fit grows with them.
+
     Learned from are documents with a language and text whose crc32 fold of 5 is not 0.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.where((fold(5) != 0) & (F.octet_length("text") > 0))
-    picked = sample_per_class(rows.select("doc_id", "lang"), "lang", per_lang)
+    picked = sample_per_class(rows.select("doc_id", "lang"), "lang", per_lang, languages)
     if not picked:
         return None
 
