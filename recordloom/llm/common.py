@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,17 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared checkpoint folder, for a table that several steps append to."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4()}"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate tables, on whatever file system it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint."""
     checkpoint_folder(df.sparkSession)
@@ -111,45 +123,69 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial over its bytes, scrambled with its length."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word: a polynomial over its bytes, scrambled with its length. Each even seed has a base of its own."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
         h = np.zeros(len(starts), np.uint64)
         live, k = np.arange(len(starts)), 0
-        base = np.uint64(0x9E3779B97F4A7C15)
+        base = np.uint64(0x9E3779B97F4A7C15 + seed)
         while len(live):
             h[live] = h[live] * base + data[starts[live] + k].astype(np.uint64) + np.uint64(1)
             k += 1
             live = live[ends[live] - starts[live] > k] if k < 64 else live[:0]
         for i in np.flatnonzero(ends - starts > 64):  # rare: long runs, by their powers at once
             tail = data[starts[i] + 64 : ends[i]].astype(np.uint64) + np.uint64(1)
-            h[i] = h[i] * base + (tail * powers(0xD6E8FEB86659FD93, len(tail))).sum(dtype=np.uint64)
+            h[i] = h[i] * base + (tail * powers(0xD6E8FEB86659FD93 + seed, len(tail))).sum(dtype=np.uint64)
         return mix(h ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
 
 
-def sample_per_class(rows: DataFrame, label: str, cap: int, bound: int = 64) -> list:
-    """At most `cap` (doc_id, label) rows of each class, those whose id hashes least; thin rows only.
+def labelled_documents(docs: DataFrame, labels: DataFrame, label: str, longest: int) -> DataFrame:
+    """(doc_id, mark, label) of the ids that have a label and a document of at most `longest` bytes.
 
-    Ids that repeat count once, with their largest label. A label column with more than `bound` distinct values gives its
-    `bound` most frequent classes. What reaches the driver is bound * cap rows at most.
+    mark is the least hash among such a document's texts, so that an id shared by several texts always means the same one; of
+    several labels of one id the largest counts. Null ids, labels and texts take no part.
     """
-    from pyspark.sql.window import Window
+    short = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") <= longest)).groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("mark"))
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias(label))
+    return known.join(short, "doc_id").select("doc_id", "mark", label)
 
-    one = rows.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias(label))
-    classes = [r[0] for r in one.groupBy(label).count().orderBy(F.desc("count"), label).limit(bound).collect()]
-    ranked = one.where(F.col(label).isin(classes)).withColumn("_rank", F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")))
-    return ranked.where(F.col("_rank") <= cap).select("doc_id", label).orderBy(label, "_rank").collect()
+
+def least_hashed(rows: DataFrame, label: str, cap: int, total: int | None = None) -> list:
+    """At most `cap` rows (doc_id, mark, label) of each class, those whose id hashes least; ids are distinct.
+
+    With `total` the cap falls to total / classes where there are many classes, to one at least. No class is gathered or sorted
+    anywhere: classes are counted, and as hashes are spread evenly, a bound on the hash leaves little more than the cap of each, which
+    the driver sorts. A class of which the bound left too few is asked again with a wider one.
+    """
+    rows = checkpointed(rows.withColumn("_hash", F.xxhash64("doc_id")))
+    sizes = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    if total is not None:
+        cap = max(1, min(cap, total // max(1, len(sizes))))
+    kind, picked, wide = rows.schema[label].dataType.simpleString(), [], 1.5
+    while sizes:
+        bounds = [(c, min(2**63 - 1, int((wide * cap + 64) / n * 2**64) - 2**63)) for c, n in sizes.items()]
+        near = rows.join(F.broadcast(rows.sparkSession.createDataFrame(bounds, f"_class {kind}, _bound long")), (F.col(label) == F.col("_class")) & (F.col("_hash") <= F.col("_bound")))
+        found: dict = {}
+        for r in near.select("doc_id", "mark", label, "_hash").collect():
+            found.setdefault(r[2], []).append(r)
+        done = [c for c, n in sizes.items() if len(found.get(c, ())) >= min(cap, n)]
+        for c in done:
+            picked += [(r[0], r[1], r[2]) for r in sorted(found[c], key=lambda r: (r[3], r[0]))[:cap]]
+            del sizes[c]
+        wide *= 4
+    return picked
 
 
 def sampled_documents(docs: DataFrame, picked: list, label: str) -> DataFrame:
-    """The documents of a bounded list of (doc_id, label) rows, joined by broadcasting the list; one row for each id."""
+    """(doc_id, label, text, lang if there is one) of a bounded list of (doc_id, mark, label), which is broadcast; one row for each id."""
     spark = docs.sparkSession
-    kind = f"_id {docs.schema['doc_id'].dataType.simpleString()}, {label} {'string' if not picked or isinstance(picked[0][1], str) else 'long'}"
-    ids = spark.createDataFrame([tuple(r) for r in picked], kind)
-    columns = [c for c in docs.columns if c != label]
-    return docs.select(*columns).join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).drop("_id").dropDuplicates(["doc_id"])
+    kind = f"_id {docs.schema['doc_id'].dataType.simpleString()}, _mark long, {label} {'string' if not picked or isinstance(picked[0][2], str) else 'long'}"
+    ids = spark.createDataFrame(picked, kind)
+    columns = [c for c in docs.columns if c not in (label, "doc_id")]
+    found = docs.select("doc_id", *columns).join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).where(F.xxhash64("text") == F.col("_mark"))
+    return found.groupBy("doc_id", label).agg(*[F.min(c).alias(c) for c in columns])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordloom.llm.common import LOWER, SOLID, bounded_batches, buffers, fold, mix, platt, sample_per_class, sampled_documents, sigmoid, text_bytes, word_hashes, word_spans
+from recordloom.llm.common import LOWER, SOLID, bounded_batches, buffers, fold, labelled_documents, least_hashed, mix, platt, sampled_documents, sigmoid, text_bytes, word_hashes, word_spans
 
 UPPER, SMALL, DIGIT, BLANK, PIPE, BANG, ODD, STOP, OTHER = range(9)
 
@@ -168,13 +168,13 @@ def train(x: np.ndarray, first: np.ndarray, y: np.ndarray, steps: int = 150, rat
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest: int = 16_000) -> dict | None:
-    """Fit on at most `per_class` documents of each class, of at most `longest` bytes; None if a class has no row.
+    """Fit on at most `per_class` documents of each class, picked among those of at most `longest` bytes; None if a class has none.
 
     Learned from are labelled documents whose crc32 fold of 5 is not 0; a fifth of the sample is kept for calibration.
     """
-    picked = sample_per_class(labels.select("doc_id", F.col("quality").cast("long").alias("quality")).where(fold(5) != 0), "quality", per_class)
-    short = docs.where(F.octet_length("text") <= longest).select("doc_id", "text")
-    rows = sampled_documents(short, picked, "quality").select("doc_id", "quality", text_bytes().alias("text")).collect()
+    known = labels.select("doc_id", F.col("quality").cast("long").alias("quality")).where(fold(5) != 0)
+    picked = least_hashed(labelled_documents(docs.select("doc_id", "text"), known, "quality", longest), "quality", per_class)
+    rows = sampled_documents(docs.select("doc_id", "text"), picked, "quality").select("doc_id", "quality", text_bytes().alias("text")).collect()
     rows.sort(key=lambda r: r.doc_id)
     y = np.array([r.quality > 0 for r in rows], float)
     if not len(rows) or y.min() == y.max():
@@ -231,6 +231,10 @@ def score_column(rows: DataFrame, docs: DataFrame, labels: DataFrame, **options)
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
-    """The documents whose score reaches the threshold; their columns are unchanged."""
+    """The documents whose score reaches the threshold, in all their columns, whatever these are called.
+
+    Null and empty texts are scored as `classify` scores them; repeated rows have one score and stay or go together; without a
+    learned class all stay; an empty table stays empty.
+    """
     scored = score_column(docs.select(F.struct(*docs.columns).alias("row"), "text"), docs, labels, **options)
     return scored.where(F.col("score") >= threshold).select("row.*")
