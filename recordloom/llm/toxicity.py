@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordloom.llm.common import ALNUM, LOWER, bounded_batches, buffers, fold, platt, sample_per_class, sampled_documents, sigmoid, text_bytes, word_hashes, word_spans
+from recordloom.llm.common import ALNUM, LOWER, bounded_batches, buffers, fold, labelled_documents, least_hashed, platt, sampled_documents, sigmoid, text_bytes, word_hashes, word_spans
 
 BUCKETS, DIM, FILTERS, WIDTHS, PREFIXES = 1 << 16, 8, 8, (1, 2, 3), (3, 4, 5, 6, 7)
 SLOTS = sum(WIDTHS) * FILTERS
@@ -45,18 +46,18 @@ def scan(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _sample(docs: DataFrame, labels: DataFrame, per_class: int, longest: int) -> list:
     learn = labels.select("doc_id", F.col("toxic").cast("long").alias("toxic")).where(fold(3) != 1)
-    picked = sample_per_class(learn, "toxic", per_class)
+    columns = docs.select("doc_id", "text", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
+    picked = least_hashed(labelled_documents(columns, learn, "toxic", longest), "toxic", per_class)
 
     def run(batches):
         for b in batches:
             table, back, row = scan(b.column(3))
             cut = np.searchsorted(row, np.arange(b.num_rows + 1))
-            out = [table[back[x:y]].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
+            out = [zstandard.compress(table[back[x:y]].tobytes()) for x, y in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.binary())], ["doc_id", "toxic", "lang", "pieces"])
 
     kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("toxic", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("pieces", T.BinaryType())])
-    short = docs.where(F.octet_length("text") <= longest).select("doc_id", "text", "lang")
-    rows = sampled_documents(short, picked, "toxic").select("doc_id", "toxic", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text_bytes().alias("text")).mapInArrow(run, kind).collect()
+    rows = sampled_documents(columns, picked, "toxic").select("doc_id", "toxic", "lang", text_bytes().alias("text")).mapInArrow(run, kind).collect()
     return sorted(rows, key=lambda r: r.doc_id)
 
 
@@ -81,15 +82,15 @@ def forward(vectors: np.ndarray, filters: list[np.ndarray], begin: np.ndarray, l
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, longest: int = 16_000, epochs: int = 4, seed: int = 7) -> dict | None:
-    """Fit on at most `per_class` documents of each class, of at most `longest` bytes; None if a class has no row.
+    """Fit on at most `per_class` documents of each class, picked among those of at most `longest` bytes; None if a class has none.
 
-    Learned from are labelled documents whose crc32 fold of 3 is not 1.
+    Learned from are labelled documents whose crc32 fold of 3 is not 1. Their pieces reach the driver compressed.
     """
     rows = _sample(docs, labels, per_class, longest)
     y_all = np.array([r.toxic > 0 for r in rows], float)
     if not len(rows) or y_all.min() == y_all.max():
         return None
-    texts = [np.frombuffer(r.pieces, np.uint16).reshape(-1, 1 + len(PREFIXES)) for r in rows]
+    texts = [np.frombuffer(zstandard.decompress(r.pieces), np.uint16).reshape(-1, 1 + len(PREFIXES)) for r in rows]
     rng = np.random.default_rng(seed)
     part = rng.permutation(len(rows))
     aside, train = part[: len(part) // 5], part[len(part) // 5 :]
