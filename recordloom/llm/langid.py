@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordloom.llm.common import LOWER, bounded_batches, buffers, fold, sample_per_class, sampled_documents, text_bytes
+from recordloom.llm.common import LOWER, bounded_batches, buffers, fold, least_hashed, sampled_documents, text_bytes
 
 DIMS, NGRAMS, ROWS = 1 << 15, 4, 64
 
@@ -45,19 +45,21 @@ def row_blocks(off: np.ndarray, rows: int = ROWS):
         yield i, part[0], part[-1], part - part[0]
 
 
-def fit(docs: DataFrame, per_lang: int = 400, landmarks: int = 32, ridge: float = 1e-2, languages: int = 64) -> dict | None:
-    """Fit on at most `per_lang` documents of each learned language, `landmarks` of which are landmarks; None without any.
+def fit(docs: DataFrame, per_lang: int = 400, landmarks: int = 32, ridge: float = 1e-2, most_rows: int = 12_800, most_landmarks: int = 1024) -> dict | None:
+    """Fit on at most `per_lang` documents of each language, `landmarks` of which are landmarks; None without any.
 
-    Learned are the `languages` most frequent ones; the memory of the fit grows with them.
-
-    Learned from are documents with a language and text whose crc32 fold of 5 is not 0.
+    Every language that occurs is learned. Where there are many, each gets an equal part of `most_rows` documents and `most_landmarks` landmarks,
+    one at least, so what reaches the driver is bounded but for one row a language. Learned from are documents with a language and
+    text whose crc32 fold of 5 is not 0; of rows that share an id the one whose (text hash, language) is least.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = docs.where((fold(5) != 0) & (F.octet_length("text") > 0))
-    picked = sample_per_class(rows.select("doc_id", "lang"), "lang", per_lang, languages)
+    rows = docs.where((fold(5) != 0) & (F.octet_length("text") > 0) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
+    one = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("mark"), F.col("lang").cast("string").alias("lang"))).alias("m"))
+    picked = least_hashed(one.select("doc_id", "m.mark", "m.lang"), "lang", per_lang, most_rows)
     if not picked:
         return None
+    landmarks = max(1, min(landmarks, most_landmarks // len({p[2] for p in picked})))
 
     def run(batches):
         for b in batches:
