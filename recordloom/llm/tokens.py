@@ -3,8 +3,9 @@
 A document is cut into pre-tokens by the tokenizer's own pattern. Leaves of LEAF pre-tokens carry their texts' length and number
 of tokens, and a segment tree over the leaves holds the sums. An edit replaces a range of characters: the tree finds the
 leaves it touches by character sums, their text is edited and cut anew together with boundary context, and the leaves are
-exchanged until a new boundary falls on an old one, from where on pre-tokens are what they were. Only the exchanged leaves
-are encoded, and only the sums above them change.
+exchanged until a new boundary falls on an old one, from where on pre-tokens are what they were. Edits that touch the same
+leaves are made together, so a leaf is encoded once however many edits it has. Only the exchanged leaves are encoded, and only the
+sums above them change.
 
 Context: a pre-token is settled by its own characters and at most one character after it, but for runs of white space,
 whose end gives its last blank to the next word; and the pattern looks nowhere behind. So it is enough to cut from the leaf
@@ -74,10 +75,10 @@ class Tree:
         self.leaves = [words[i : i + LEAF] for i in range(0, len(words), LEAF)]
         self._build([(sum(map(len, leaf)), sum(enc.counts(leaf))) for leaf in self.leaves])
 
-    def _build(self, sums: list[tuple[int, int]]) -> None:
+    def _build(self, sums: list[tuple[int, int]] | np.ndarray) -> None:
         self.width = 1 << max(0, len(sums) - 1).bit_length()
         self.sums = np.zeros((2 * self.width, 2), np.int64)
-        if sums:
+        if len(sums):
             self.sums[self.width : self.width + len(sums)] = sums
         at = self.width
         while at > 1:
@@ -105,59 +106,73 @@ class Tree:
 
     def edit(self, start: int, stop: int, insert: str) -> None:
         """Replace the characters [start, stop) by `insert`."""
+        self.edit_all([(start, stop, insert)])
+
+    def edit_all(self, edits: list[tuple[int, int, str]]) -> None:
+        """Make disjoint edits (start, stop, insert) in order; places are those of the text before all of them."""
         if not self.leaves:
-            self.__init__(insert, self.enc)
+            if edits:
+                self.__init__("".join(insert for _, _, insert in edits), self.enc)
             return
-        low, begin = self.find(max(0, start - 1))
-        low, begin = (low - 1, begin - int(self.sums[self.width + low - 1, 0])) if low else (low, begin)
-        high, _ = self.find(stop)
-        grow = 1
+        swaps, k = [], 0
+        while k < len(edits):
+            low, begin = self._context(edits[k])
+            resume, keep, k = self._recut(edits, k, low, begin)
+            fresh = [keep[i : i + LEAF] for i in range(0, len(keep), LEAF)]
+            swaps.append((low, resume, fresh, [(sum(map(len, leaf)), sum(self.enc.counts(leaf))) for leaf in fresh]))
+        self._exchange(swaps)
+
+    def _context(self, edit: tuple[int, int, str]) -> tuple[int, int]:
+        """The leaf before the one in which an edit begins, and where it begins."""
+        leaf, begin = self.find(max(0, edit[0] - 1))
+        return (leaf - 1, begin - int(self.sums[self.width + leaf - 1, 0])) if leaf else (leaf, begin)
+
+    def _recut(self, edits: list[tuple[int, int, str]], k: int, low: int, begin: int) -> tuple[int, list[str], int]:
+        """From leaf `low`, which begins at `begin`, on: the leaf from which all is as before, the pre-tokens up to it, and the first edit left."""
+        upto, high, grow, n = k, -1, 1, len(self.leaves)
         while True:
-            old = [w for leaf in self.leaves[low : high + 1] for w in leaf]
-            text = "".join(old)
-            after = stop - begin  # where the edit's end lies in the old text of the leaves
-            new = text[: start - begin] + insert + text[after:]
-            end = len(insert) + start - begin
-            words, last = CUT.findall(new), high + 1 == len(self.leaves)
-            if last:
-                keep, resume = words, len(self.leaves)
-                break
-            # a leaf border behind the edit where the new cut has a border too, and no blank before it
-            borders = set(np.cumsum([len(w) for w in words]).tolist())
-            place, meet = 0, None
-            for k in range(low, high + 1):
-                place += int(self.sums[self.width + k, 0])
-                moved = place - after + end
-                if place > after and moved in borders and moved < len(new) and not new[moved - 1].isspace() and not new[moved].isspace():
-                    meet = (k + 1, moved)
-                    break
-                if place > after and moved in borders and moved < len(new) and not new[moved - 1].isspace() and new[moved] == " " and moved + 1 < len(new) and not new[moved + 1].isspace():
-                    meet = (k + 1, moved)
-                    break
-            if meet:
-                resume, size, keep = meet[0], 0, []
-                for w in words:
-                    if size == meet[1]:
-                        break
-                    keep.append(w)
-                    size += len(w)
-                break
-            high = min(len(self.leaves) - 1, high + grow)
+            while upto < len(edits) and (upto == k or self._context(edits[upto])[0] <= high):
+                high = max(high, self.find(edits[upto][1])[0])
+                upto += 1
+            text = "".join(w for leaf in self.leaves[low : high + 1] for w in leaf)
+            pieces, at = [], 0
+            for start, stop, insert in edits[k:upto]:
+                pieces += [text[at : start - begin], insert]
+                at = stop - begin
+            new = "".join([*pieces, text[at:]])
+            words = CUT.findall(new)
+            if high + 1 == n:
+                return n, words, upto
+            # a leaf border behind the edits where the new cut has a border too, and no blank before it
+            borders, place = set(np.cumsum([len(w) for w in words]).tolist()), 0
+            for leaf in range(low, high + 1):
+                place += int(self.sums[self.width + leaf, 0])
+                moved = place + len(new) - len(text)
+                if place > at and moved in borders and moved < len(new) and not new[moved - 1].isspace() and (not new[moved].isspace() or (new[moved] == " " and moved + 1 < len(new) and not new[moved + 1].isspace())):
+                    size = np.cumsum([len(w) for w in words])
+                    return leaf + 1, words[: int(np.searchsorted(size, moved)) + 1], upto
+            high = min(n - 1, high + grow)
             grow *= 2
-        fresh = [keep[i : i + LEAF] for i in range(0, len(keep), LEAF)]
-        sums = [(sum(map(len, leaf)), sum(self.enc.counts(leaf))) for leaf in fresh]
-        if len(fresh) == resume - low:
-            self.leaves[low:resume] = fresh
-            for k, s in enumerate(sums):
-                node = self.width + low + k
-                change = np.array(s) - self.sums[node]
-                while node:
-                    self.sums[node] += change
-                    node //= 2
-        else:
-            rest = [tuple(s) for s in self.sums[self.width : self.width + len(self.leaves)].tolist()]
-            self.leaves[low:resume] = fresh
-            self._build(rest[:low] + sums + rest[resume:])
+
+    def _exchange(self, swaps: list[tuple[int, int, list, list]]) -> None:
+        """Put new leaves in the place of old ones [low, resume): sums change on the paths above them, or are summed anew where leaves moved."""
+        if all(len(fresh) == resume - low for low, resume, fresh, _ in swaps):
+            for low, resume, fresh, sums in swaps:
+                self.leaves[low:resume] = fresh
+                for i, s in enumerate(sums):
+                    node = self.width + low + i
+                    change = np.array(s) - self.sums[node]
+                    while node:
+                        self.sums[node] += change
+                        node //= 2
+            return
+        flat, leaves, rows, at = self.sums[self.width : self.width + len(self.leaves)], [], [], 0
+        for low, resume, fresh, sums in swaps:
+            leaves += [*self.leaves[at:low], *fresh]
+            rows += [flat[at:low], np.array(sums, np.int64).reshape(-1, 2)]
+            at = resume
+        self.leaves = [*leaves, *self.leaves[at:]]
+        self._build(np.concatenate([*rows, flat[at:]]))
 
     def text(self) -> str:
         return "".join(w for leaf in self.leaves for w in leaf)
@@ -179,9 +194,8 @@ def token_counts(docs: DataFrame, folder: str = VOCABULARIES, name: str = VOCABU
     """Per document: doc_id, n_tokens, n_edits, n_tokens_after, n_pretokens, n_reencoded.
 
     n_tokens counts the whole text's tokens, n_tokens_after those after the document's edits, which `edits` derives from the
-    text as (start, stop, insert) in order; n_reencoded are the pre-tokens that the edits had encoded again. A text with more
-    edits than leaves is counted anew, since every leaf would be exchanged. Null text is empty and has none of anything;
-    repeated rows stay; an empty table gives no rows. Other columns are not read.
+    text as (start, stop, insert) in order and disjoint; n_reencoded are the pre-tokens that the edits had encoded again. Null text is
+    empty and has none of anything; repeated rows stay; an empty table gives no rows. Other columns are not read.
     """
     bounded_batches(docs.sparkSession)
 
@@ -193,15 +207,7 @@ def token_counts(docs: DataFrame, folder: str = VOCABULARIES, name: str = VOCABU
                 tree = Tree(text or "", enc)
                 before, size = tree.n_tokens, sum(map(len, tree.leaves))
                 todo, enc.encoded = edits(text or ""), 0
-                if len(todo) > max(4, len(tree.leaves)):
-                    new, at = [], 0
-                    for start, stop, insert in todo:
-                        new += [text[at:start], insert]
-                        at = stop
-                    tree = Tree("".join([*new, text[at:]]), enc)
-                else:
-                    for start, stop, insert in reversed(todo):  # from the end, so that places stay true
-                        tree.edit(start, stop, insert)
+                tree.edit_all(todo)
                 rows.append((before, len(todo), tree.n_tokens, size, enc.encoded))
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), pa.int64()) for c in cols)], ["doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_pretokens", "n_reencoded"])
