@@ -8,8 +8,9 @@ text positions of the rows that start a stretch or fall on every SAMPLE-th place
 by wavelet ranks; each occurrence walks back to a sampled row to learn its place. Overlapping occurrences merge to the spans
 that are to be removed.
 
-The vocabulary travels to the executors in blocks of at most BLOCK_BYTES of item text; further blocks are further passes
-over the same rows, without a shuffle. Nothing is shuffled at all.
+The vocabulary travels to the executors in blocks of at most BLOCK_BYTES. Mostly there is one, and nothing is shuffled. With more, each
+block is a pass of its own whose hits are written to the shared folder before the next block is made, so that one block at a time is held
+anywhere; the hits are then joined to the documents.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordloom.llm.common import ALNUM, LOWER, bounded_batches, buffers, text_bytes, with_text, word_hashes, word_spans
+from recordloom.llm.common import ALNUM, LOWER, bounded_batches, buffers, shared_folder, text_bytes, with_text, word_hashes, word_spans
 
 WINDOW, SAMPLE, BLOCK_BYTES = 10, 8, 16 << 20
 
@@ -160,16 +161,18 @@ def phrase_book(items: list[tuple[str, bytes]], window: int) -> dict | None:
     flat = np.frombuffer(b"".join(vocabulary), np.uint8)
     ends = np.cumsum([len(w) for w in vocabulary])
     starts = ends - [len(w) for w in vocabulary]
+    seed = 0
     hashes = word_hashes(flat, starts, ends)
+    while len(np.unique(hashes)) < len(hashes):  # two words share a hash: take other ones
+        seed += 2
+        hashes = word_hashes(flat, starts, ends, seed)
     order = np.argsort(hashes)
-    if len(np.unique(hashes)) < len(hashes):
-        raise ValueError("two words of the benchmark share a hash")
     number = {vocabulary[i]: k + 1 for k, i in enumerate(order.tolist())}
     lens = np.array([len(key) for key in windows])
     patterns = np.zeros((len(windows), int(lens.max())), np.int64)
     for row, key in zip(patterns, windows, strict=True):
         row[: len(key)] = [number[w] for w in key]
-    return {"hashes": hashes[order], "words": [vocabulary[i] for i in order.tolist()], "patterns": patterns, "lens": lens, "items": [sorted(x) for x in windows.values()]}
+    return {"seed": seed, "hashes": hashes[order], "words": [vocabulary[i] for i in order.tolist()], "patterns": patterns, "lens": lens, "items": [sorted(x) for x in windows.values()]}
 
 
 def occurrences(book: dict, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +180,7 @@ def occurrences(book: dict, data: np.ndarray, starts: np.ndarray, ends: np.ndarr
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not len(starts):
         return none
-    h = word_hashes(data, starts, ends)
+    h = word_hashes(data, starts, ends, book["seed"])
     at = np.minimum(np.searchsorted(book["hashes"], h), len(book["hashes"]) - 1)
     ids = np.where(book["hashes"][at] == h, at + 1, 0)
     shortest, top = int(book["lens"].min()), len(book["hashes"])
@@ -215,80 +218,134 @@ def occurrences(book: dict, data: np.ndarray, starts: np.ndarray, ends: np.ndarr
         ids[wrong] = 0
 
 
-def _search(book, last: bool, of, names: list[str]):
+class _Batch:
+    """One Arrow batch of (doc_id, text): its words, the words hit and the items found so far."""
+
+    def __init__(self, texts: pa.Array):
+        self.data, self.off = buffers(texts)
+        self.data, self.n = LOWER[self.data], len(texts)
+        self.starts, self.ends, self.row = word_spans(self.data, self.off, ALNUM)
+        self.base = np.searchsorted(self.row, np.arange(self.n + 1))  # first word of each row
+        self.hit, self.items = np.zeros(len(self.starts) + 1, np.int64), [set() for _ in range(self.n)]
+
+    def add(self, first: np.ndarray, close: np.ndarray) -> None:
+        np.add.at(self.hit, first, 1)
+        np.add.at(self.hit, close, -1)
+
+    def search(self, book: dict | None) -> None:
+        if book is None:
+            return
+        found, window = occurrences(book, self.data, self.starts, self.ends, self.row)
+        self.add(found, found + book["lens"][window])
+        named = book["items"]
+        for p in (np.unique(self.row[found] * len(named) + window) if len(found) else found).tolist():
+            self.items[p // len(named)].update(named[p % len(named)])
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Which words are hit; first and last word of each maximal run, and where each row's runs begin."""
+        row, covered = self.row, np.cumsum(self.hit)[:-1] > 0
+        edge = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool)
+        head = covered & (edge | ~np.concatenate([[False], covered[:-1]])[: len(covered)])
+        tail = covered & np.concatenate([head[1:] | ~covered[1:] | edge[1:], [True]])[: len(covered)]
+        heads, tails = np.flatnonzero(head), np.flatnonzero(tail)
+        return covered, heads, tails, np.searchsorted(row[heads], np.arange(self.n + 1))
+
+
+def _lists(cut: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(values, pa.int64()))
+
+
+def _results(batch: _Batch) -> list[pa.Array]:
+    """n_words, n_hit, n_items, items_sha256, contaminated, items, spans and word_spans of a batch that has been searched."""
+    covered, heads, tails, cut = batch.runs()
+    owner, items = batch.row[heads], [sorted(x) for x in batch.items]
+    n_hit = np.bincount(batch.row[covered], minlength=batch.n)
+    digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
+    as_bytes = ((batch.starts[heads] - batch.off[owner]) << 32) | (batch.ends[tails] - batch.off[owner])
+    as_words = ((heads - batch.base[owner]) << 32) | (tails + 1 - batch.base[owner])
+    return [pa.array(np.diff(batch.base)), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(digest), pa.array(n_hit > 0), pa.array(items, pa.list_(pa.string())), _lists(cut, as_bytes), _lists(cut, as_words)]
+
+
+RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<long>, word_spans array<long>"
+HITS = "mark long, items array<string>, runs array<long>"
+
+
+def _in_one_pass(docs: DataFrame, book, schema: T.StructType) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            batch = _Batch(b.column(1))
+            batch.search(book.value)
+            yield pa.RecordBatch.from_arrays([b.column(0), *_results(batch)], schema.fieldNames())
+
+    return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(run, schema)
+
+
+def _block_hits(docs: DataFrame, book, schema: T.StructType) -> DataFrame:
+    """(doc_id, mark, items, runs) of the documents with hits in one block; runs: first word << 32 | the word after the last."""
+
     def run(batches):
         for b in batches:
-            data, off = buffers(b.column(1))
-            data = LOWER[data]
-            starts, ends, row = word_spans(data, off, ALNUM)
-            n = b.num_rows
-            hit = np.zeros(len(starts) + 1, np.int64)
-            items = [set(x or ()) for x in b.column(2).to_pylist()]
-            for i, spans in enumerate(b.column(3).to_pylist()):
-                for x in spans or ():
-                    np.add.at(hit, [x >> 32, x & 0xFFFFFFFF] + np.searchsorted(row, i), [1, -1])
-            if book.value is not None:
-                found, window = occurrences(book.value, data, starts, ends, row)
-                np.add.at(hit, found, 1)
-                np.add.at(hit, found + book.value["lens"][window], -1)
-                named = book.value["items"]
-                pairs = np.unique(row[found] * len(named) + window) if len(found) else found
-                for p in pairs.tolist():
-                    items[p // len(named)].update(named[p % len(named)])
-            covered = np.cumsum(hit)[:-1] > 0
-            edge = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool)
-            head = covered & (edge | ~np.concatenate([[False], covered[:-1]])[: len(covered)])
-            tail = covered & np.concatenate([head[1:] | ~covered[1:] | edge[1:], [True]])[: len(covered)]
-            heads, tails = np.flatnonzero(head), np.flatnonzero(tail)
-            base = np.searchsorted(row, np.arange(n + 1))  # first word of each row
-            owner = row[heads]
-            cut = np.searchsorted(owner, np.arange(n + 1))
-            as_words = ((heads - base[owner]) << 32) | (tails + 1 - base[owner])
-            as_bytes = ((starts[heads] - off[owner]) << 32) | (ends[tails] - off[owner])
-            lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x, kind))
-            sorted_items = [sorted(x) for x in items]
-            if not last:
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sorted_items, pa.list_(pa.string())), lists(as_words, pa.int64())], names)
-                continue
-            n_words = np.diff(base)
-            n_hit = np.bincount(row[covered], minlength=n)
-            digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in sorted_items]
-            arrays = [b.column(0), pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(digest), pa.array(n_hit > 0), pa.array(sorted_items, pa.list_(pa.string())), lists(as_bytes, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names)
-
-    return run
+            batch = _Batch(b.column(1))
+            batch.search(book.value)
+            _, heads, tails, cut = batch.runs()
+            owner = batch.row[heads]
+            runs = _lists(cut, ((heads - batch.base[owner]) << 32) | (tails + 1 - batch.base[owner]))
+            some = np.flatnonzero(np.diff(cut) > 0)
+            arrays = [b.column(0).take(some), b.column(2).take(some), pa.array([sorted(batch.items[i]) for i in some], pa.list_(pa.string())), runs.take(pa.array(some))]
+            yield pa.RecordBatch.from_arrays(arrays, schema.fieldNames())
+
+    return docs.select("doc_id", text_bytes().alias("text"), F.xxhash64("text").alias("mark")).mapInArrow(run, schema)
+
+
+def _with_hits(docs: DataFrame, hits: DataFrame, schema: T.StructType) -> DataFrame:
+    """The results of documents from the hits of all blocks; rows alike in doc_id and text have the same hits."""
+    flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
+    whole = hits.dropDuplicates(["doc_id", "mark", "block"]).groupBy("doc_id", "mark").agg(flat("items"), flat("runs"))
+    whole = whole.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "items", "runs")
+    joined = docs.withColumn("mark", F.xxhash64("text")).join(whole, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left")
+
+    def run(batches):
+        for b in batches:
+            batch = _Batch(b.column(1))
+            batch.items = [set(x or ()) for x in b.column(2).to_pylist()]
+            for base, runs in zip(batch.base.tolist(), b.column(3).to_pylist(), strict=False):
+                r = np.array(runs or (), np.int64)
+                batch.add(base + (r >> 32), base + (r & 0xFFFFFFFF))
+            yield pa.RecordBatch.from_arrays([b.column(0), *_results(batch)], schema.fieldNames())
+
+    return joined.select("doc_id", text_bytes().alias("text"), "items", "runs").mapInArrow(run, schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items (sorted item_ids), spans.
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items (sorted item_ids), spans, word_spans.
 
     A word is hit if it lies in an occurrence of any `window` consecutive words of an item (of the whole item, if it has
-    fewer). spans: the maximal runs of hit words, each start << 32 | end in bytes of the text. Null text has no words, an
-    item without words has no windows; item_ids that repeat are one item, and a null item_id is named "null"; repeated
+    fewer). spans: the maximal runs of hit words, each start << 32 | end in bytes of the text; word_spans: the same in words. Null text
+    has no words, an item without words has no windows; item_ids that repeat are one item, and a null item_id is named "null"; repeated
     documents stay; an empty table of either kind gives what it implies. Other columns are not read.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    of = docs.schema["doc_id"].dataType
+    kept = lambda ddl: T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *T.StructType.fromDDL(ddl).fields])
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # one number
     blocks = max(1, math.ceil(2 * size / BLOCK_BYTES))
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), text_bytes().alias("text"))
-    out = docs.select("doc_id", text_bytes().alias("text"), F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("array<long>").alias("spans"))
-    array = lambda kind: T.ArrayType(kind)
+    book_of = lambda part: spark.sparkContext.broadcast(phrase_book([(r.name, bytes(r.text)) for r in part.collect()], window))  # noqa: E731 - at most a block
+    if blocks == 1:
+        return _in_one_pass(docs, book_of(items), kept(RESULT))
+    folder, numbered = shared_folder(spark, "benchmark-hits"), kept(f"{HITS}, block int")
     for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == k)
-        book = spark.sparkContext.broadcast(phrase_book([(r.name, bytes(r.text)) for r in part.collect()], window))  # at most a block
-        last = k == blocks - 1
-        fields = [("doc_id", of), ("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType()), ("items", array(T.StringType())), ("spans", array(T.LongType()))] if last else [("doc_id", of), ("text", T.BinaryType()), ("items", array(T.StringType())), ("spans", array(T.LongType()))]
-        out = out.mapInArrow(_search(book, last, of, [n for n, _ in fields]), T.StructType([T.StructField(*f) for f in fields]))
-    return out
+        book = book_of(items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == k))
+        _block_hits(docs, book, kept(HITS)).withColumn("block", F.lit(k)).write.mode("append").parquet(folder)
+        book.destroy()
+    return _with_hits(docs, spark.read.schema(numbered).parquet(folder), kept(RESULT))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents with benchmark passages cut out of `text` and `n_chars` counted anew.
+    """The documents with benchmark passages cut out of `text` and `n_chars` counted anew, in all their columns.
 
-    Each row is searched and cut where it stands. A document of which no word is left goes, if it had a passage;
-    all others stay, and a null text stays null.
+    Each row is searched and cut where it stands, repeated rows alike. A document of which no word is left goes, if it had a
+    passage; all others stay, and a null text stays null. An empty table of either kind changes nothing.
     """
     row = F.struct(*docs.columns).alias("doc_id")
     found = contamination(docs.select(row, "text"), benchmark, window).select(F.col("doc_id").alias("row"), "n_words", "n_hit", "spans")

@@ -12,9 +12,11 @@ pat AS (SELECT DISTINCT name, array_to_string(w[i:i + least(len(w), 10) - 1], '
 d AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS} AS w FROM documents),
 places AS (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d),
 hits AS (SELECT rid, i, s.m, name FROM (SELECT rid, i, sz.m, array_to_string(w[i:i + sz.m - 1], ' ') AS win FROM places, (SELECT DISTINCT m FROM pat) sz WHERE i + sz.m - 1 <= len(w)) s JOIN pat ON s.m = pat.m AND s.win = pat.win),
-cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + m)) AS p FROM (SELECT DISTINCT rid, i, m FROM hits)) GROUP BY rid),
+covered AS (SELECT DISTINCT rid, p FROM (SELECT rid, unnest(range(i, i + m)) AS p FROM (SELECT DISTINCT rid, i, m FROM hits))),
+runs AS (SELECT rid, min(p) - 1 AS lo, max(p) AS hi FROM (SELECT rid, p, p - row_number() OVER (PARTITION BY rid ORDER BY p) AS g FROM covered) GROUP BY rid, g),
+cov AS (SELECT rid, CAST(sum(hi - lo) AS BIGINT) AS n, string_agg(concat(lo, '-', hi), ',' ORDER BY lo) AS spans FROM runs GROUP BY rid),
 it AS (SELECT rid, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT rid, name FROM hits) GROUP BY rid)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(cov.n, 0) AS n_hit, coalesce(it.n, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(cov.n, 0) > 0 AS contaminated
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(cov.n, 0) AS n_hit, coalesce(it.n, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(cov.n, 0) > 0 AS contaminated, coalesce(spans, '') AS word_spans
 FROM d LEFT JOIN cov USING (rid) LEFT JOIN it USING (rid)"""
 
 CONTROL = r"\[/?INST\]|<</?SYS>>|</?s>|\[AS |\[/AS\]"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from recordloom.llm import chat, chroma, decontam, langid, mixing, quality, simhash, suffix_dedup, tokens, toxicity
 from recordloom.llm.common import table
@@ -12,7 +13,9 @@ from recordloom.llm.oracle import SQL
 
 
 def op1_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "spans")
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    shown = F.transform("word_spans", lambda x: F.concat(F.shiftright(x, 32).cast("string"), F.lit("-"), x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("string")))
+    return found.withColumn("word_spans", F.array_join(shown, ",")).drop("items", "spans")
 
 
 def op2_edit_aware_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
