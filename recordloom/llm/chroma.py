@@ -6,7 +6,8 @@ each, which makes a packed 32-bit integer a frame. Recordings are aligned by the
 offset with most votes wins and is verified by the share of bits that differ over the whole overlap.
 
 Recordings of one fingerprint are one class and are searched once. The queries, a stated share of the rows, go to the executors in blocks of
-at most QUERY_BYTES; every class looks its integers up in a block's sorted ones. Frames without sound carry no integer that is looked up.
+about QUERY_BYTES, one after the other: every class looks its integers up in a block's sorted ones, what it finds is written to the shared
+folder, and the block is given up before the next is made. Frames without sound carry no integer that is looked up.
 """
 
 from __future__ import annotations
@@ -20,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordloom.llm.common import bounded_batches
+from recordloom.llm.common import bounded_batches, checkpointed, shared_folder
 
 RATE, FRAME, HOP, SPAN, FILTERS = 4000, 512, 128, 12, 16
 LOW, HIGH = 110.0, 1760.0
 #: Bytes of fingerprints in a block of queries; what is broadcast is about four times as much.
-QUERY_BYTES = 4 << 20
+QUERY_BYTES = 8 << 20
 
 
 def rectangles() -> list[tuple[int, int, int, int]]:
@@ -191,8 +192,6 @@ def align(audio: DataFrame, every: int = 100, votes: int = 8, errors: float = 0.
     matches. Recordings that are null, no PCM file, too short or silent have no votes; rows that repeat an id count as copies;
     an empty table gives no rows. `members` tells which recordings a class has.
     """
-    from recordloom.llm.common import checkpointed
-
     return _align(checkpointed(classed(audio)), every, votes, errors)
 
 
@@ -207,16 +206,12 @@ def align_with_members(audio: DataFrame, **options) -> DataFrame:
     All links of a query to recordings are its matches joined to the members by class_id; the join is left to the reader,
     since it has the square of a large class.
     """
-    from recordloom.llm.common import checkpointed
-
     prints = checkpointed(classed(audio))
     found = _align(prints, **options).withColumn("kind", F.lit("match"))
     return found.unionByName(members(prints).withColumn("kind", F.lit("member")), allowMissingColumns=True)
 
 
 def _align(prints: DataFrame, every: int = 100, votes: int = 8, errors: float = 0.35) -> DataFrame:
-    from recordloom.llm.common import checkpointed
-
     classes = checkpointed(prints.groupBy("class_id", "code", "heard").agg(F.min("vec_id").alias("match_id"), F.count("*").alias("n_copies")))
     asked = checkpointed(prints.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("class_id").alias("q")).distinct())
     sought = classes.join(asked.select(F.col("q").alias("class_id")).distinct(), "class_id", "left_semi")
@@ -237,11 +232,13 @@ def _align(prints: DataFrame, every: int = 100, votes: int = 8, errors: float =
 
         return run
 
-    scored = None
+    spark, folder = prints.sparkSession, shared_folder(prints.sparkSession, "alignments")
+    kind = "q string, class_id string, match_id long, offset int, n_votes long, n_copies long, overlap int, bit_error_rate double"
     for k in range(blocks):
-        block = sought.where(F.pmod(F.xxhash64("class_id"), F.lit(blocks)) == k).select("class_id", "code", "heard").collect()  # about QUERY_BYTES at most
-        book = prints.sparkSession.sparkContext.broadcast(query_book([(r.class_id, bytes(r.code), bytes(r.heard)) for r in block]))
-        part = classes.select("class_id", "match_id", "n_copies", "code", "heard").mapInArrow(search(book), "q string, class_id string, match_id long, offset int, n_votes long, n_copies long, overlap int, bit_error_rate double")
-        scored = part if scored is None else scored.union(part)
+        block = sought.where(F.pmod(F.xxhash64("class_id"), F.lit(blocks)) == k).select("class_id", "code", "heard").collect()  # about QUERY_BYTES
+        book = spark.sparkContext.broadcast(query_book([(r.class_id, bytes(r.code), bytes(r.heard)) for r in block]))
+        classes.select("class_id", "match_id", "n_copies", "code", "heard").mapInArrow(search(book), kind).write.mode("append").parquet(folder)
+        book.destroy()
+    scored = spark.read.schema(kind).parquet(folder)
     near = scored.where(F.col("bit_error_rate") <= errors)
     return near.join(asked, "q").select("query_id", "match_id", "n_copies", "offset", "n_votes", "overlap", "bit_error_rate", "class_id")
