@@ -22,6 +22,8 @@ from recordloom.llm.common import bounded_batches, checkpointed, text_bytes
 from recordloom.llm.graph import components
 
 CHUNK = 1 << 15
+#: A key with more than a HOT-th of all rows is broadcast to them.
+HOT = 1000
 
 
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
@@ -78,6 +80,17 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
+def with_owner(marked: DataFrame, owner: DataFrame, key: str, total: int) -> DataFrame:
+    """marked joined to owner (key, n, component_id), whose keys are unique and n of `total` rows each.
+
+    Fewer than HOT keys have more than a HOT-th of the rows: these are broadcast, and their rows stay where they are. All
+    others meet in a join in which no key has more than that.
+    """
+    hot = F.broadcast(owner.where(F.col("n") * HOT > total).drop("n"))
+    rare = owner.where(F.col("n") * HOT <= total).drop("n")
+    return marked.join(hot, key).unionByName(marked.join(hot.select(key), key, "left_anti").join(rare, key))
+
+
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document.
 
@@ -87,12 +100,13 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, seed: i
     an empty table gives no rows. Other columns are not read.
     """
     marked = checkpointed(fingerprints(docs, words, seed))
-    nodes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    nodes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     roots = components(links(nodes, radius))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp").groupBy("root").agg(F.min("first").alias("lowest"))
     owner = roots.join(named, "root").select(F.col("node").alias("fp"), "lowest")
-    owner = nodes.join(owner, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id"))
-    return marked.join(owner, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    owner = checkpointed(nodes.join(owner, "fp", "left").select("fp", "n", F.coalesce("lowest", "first").alias("component_id")))
+    total = nodes.agg(F.sum("n")).first()[0] or 0  # one number
+    return with_owner(marked, owner, "fp", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def text_key() -> Column:
