@@ -9,8 +9,13 @@ blind trie for each group that is still undecided. Two windows with j bytes befo
 their prefixes share j bytes and their suffixes length - j, which both orders' common-prefix lengths tell. Of windows
 that are alike the one with the smallest (document, start) stays; the others cover what is removed.
 
-Stretches that are alike are reduced to the earliest before they are sent, and again as a bin takes them in, so the
-memory of a task follows the distinct text around one bin's anchors, not the number of copies.
+Stretches that are alike are reduced to the earliest before they are sent, and again as a bin takes them in, so copies
+cost no memory. An anchor with more than a bin's bytes of distinct stretches, such as one in a short line that most documents have, gets
+a second key: its windows are sent on by their whole text, and of those alike all but the earliest are removed. So no task
+holds more than a bin and a stretch, whatever the documents have in common.
+
+The number of shuffle partitions is bounded (MOST_PARTS). Where there are more bins, a partition holds many: its task
+splits what arrives into bins, which Spark sorts within the partition and which are then taken one after the other.
 """
 
 from __future__ import annotations
@@ -25,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordloom.llm.common import bounded_batches, buffers, mix, text_bytes, with_text
+from recordloom.llm.common import bounded_batches, buffers, checkpointed, mix, text_bytes, with_text
 
 LENGTH, GRAM = 100, 20
 #: Window starts hashed at once, and bytes of stretches that a bin holds on average.
 CHUNK, BIN_BYTES = 1 << 18, 24 << 20
+#: Shuffle partitions at most; windows of hot anchors in one output batch.
+MOST_PARTS, WINDOWS = 20_000, 1 << 15
 #: 8-byte characters compared by multikey quicksort before the blind tries take over.
 SHALLOW = 4
 FIELDS = np.dtype([("doc", "<i8"), ("sub", "<i8"), ("at", "<i8"), ("a", "<u2"), ("b", "<u2")])
@@ -334,7 +341,38 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return items, np.frombuffer(raw, np.uint8, offset=at)
 
 
-def _shards(length: int, gram: int, bins: int):
+def anchor_hashes(text: np.ndarray, starts: np.ndarray, items: np.ndarray, gram: int) -> np.ndarray:
+    """The hashes of the grams at the stretches' anchors."""
+    grams = gather(text, starts + items["a"], np.full(len(items), gram, np.int64))
+    return gram_hashes(grams, gram)[::gram] if len(grams) else np.zeros(0, np.uint64)
+
+
+def _begins(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each stretch begins in the joined text, and its length."""
+    lens = items["a"].astype(np.int64) + items["b"]
+    return np.cumsum(lens) - lens, lens
+
+
+def _blobs(home: np.ndarray, items: np.ndarray, text: np.ndarray, starts: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Stretches packed into a blob for each home, in order of document and place."""
+    order = np.lexsort((items["at"], items["sub"], items["doc"], home))
+    home, items, starts = home[order], items[order], starts[order]
+    edges = np.append(np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]])), len(home)) if len(home) else [0]
+    names, blobs = [], []
+    for x, y in zip(edges[:-1], edges[1:], strict=True):
+        part = items[x:y]
+        names.append(int(home[x]))
+        blobs.append(_pack(part, gather(text, starts[x:y], part["a"].astype(np.int64) + part["b"])))
+    return names, blobs
+
+
+def _named(names: list[int], blobs: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bin", "blob"])
+
+
+def _shards(length: int, gram: int, parts: int):
+    """Each batch's stretches as a blob for each partition; what repeats within the batch as one of spans, with a negative number."""
+
     def run(batches):
         for b in batches:
             doc, sub = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
@@ -347,79 +385,135 @@ def _shards(length: int, gram: int, bins: int):
             items["doc"], items["sub"], items["at"] = doc[row], sub[row], at - off[row]
             items["a"], items["b"] = at - first, last + length - at
             kept, spans = collapse(data, first, items)
-            home = (h[kept] % np.uint64(bins)).astype(np.int64)
-            kept = kept[np.lexsort((items["at"][kept], row[kept], home))]
-            home = (h[kept] % np.uint64(bins)).astype(np.int64)
-            edges = np.append(np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]])), len(kept))
-            names, blobs = [], []
-
-            def out(names=names, blobs=blobs):
-                return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bin", "blob"])
-
+            names, blobs = _blobs((h[kept] % np.uint64(parts)).astype(np.int64), items[kept], data, first[kept])
             if len(spans):
-                names.append(-1 - int(spans["doc"][0] % bins))
+                names.append(-1 - int(spans["doc"][0] % parts))
                 blobs.append(zstandard.compress(merged(spans).tobytes()))
-            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                part = items[kept[x:y]]
-                names.append(int(home[x]))
-                blobs.append(_pack(part, gather(data, first[kept[x:y]], part["a"].astype(np.int64) + part["b"])))
-            yield out()
+            yield _named(names, blobs)
 
     return run
 
 
-def _bins(length: int, gram: int):
-    class Bin:
-        def __init__(self):
-            self.items, self.text, self.size, self.limit = [], [], 0, 4 * BIN_BYTES
-
-        def add(self, blob):
-            items, text = _unpack(blob)
-            self.items.append(items)
-            self.text.append(text)
-            self.size += len(text)
-            if self.size > self.limit:
-                spans = self.shrink()
-                self.limit = max(4 * BIN_BYTES, 2 * self.size)
-                return spans
-            return None
-
-        def shrink(self):
-            items, text = np.concatenate(self.items), np.concatenate(self.text)
-            lens = items["a"].astype(np.int64) + items["b"]
-            starts = np.cumsum(lens) - lens
-            kept, spans = collapse(text, starts, items)
-            self.items, self.text = [items[kept]], [gather(text, starts[kept], lens[kept])]
-            self.size = len(self.text[0])
-            return spans
-
-        def close(self):
-            spans = self.shrink()
-            items, text = self.items[0], self.text[0]
-            lens = items["a"].astype(np.int64) + items["b"]
-            return np.concatenate([spans, bin_spans(text, np.cumsum(lens) - lens, items, length, gram)])
-
-    def out(spans):
+def _split(gram: int, parts: int, fine: int, buffer: int):
+    """The blobs of one partition as blobs of its bins, from buffers of about `buffer` bytes of text."""
+
+    def out(held):
+        items, text = np.concatenate([i for i, _ in held]), np.concatenate([t for _, t in held])
+        starts, _ = _begins(items)
+        home = ((anchor_hashes(text, starts, items, gram) // np.uint64(parts)) % np.uint64(fine)).astype(np.int64)
+        return _named(*_blobs(home, items, text, starts))
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            for name, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if name < 0:
+                    yield _named([-1], [blob.as_py()])
+                    continue
+                held.append(_unpack(blob.as_py()))
+                size += len(held[-1][1])
+                if size > buffer:
+                    yield out(held)
+                    held, size = [], 0
+        if held:
+            yield out(held)
+
+    return run
+
+
+class Bin:
+    """Stretches of one bin as they come in. Copies are dropped, and anchors with more than `most` bytes of distinct stretches give theirs away."""
+
+    def __init__(self, length: int, gram: int, most: int):
+        self.length, self.gram, self.most, self.limit = length, gram, most, 4 * most
+        self.items, self.text, self.size, self.hot = [], [], 0, np.zeros(0, np.uint64)
+
+    def add(self, blob: bytes):
+        """Take a blob in; yields what is given away: (spans, None) or (stretches, their text)."""
+        items, text = _unpack(blob)
+        if len(self.hot):
+            starts, lens = _begins(items)
+            away = np.isin(anchor_hashes(text, starts, items, self.gram), self.hot)
+            yield items[away], gather(text, starts[away], lens[away])
+            items, text = items[~away], gather(text, starts[~away], lens[~away])
+        self.items.append(items)
+        self.text.append(text)
+        self.size += len(text)
+        if self.size > self.limit:
+            yield from self.shrink()
+            self.limit = max(4 * self.most, 2 * self.size)
+
+    def shrink(self):
+        items, text = np.concatenate(self.items), np.concatenate(self.text)
+        starts, lens = _begins(items)
+        kept, spans = collapse(text, starts, items)
+        yield spans, None
+        if lens[kept].sum() > self.most:
+            h = anchor_hashes(text, starts[kept], items[kept], self.gram)
+            _, group = np.unique(h, return_inverse=True)
+            away = np.bincount(group, lens[kept])[group] > self.most
+            if away.any():
+                self.hot = np.union1d(self.hot, h[away])
+                gone, kept = kept[away], kept[~away]
+                yield items[gone], gather(text, starts[gone], lens[gone])
+        self.items, self.text = [items[kept]], [gather(text, starts[kept], lens[kept])]
+        self.size = len(self.text[0])
+
+    def close(self):
+        yield from self.shrink()
+        items, text = self.items[0], self.text[0]
+        starts, lens = _begins(items)
+        if not len(items):
+            return
+        h = anchor_hashes(text, starts, items, self.gram)
+        order = np.argsort(h, kind="stable")  # anchors are apart from each other: take as many as make about a bin
+        ends = np.flatnonzero(np.append(h[order][1:] != h[order][:-1], True)) + 1
+        step = np.cumsum(lens[order])[ends - 1] // self.most
+        cuts = np.concatenate([[0], ends[np.append(step[1:] != step[:-1], True)]])
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            own = np.sort(order[x:y])
+            yield bin_spans(text, starts[own], items[own], self.length, self.gram), None
+
+
+def _bins(length: int, gram: int, most: int):
+    def spans_out(spans):
         spans = merged(spans)
         both = (spans["lo"] << 32) | spans["hi"]
-        return pa.RecordBatch.from_arrays([pa.array(spans["doc"]), pa.array(spans["sub"]), pa.array(both)], ["doc", "sub", "span"])
+        return pa.RecordBatch.from_arrays([pa.array(spans["doc"]), pa.array(spans["sub"]), pa.array(both), pa.nulls(len(spans), pa.binary())], ["doc", "sub", "span", "window"])
+
+    def windows_out(items, text):
+        starts, lens = _begins(items)
+        n = lens - length + 1
+        of, nth = np.repeat(np.arange(len(items)), n), ragged(np.zeros(len(items), np.int64), n)
+        for c in range(0, len(of), WINDOWS):
+            i, w = of[c : c + WINDOWS], nth[c : c + WINDOWS]
+            lo = items["at"][i] - items["a"][i] + w
+            data = gather(text, starts[i] + w, np.full(len(i), length, np.int64))
+            column = pa.Array.from_buffers(pa.binary(), len(i), [None, pa.py_buffer(np.arange(0, len(data) + 1, length, dtype=np.int32)), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([pa.array(items["doc"][i]), pa.array(items["sub"][i]), pa.array((lo << 32) | (lo + length)), column], ["doc", "sub", "span", "window"])
+
+    def out(found):
+        for rows, text in found:
+            if len(rows):
+                if text is None:
+                    yield spans_out(rows)
+                else:
+                    yield from windows_out(rows, text)
 
     def run(batches):
-        now, held = None, Bin()
+        now, held = None, None
         for b in batches:
             for name, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if name < 0:
-                    yield out(np.frombuffer(zstandard.decompress(blob.as_py()), SPAN))
+                    yield spans_out(np.frombuffer(zstandard.decompress(blob.as_py()), SPAN))
                     continue
-                if name != now and held.items:
-                    yield out(held.close())
-                    held = Bin()
-                now = name
-                spans = held.add(blob.as_py())
-                if spans is not None and len(spans):
-                    yield out(spans)
-        if held.items:
-            yield out(held.close())
+                if held is not None and name != now:
+                    yield from out(held.close())
+                    held = None
+                now, held = name, held or Bin(length, gram, most)
+                yield from out(held.add(blob.as_py()))
+        if held is not None:
+            yield from out(held.close())
 
     return run
 
@@ -431,17 +525,31 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_sub": sub})
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bin_bytes: int = BIN_BYTES, most_parts: int = MOST_PARTS) -> DataFrame:
     """(_doc, _sub, spans) of keyed documents that have any: spans, each start << 32 | end in bytes, in no order, may overlap."""
     spark = docs.sparkSession
     bounded_batches(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # one number
-    bins = max(8, math.ceil(total * (1 + 2 * (length - 1) / (length - gram + 2)) / BIN_BYTES))
+    bins = max(8, math.ceil(total * (1 + 2 * (length - 1) / (length - gram + 2)) / bin_bytes))
+    parts = min(bins, most_parts)
+    fine = math.ceil(bins / parts)
     sent = docs.where(F.octet_length("text") >= length).select("_doc", "_sub", text_bytes().alias("text"))
-    rows = sent.mapInArrow(_shards(length, gram, bins), "bin int, blob binary")
-    placed = rows.repartitionById(bins, F.pmod(F.col("bin"), F.lit(bins)))  # by hash some tasks would get several bins
-    found = placed.sortWithinPartitions("bin").mapInArrow(_bins(length, gram), "doc long, sub long, span long")
-    return found.groupBy(F.col("doc").alias("_doc"), F.col("sub").alias("_sub")).agg(F.collect_list("span").alias("spans"))
+    rows = sent.mapInArrow(_shards(length, gram, parts), "bin int, blob binary")
+    placed = rows.repartitionById(parts, F.pmod(F.col("bin"), F.lit(parts)))  # by hash some tasks would get several partitions
+    if fine > 1:
+        placed = placed.mapInArrow(_split(gram, parts, fine, 2 * bin_bytes), "bin int, blob binary")
+    found = checkpointed(placed.sortWithinPartitions("bin").mapInArrow(_bins(length, gram, bin_bytes), "doc long, sub long, span long, window binary"))
+    spans, hot = found.where("window is null").select("doc", "sub", "span"), found.where("window is not null")
+    if hot.limit(1).count():
+        spans = spans.union(later_windows(hot))
+    return spans.groupBy(F.col("doc").alias("_doc"), F.col("sub").alias("_sub")).agg(F.collect_list("span").alias("spans"))
+
+
+def later_windows(windows: DataFrame) -> DataFrame:
+    """(doc, sub, span) of the windows whose text occurs in another one that starts earlier."""
+    place = F.struct("doc", "sub", "span")
+    first = windows.groupBy("window").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("window").alias("text"), "first")
+    return windows.join(first, F.col("window") == F.col("text")).where(place != F.col("first")).select("doc", "sub", "span")
 
 
 def _compressed(docs: DataFrame) -> DataFrame:
@@ -486,7 +594,7 @@ def _kept(text: bytes, cuts: list[tuple[int, int]]) -> bytes:
     return b"".join(text[a:b] for a, b in zip(ends, [*(lo for lo, _ in cuts), len(text)], strict=True))
 
 
-def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, **sizes) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with keep_text also spans (pairs of byte offsets) and kept (bytes).
 
     A byte goes if a string of `length` bytes that covers it also starts earlier, in a document of smaller doc_id or
@@ -496,7 +604,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kee
     no rows. Other columns are not read.
     """
     docs = keyed(docs.select("doc_id", "text"))
-    spans = repeated_spans(docs, length, gram)
+    spans = repeated_spans(docs, length, gram, **sizes)
     joined = _compressed(docs).join(spans, ["_doc", "_sub"], "left")
 
     def run(batches):
@@ -521,9 +629,10 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kee
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """The documents with repeated passages cut out of `text` (whole characters only) and `n_chars` counted anew.
+    """The documents with repeated passages cut out of `text` (whole characters only) and `n_chars` counted anew, in all their columns.
 
-    A document of which nothing is left goes; one that was empty before stays, and a null text stays null.
+    A document of which nothing is left goes; one that was empty before stays, and a null text stays null. Documents are ordered as
+    `substring_dedup` orders them, null ids last; rows alike in id and text keep the same text. An empty table gives no rows.
     """
     columns = docs.columns
     keys = keyed(docs.select(F.struct(*columns).alias("row"), "doc_id", "text"))
