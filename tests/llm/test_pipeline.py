@@ -2,7 +2,8 @@
 
 import corpus_pipeline
 from recordloom.llm import quality
-from tests.llm.test_operators import brute_components, brute_contamination, brute_dedup
+from tests.llm.test_near_copies import brute_near
+from tests.llm.test_operators import brute_contamination, brute_dedup
 
 
 def test_pipeline(spark):
@@ -19,7 +20,7 @@ def test_pipeline(spark):
     ids = [{r.doc_id for r in d.collect()} for d in seen]
     assert ids[1] == good and len(good) < len(ids[0])
     rows = [(r.doc_id, r.text) for r in seen[1].collect()]
-    assert ids[2] == {c for _, _, c in brute_components(rows)}
+    assert ids[2] == brute_near(rows)
     raw = [(r.doc_id, r.text.encode()) for r in seen[2].collect()]
     want = brute_dedup(raw, 100)
     after = {r.doc_id: len(r.text.encode()) for r in seen[3].collect()}
