@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from recordloom.catalog import duck as D
 from recordloom.operators import layout, matching, tables, zones
@@ -44,6 +43,56 @@ def _crop(f):
     return lambda s, d: rules(s, d).withColumn("z", f()).select("c_custkey", *[F.col(f"z.{k}").alias(k) for k in ("x1", "y1", "x2", "y2")])
 
 
+_RD = "(SELECT * FROM words WHERE regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') <> '' AND conf >= 0)"
+SEGMENTS = f"""{D.WORDS}, rd AS {_RD}, u AS (SELECT doc_id, page_no, CAST(list_sort(list(height))[len(list(height)) // 2 + 1] AS DOUBLE) AS unit FROM rd GROUP BY ALL),
+sg AS (SELECT rd.* REPLACE (conf / 100 AS conf), unit, line * 8 + word AS seg_id, "left" + width AS "right", top + height AS bottom, "left" + width / 2 AS cx, top + height / 2 AS cy FROM rd JOIN u USING (doc_id, page_no))"""
+LABELS = f"""WITH {SEGMENTS}, gt AS (SELECT DISTINCT a.doc_id, a.page_no, a.seg_id FROM sg a JOIN sg o ON a.doc_id = o.doc_id AND a.page_no = o.page_no AND a.seg_id <> o.seg_id AND abs(a.cy - o.cy) <= a.unit AND o."left" - a."right" BETWEEN 1.5 * a.unit AND 20 * a.unit),
+lb AS (SELECT sg.*, NOT (regexp_full_match({D.strip('text')}, '[0-9,]+(\\.[0-9]+)?[/\\-]*') OR regexp_full_match({D.strip('text')}, '[0-9]{{1,2}}[./-][0-9]{{1,2}}[./-][0-9]{{2,4}}')) AND (suffix({D.strip('text')}, ':') OR (conf >= 0.6 AND (gt.seg_id IS NOT NULL OR regexp_matches(text, '(?i)\\b(no|nos|number|name|date|code|type|centre|center|amount|by|id)[.:]?$')))) AS is_label FROM sg LEFT JOIN gt USING (doc_id, page_no, seg_id))"""
+_PAIR = "l.doc_id = s.doc_id AND l.page_no = s.page_no AND l.seg_id <> s.seg_id AND l.is_label"
+
+
+def _taken(name: str, within: str, order: str) -> str:
+    """Per label the texts that stand `within`, in order, up to the first label, with their lower end and left edge."""
+    return f"""{name} AS (SELECT doc_id, page_no, seg_id, string_agg(text, ' ' ORDER BY {order}, sid) AS texts, max(sb) AS floor_, min(sl) AS anchor FROM (SELECT *, sum(CAST(stop AS INT)) OVER (PARTITION BY doc_id, page_no, seg_id ORDER BY {order}, sid ROWS UNBOUNDED PRECEDING) AS n FROM (
+SELECT l.doc_id, l.page_no, l.seg_id, s.seg_id AS sid, s."left" AS sl, s.top AS st, s.bottom AS sb, s.is_label AS stop, s.text FROM lb l JOIN lb s ON {_PAIR} AND {within})) WHERE n = 0 GROUP BY ALL)"""
+
+
+BESIDE = f"""{LABELS}, {_taken('bs', 'abs(s.cy - l.cy) <= l.unit AND s."left" - l."right" BETWEEN 0 AND 20 * l.unit', 'sl, st')}"""
+UNDER = _taken("un", 's.cy BETWEEN l.bottom AND l.bottom + 3 * l.unit AND abs(s."left" - l."left") <= 2.7 * l.unit', "st, sl")
+
+
+def _labels(s, d):
+    return layout.labels(segments(s, d))
+
+
+def _texts(found):
+    return found.select("doc_id", "page_no", "seg_id", F.array_join(F.transform("found", lambda x: x["text"]), " ").alias("texts"))
+
+
+def _continued(s, d):
+    seg = _labels(s, d)
+    first, second = layout.beside(seg), layout.under(seg)
+    cut = lambda v: v.select("doc_id", "page_no", "seg_id", F.transform("found", lambda x: F.struct(x["bottom"].alias("bottom"), x["left"].alias("left"))).alias("found"))
+    values = cut(first).unionByName(cut(second.join(first.select("doc_id", "page_no", "seg_id"), ["doc_id", "page_no", "seg_id"], "left_anti")))
+    return layout.continued(seg, values).select("doc_id", "page_no", "seg_id", F.array_join("more", " ").alias("texts"))
+
+
+def _acknowledgement_words(s, d):
+    """A heading and three captions for each customer, in one of two orders; every fifth lacks one."""
+    c = derive.table(s, d, "customer").selectExpr("c_custkey AS doc_id", "c_custkey % 90 AS o", "c_custkey % 2 = 0 AS swap")
+    word = lambda text, left, top: F.struct(F.lit(text).alias("text"), left.cast("int").alias("left"), F.lit(top).alias("top"), F.lit(60).alias("width"), F.lit(10).alias("height"))
+    o, swap = F.col("o"), F.col("swap")
+    words = F.array(word("ACKNOWLEDGEMENT", o, 100), word("Date", o + 800, 20), word("Received", o, 125), word("DATE", F.when(swap, o + 300).otherwise(o + 150), 125), word("Remarks", F.when(swap, o + 150).otherwise(o + 300), 125), word("date", o + 700, 180))
+    kept = F.filter(words, lambda w: (F.col("doc_id") % 5 != 0) | (w["text"] != "Remarks"))
+    return c.select("doc_id", F.explode(kept).alias("w")).select("doc_id", "w.*")
+
+
+def _bands(s, d):
+    """A band of text near the top of a page, or lower down, for each order: titles, longer texts with a title in them, and others."""
+    o = derive.table(s, d, "orders").selectExpr("o_custkey AS doc_id", "o_orderkey AS page_no", "IF(o_orderkey % 3 = 0, 0.5D, 0.1D) AS top")
+    return o.withColumn("text", F.expr("CASE page_no % 7 WHEN 0 THEN 'TAX INVOICE' WHEN 1 THEN concat('Freight Invoice ', page_no) WHEN 2 THEN concat('tax invoice ', repeat('z ', 60)) WHEN 3 THEN '' ELSE 'zzzzq' END"))
+
+
 QUERIES = {
     "box_geometry": (
         lambda s, d: layout.geometry(words(s, d)).select("doc_id", "page_no", "line", "word", "right", "bottom", "cx", "cy"),
@@ -76,8 +125,8 @@ QUERIES = {
         f'{READABLE} SELECT doc_id, page_no, text AS first_text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY top, "left", word) k FROM rd) WHERE k = 1',
     ),
     "header_columns": (
-        lambda s, d: zones.header_columns(words(s, d).where("line = 0"), ["doc_id", "page_no"]).select("doc_id", "page_no", "left", "until"),
-        f'{W} SELECT doc_id, page_no, "left", coalesce(lead("left") OVER (PARTITION BY doc_id, page_no ORDER BY "left", text), "left" + 4 * width) AS until FROM words WHERE line = 0',
+        lambda s, d: zones.header_columns(words(s, d), ["doc_id", "page_no"]).select("doc_id", "page_no", "line", "word", "left", "until"),
+        f'{W}, t AS (SELECT *, min(top) OVER (PARTITION BY doc_id, page_no) AS t0 FROM words), h AS (SELECT doc_id, page_no, t0, min((line, word)) AS head FROM t WHERE top = t0 GROUP BY ALL), b AS (SELECT w.* FROM words w JOIN h USING (doc_id, page_no) JOIN words f ON f.doc_id = w.doc_id AND f.page_no = w.page_no AND (f.line, f.word) = head WHERE w.top - t0 <= 6 * f.height) SELECT doc_id, page_no, line, word, "left", coalesce(lead("left") OVER (PARTITION BY doc_id, page_no ORDER BY "left", line, word), "left" + 4 * width) AS until FROM b',
     ),
     "asof_rule": (
         lambda s, d: rules(s, d).select("c_custkey", zones.rule_above(F.col("lines"), F.col("y")).alias("above"), zones.rule_below(F.col("lines"), F.col("y")).alias("below")),
@@ -91,8 +140,19 @@ QUERIES = {
         lambda s, d: rules(s, d).select("c_custkey", zones.nearest_right(F.col("boxes"), F.col("x"), F.col("y")).alias("b")).selectExpr("c_custkey", "b.x1", "b.y1"),
         f"{CUST}, k AS (SELECT c_custkey, bx.*, row_number() OVER (PARTITION BY c_custkey ORDER BY x1 - x, i) r FROM c JOIN bx ON x1 >= x AND y BETWEEN y1 AND y2) SELECT c.c_custkey, k.x1, k.y1 FROM c LEFT JOIN k ON c.c_custkey = k.c_custkey AND r = 1",
     ),
-    "zone_crop": (_crop(lambda: zones.zone_crop(_anchor(), F.col("lines"), F.col("boxes"), F.lit(1000), F.lit(1000))), None),
-    "table_crop": (_crop(lambda: zones.table_crop(_anchor(), F.col("lines"), F.col("boxes"), F.lit(1000))), None),
+    "zone_crop": (
+        _crop(lambda: zones.zone_crop(_anchor(), F.col("lines"), F.col("boxes"), F.lit(1000), F.lit(1000))),
+        f"""{CUST}, q AS (SELECT c_custkey, x, y, bx.*, x1 <= x + 30 AND x + 30 <= x2 AND y1 <= y + 10 AND y + 10 <= y2 AS inside FROM c, bx),
+k AS (SELECT c_custkey, x1, x2, row_number() OVER (PARTITION BY c_custkey ORDER BY inside DESC, CASE WHEN inside THEN (x2 - x1) * (y2 - y1) ELSE x1 - x END, i) r FROM q WHERE inside OR (x1 >= x + 60 AND y1 <= y + 10 AND y + 10 <= y2)),
+z AS (SELECT c.c_custkey, x, y, coalesce(least(k.x1, x), greatest(0, x - 180)) AS l, coalesce(greatest(k.x2, x + 60), least(1000, x + 240)) AS r,
+  coalesce((SELECT max(h) FROM (SELECT unnest(range(100, 900, 100)) h) WHERE h <= y), greatest(0, y - 60)) AS t, coalesce((SELECT min(h) FROM (SELECT unnest(range(100, 900, 100)) h) WHERE h >= y + 20), least(1000, y + 80)) AS b FROM c LEFT JOIN k ON c.c_custkey = k.c_custkey AND k.r = 1)
+SELECT c_custkey, CAST(CASE WHEN s THEN greatest(0, x - 180) ELSE l END AS DOUBLE) AS x1, CAST(CASE WHEN s THEN greatest(0, y - 60) ELSE t END AS DOUBLE) AS y1, CAST(CASE WHEN s THEN least(1000, x + 240) ELSE r END AS DOUBLE) AS x2, CAST(CASE WHEN s THEN least(1000, y + 80) ELSE b END AS DOUBLE) AS y2 FROM (SELECT *, (r - l) * (b - t) < 3000 AS s FROM z)""",
+    ),
+    "table_crop": (
+        _crop(lambda: zones.table_crop(_anchor(), F.col("lines"), F.col("boxes"), F.lit(1000), 14.0)),
+        f"""{CUST}, g AS (SELECT c.c_custkey, x, y, least(x, coalesce(min(x1), x)) AS l, least(y, coalesce(min(y1), y)) AS t, greatest(x + 60, coalesce(max(x2), 0)) AS r, greatest(y + 20, coalesce(max(y2), 0)) AS b FROM c LEFT JOIN bx ON abs((y2 - y1) - 20) <= 280 AND least(y2, y + 20) > greatest(y1, y) GROUP BY c.c_custkey, x, y)
+SELECT c_custkey, CAST(l AS DOUBLE) AS x1, CAST(t AS DOUBLE) AS y1, CAST(r AS DOUBLE) AS x2, CAST(coalesce((SELECT min(h) FROM (SELECT unnest(range(100, 900, 100)) h) WHERE h >= b + 1), 1000) AS DOUBLE) AS y2 FROM g""",
+    ),
     "weight_crop": (
         _crop(lambda: zones.weight_crop(_anchor(), F.col("lines"), F.lit(1000), F.lit(1000))),
         f"{CUST} SELECT c_custkey, CAST(x AS DOUBLE) AS x1, CAST(greatest(0, y - 10) AS DOUBLE) AS y1, CAST(least(1000, x + 198) AS DOUBLE) AS x2, CAST(least(1000, coalesce((SELECT min(h) FROM (SELECT unnest(range(100, 900, 100)) h) WHERE h >= y + 30), y + 120)) AS DOUBLE) AS y2 FROM c",
@@ -110,12 +170,87 @@ QUERIES = {
 cd AS (SELECT *, count(*) OVER (PARTITION BY doc_id, page_no, floor(cy)) AS band FROM sg WHERE word % 4 <> 0), nr AS (SELECT t.doc_id, t.page_no, t.seg_id, c.text AS code, row_number() OVER (PARTITION BY t.doc_id, t.page_no, t.seg_id ORDER BY abs(t.cx - c.cx), c.cx, c.text) k FROM sg t JOIN cd c ON t.doc_id = c.doc_id AND t.page_no = c.page_no AND band >= 3 AND abs(t.cy - c.cy) <= 2 * t.unit AND abs(t.cx - c.cx) <= 1.7 * t.unit + c.width WHERE t.word % 4 = 0)
 SELECT doc_id, page_no, code FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY seg_id) r FROM nr WHERE k = 1) WHERE r = 1""",
     ),
-    "gutter_labels": (lambda s, d: layout.labels(segments(s, d)).where("is_label").groupBy("doc_id", "page_no").agg(F.count("*").alias("n_labels")), None),
-    "row_bands": (lambda s, d: layout.row_bands(segments(s, d)).groupBy("doc_id", "page_no").agg((F.max("row_no") + 1).alias("n_rows")), None),
-    "merge_words": (lambda s, d: layout.merge_words(words(s, d)), None),
+    "gutter_labels": (lambda s, d: layout.labels(segments(s, d)).where("is_label").select("doc_id", "page_no", "seg_id"), f"{LABELS} SELECT doc_id, page_no, seg_id FROM lb WHERE is_label"),
+    "row_bands": (
+        lambda s, d: layout.row_bands(segments(s, d)).select("doc_id", "page_no", "seg_id", "row_no"),
+        f"""WITH RECURSIVE {SEGMENTS}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY cy, "left", text) AS i FROM sg),
+rb AS (SELECT doc_id, page_no, seg_id, i, 0 AS row_no, cy AS anchor FROM o WHERE i = 1 UNION ALL SELECT o.doc_id, o.page_no, o.seg_id, o.i, row_no + CASE WHEN abs(o.cy - anchor) > 0.7 * unit THEN 1 ELSE 0 END, CASE WHEN abs(o.cy - anchor) > 0.7 * unit THEN o.cy ELSE anchor END FROM rb JOIN o ON o.doc_id = rb.doc_id AND o.page_no = rb.page_no AND o.i = rb.i + 1)
+SELECT doc_id, page_no, seg_id, row_no FROM rb""",
+    ),
+    "merge_words": (
+        lambda s, d: layout.merge_words(words(s, d)).withColumn("confidence", F.round("confidence", 6)),
+        f"""WITH RECURSIVE {D.WORDS}, rd AS {_RD}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no, line ORDER BY "left", word) AS i FROM rd),
+mw AS (SELECT doc_id, page_no, line, i, 0 AS n, "left" AS x1, top AS y1, "left" + width AS x2, top + height AS y2, conf AS c, text AS t FROM o WHERE i = 1
+  UNION ALL SELECT doc_id, page_no, line, i, n + CASE WHEN near THEN 0 ELSE 1 END, CASE WHEN near THEN least(x1, l) ELSE l END, CASE WHEN near THEN least(y1, top) ELSE top END, CASE WHEN near THEN greatest(x2, r) ELSE r END, CASE WHEN near THEN greatest(y2, b) ELSE b END, CASE WHEN near THEN least(c, conf) ELSE conf END, CASE WHEN near THEN concat(t, ' ', text) ELSE text END
+  FROM (SELECT o.doc_id, o.page_no, o.line, o.i, n, x1, y1, x2, y2, c, t, o."left" AS l, o.top, o."left" + o.width AS r, o.top + o.height AS b, o.conf, o.text, o."left" - x2 <= 0.8 * greatest(y2 - y1, o.height) AS near FROM mw JOIN o ON o.doc_id = mw.doc_id AND o.page_no = mw.page_no AND o.line = mw.line AND o.i = mw.i + 1))
+SELECT doc_id, page_no, x1, y1, x2, y2, round(c / 100, 6) AS confidence, t AS text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no, line, n ORDER BY i DESC) AS k FROM mw) WHERE k = 1""",
+    ),
     "merge_rows": (lambda s, d: layout.merge_rows(layout.merge_words(words(s, d), 0.2)), None),
-    "spatial_dedup": (lambda s, d: layout.drop_duplicates(segments(s, d)).groupBy("doc_id", "page_no").agg(F.count("*").alias("n")), None),
-    "label_value_pairs": (lambda s, d: layout.label_values(layout.labels(segments(s, d))), None),
+    "spatial_dedup": (
+        lambda s, d: layout.drop_duplicates(segments(s, d).withColumns({"width": F.col("width") + 60, "height": F.col("height") + 20})).select("doc_id", "page_no", "seg_id"),
+        f"""WITH RECURSIVE {SEGMENTS}, o AS (SELECT doc_id, page_no, seg_id, {{'l': "left", 't': top, 'r': "left" + width + 60, 'b': top + height + 20, 'a': (width + 60) * (height + 20)}} AS x, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY word % 2, top, "left", text) AS i FROM sg),
+sd AS (SELECT doc_id, page_no, i, seg_id, true AS keep, [x] AS kept FROM o WHERE i = 1 UNION ALL SELECT doc_id, page_no, i, seg_id, free, CASE WHEN free THEN list_append(kept, x) ELSE kept END
+  FROM (SELECT o.*, kept, len(list_filter(kept, lambda k: greatest(0, least(o.x.r, k.r) - greatest(o.x.l, k.l)) * greatest(0, least(o.x.b, k.b) - greatest(o.x.t, k.t)) > 0.5 * least(o.x.a, k.a))) = 0 AS free FROM sd JOIN o ON o.doc_id = sd.doc_id AND o.page_no = sd.page_no AND o.i = sd.i + 1))
+SELECT doc_id, page_no, seg_id FROM sd WHERE keep""",
+    ),
+    "values_beside": (lambda s, d: _texts(layout.beside(_labels(s, d))), f"{BESIDE} SELECT doc_id, page_no, seg_id, texts FROM bs"),
+    "values_under": (lambda s, d: _texts(layout.under(_labels(s, d))), f"{BESIDE}, {UNDER} SELECT doc_id, page_no, seg_id, texts FROM un"),
+    "value_continuation": (
+        lambda s, d: _continued(s, d),
+        f"""{BESIDE}, {UNDER}, vl AS (SELECT doc_id, page_no, seg_id, floor_, anchor FROM bs UNION ALL SELECT doc_id, page_no, seg_id, floor_, anchor FROM un ANTI JOIN bs USING (doc_id, page_no, seg_id)),
+nx AS (SELECT l.doc_id, l.page_no, l.seg_id, l.bottom AS lb_, l.unit, floor_, anchor, (SELECT min(o.top) FROM lb o WHERE o.is_label AND o.doc_id = l.doc_id AND o.page_no = l.page_no AND o.top > l.bottom) AS nxt FROM lb l JOIN vl USING (doc_id, page_no, seg_id))
+SELECT n.doc_id, n.page_no, n.seg_id, string_agg(s.text, ' ' ORDER BY s.top, s."left", s.text) AS texts FROM nx n JOIN lb s ON s.doc_id = n.doc_id AND s.page_no = n.page_no AND NOT s.is_label WHERE (nxt IS NULL OR nxt - lb_ > 4 * n.unit) AND s.cy > floor_ AND (nxt IS NULL OR s.bottom <= nxt) AND s."left" >= anchor - 2.7 * n.unit GROUP BY ALL""",
+    ),
+    "label_value_pairs": (lambda s, d: layout.label_values(_labels(s, d)), None),
+    "generic_form": (lambda s, d: layout.generic_form(segments(s, d)), None),
+    "page_header": (lambda s, d: layout.page_header(segments(s, d), segments(s, d).select("doc_id", "page_no").distinct().withColumns({"lines": F.array(F.lit(75), F.lit(140)), "height": F.lit(200)})), None),
     "stamps": (lambda s, d: layout.stamps(segments(s, d)), None),
-    "contains_title_pages": (lambda s, d: matching.title_pages(words(s, d).groupBy("doc_id", "page_no", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word", "text"))), lambda x: x["text"]), " ").alias("text")).withColumn("top", F.col("line") * 0.1)), None),
+    "page_segments": (lambda s, d: layout.page_segments(words(s, d).withColumn("pass", F.col("word") % 2)).select("doc_id", "page_no", "left", "top", "text"), None),
+    "debug_listing": (
+        lambda s, d: layout.debug_listing(segments(s, d)),
+        f"WITH {SEGMENTS} SELECT doc_id, page_no, CAST(round(cy, 1) AS DOUBLE) AS y_center, CAST(\"left\" AS DOUBLE) AS x_left, text, round(conf, 4) AS confidence FROM sg",
+    ),
+    "zone_text": (
+        lambda s, d: layout.zone_text(words(s, d), ["doc_id", "page_no"]).withColumn("confidence", F.round("confidence", 6)),
+        f"{W} SELECT doc_id, page_no, string_agg(text, ' ' ORDER BY line, word) AS text, round(avg(conf), 6) AS confidence FROM words WHERE regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') <> '' AND conf <> -1 GROUP BY ALL",
+    ),
+    "zone_box": (
+        lambda s, d: layout.zone_box(_labels(s, d)),
+        f"""{LABELS}, z AS (SELECT *, EXISTS (SELECT 1 FROM lb o WHERE o.doc_id = lb.doc_id AND o.page_no = lb.page_no AND o.seg_id <> lb.seg_id AND abs(o.cy - lb.cy) <= lb.unit AND o."left" >= lb."right") AS r FROM lb WHERE is_label)
+SELECT doc_id, page_no, seg_id, CAST(CASE WHEN r THEN "right" ELSE "left" - 2.7 * unit END AS DOUBLE) AS x1, CAST(CASE WHEN r THEN top - 6 ELSE bottom END AS DOUBLE) AS y1, CAST(CASE WHEN r THEN "right" + 20 * unit ELSE "left" + 22.7 * unit END AS DOUBLE) AS x2, CAST(CASE WHEN r THEN bottom + 6 ELSE bottom + 3 * unit END AS DOUBLE) AS y2 FROM z""",
+    ),
+    "first_box": (
+        lambda s, d: rules(s, d).select("c_custkey", zones.first_box(F.col("boxes"), F.col("x"), F.col("y")).alias("b")).selectExpr("c_custkey", "b.x1", "b.y1", "b.x2", "b.y2"),
+        f"{CUST}, k AS (SELECT c_custkey, bx.*, row_number() OVER (PARTITION BY c_custkey ORDER BY i) r FROM c JOIN bx ON x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2) SELECT c.c_custkey, k.x1, k.y1, k.x2, k.y2 FROM c LEFT JOIN k ON c.c_custkey = k.c_custkey AND r = 1",
+    ),
+    "sections": (
+        lambda s, d: zones.sections(segments(s, d), F.array(*[F.struct(F.lit(a).alias("x1"), F.lit(b).alias("y1"), F.lit(c).alias("x2"), F.lit(e).alias("y2")) for a, b, c, e in ((0, 0, 200, 40), (100, 0, 400, 100))]), 2.0).select("doc_id", "page_no", "seg_id", "section"),
+        f"""WITH {SEGMENTS}, b AS (SELECT *, CASE WHEN cx BETWEEN 0 AND 200 AND cy BETWEEN 0 AND 40 THEN 0 WHEN cx BETWEEN 100 AND 400 AND cy BETWEEN 0 AND 100 THEN 1 END AS box FROM sg), g AS (SELECT *, CASE WHEN top - lag(top) OVER (PARTITION BY doc_id, page_no ORDER BY top) > 2 * unit THEN 1 ELSE 0 END AS fresh FROM b WHERE box IS NULL)
+SELECT doc_id, page_no, seg_id, box AS section FROM b WHERE box IS NOT NULL UNION ALL SELECT doc_id, page_no, seg_id, CAST(-1 - sum(fresh) OVER (PARTITION BY doc_id, page_no ORDER BY top) AS INTEGER) FROM g""",
+    ),
+    "ink_share": (
+        lambda s, d: derive.table(s, d, "customer").selectExpr("c_custkey", "transform(sequence(0, 255), i -> CASE WHEN i < 80 THEN (c_custkey + i) % 50 WHEN i > 180 THEN (3 * c_custkey + i) % 70 ELSE 0 END) AS levels").select("c_custkey", F.round(zones.ink_share(F.col("levels")), 6).alias("share"), zones.ink_present(zones.ink_share(F.col("levels")), 0.4).alias("present")),
+        """WITH l AS (SELECT c_custkey, i, CAST(CASE WHEN i < 80 THEN (c_custkey + i) % 50 WHEN i > 180 THEN (3 * c_custkey + i) % 70 ELSE 0 END AS DOUBLE) AS c FROM customer, (SELECT unnest(range(256)) AS i)),
+s AS (SELECT c_custkey, i, sum(c) OVER w AS n, sum(c * i) OVER w AS m, sum(c) OVER (PARTITION BY c_custkey) AS t, sum(c * i) OVER (PARTITION BY c_custkey) AS tm FROM l WINDOW w AS (PARTITION BY c_custkey ORDER BY i)),
+v AS (SELECT *, n * (t - n) * (m / n - (tm - m) / (t - n)) * (m / n - (tm - m) / (t - n)) AS b FROM s WHERE n > 0 AND n < t)
+SELECT c_custkey, round(n / t, 6) AS share, n / t >= 0.4 AS present FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY b DESC, i) AS k FROM v) WHERE k = 1""",
+    ),
+    "seal_zone": (
+        lambda s, d: rules(s, d).select("c_custkey", zones.seal_zone(_anchor(), F.col("boxes"), F.lit(1000), F.lit(1000), 10, 6, 18).alias("z")).select("c_custkey", "z.*"),
+        f"{CUST}, k AS (SELECT c_custkey, bx.*, row_number() OVER (PARTITION BY c_custkey ORDER BY (x2 - x1) * (y2 - y1), i) r FROM c JOIN bx ON x + 30 BETWEEN x1 AND x2 AND y + 10 BETWEEN y1 AND y2 AND x2 - x1 <= 360 AND y2 - y1 <= 360) "
+        "SELECT c.c_custkey, CAST(coalesce(k.x1, greatest(0, x - 10)) AS DOUBLE) AS x1, CAST(greatest(coalesce(k.y1, greatest(0, y - 10)), y + 20) AS DOUBLE) AS y1, CAST(coalesce(k.x2, least(1000, x + 260)) AS DOUBLE) AS x2, CAST(coalesce(k.y2, least(1000, y + 140)) AS DOUBLE) AS y2 FROM c LEFT JOIN k ON c.c_custkey = k.c_custkey AND r = 1",
+    ),
+    "stamp_zone": (
+        lambda s, d: rules(s, d).select("c_custkey", zones.stamp_zone(_anchor(), F.col("boxes"), F.lit(1000), F.lit(1000)).alias("z")).selectExpr("c_custkey", "z.above.x1 AS x1", "z.above.y1 AS above_top", "z.above.y2 AS above_bottom", "z.band.y1 AS band_top", "z.band.y2 AS band_bottom"),
+        f"{CUST}, k AS (SELECT c_custkey, bx.*, row_number() OVER (PARTITION BY c_custkey ORDER BY (x2 - x1) * (y2 - y1), i) r FROM c JOIN bx ON x + 30 BETWEEN x1 AND x2 AND y + 10 BETWEEN y1 AND y2), b AS (SELECT c.c_custkey, CAST(coalesce(k.x1, greatest(0, x - 10)) AS DOUBLE) AS x1, CAST(coalesce(k.y1, greatest(0, y - 20)) AS DOUBLE) AS t, CAST(coalesce(k.y2, least(1000, y + 80)) AS DOUBLE) AS u FROM c LEFT JOIN k ON c.c_custkey = k.c_custkey AND r = 1) "
+        "SELECT c_custkey, x1, greatest(0.0, t - 40) AS above_top, t AS above_bottom, t + (u - t) * 0.25::DOUBLE AS band_top, t + (u - t) * 0.85::DOUBLE AS band_bottom FROM b",
+    ),
+    "acknowledgement_cells": (
+        lambda s, d: zones.acknowledgement(_acknowledgement_words(s, d), ["doc_id"]),
+        "WITH c AS (SELECT c_custkey AS k, c_custkey % 90 AS o, c_custkey % 2 = 0 AS swap FROM customer WHERE c_custkey % 5 <> 0) SELECT k AS doc_id, field, CAST(x1 AS DOUBLE) AS x1, 135.0 AS y1, CAST(x2 AS DOUBLE) AS x2, 175.0 AS y2 FROM (SELECT k, unnest(['received_wt', 'received_date', 'remark']) AS field, unnest([o, CASE WHEN swap THEN o + 300 ELSE o + 150 END, CASE WHEN swap THEN o + 150 ELSE o + 300 END]) AS x1, unnest([o + 150, CASE WHEN swap THEN o + 540 ELSE o + 300 END, CASE WHEN swap THEN o + 300 ELSE o + 540 END]) AS x2 FROM c)",
+    ),
+    "contains_title_pages": (
+        lambda s, d: matching.title_pages(_bands(s, d)),
+        "SELECT DISTINCT o_custkey AS doc_id, o_orderkey AS page_no FROM orders WHERE o_orderkey % 7 IN (0, 1) AND o_orderkey % 3 <> 0",
+    ),
 }

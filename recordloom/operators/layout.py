@@ -1,7 +1,8 @@
 """Word boxes of pages: lines, rows, phrases, duplicates, labels and their values.
 
-What can be said of each box or pair of boxes is a DataFrame expression. Merging that depends on what was merged before runs as
-one fold for each page: a page's boxes are gathered in one row, and Arrow batches of such rows are folded in Python.
+What can be said of each box or pair of boxes is a DataFrame expression, and so is a fold whose state is a list: phrases of a line, rows of a
+page and duplicates are higher-order functions over the sorted boxes of a line or page. Pairing labels with values, merging rows to a
+fixed point and finding stamps take from what is left over, and run as one fold for each page in Python.
 """
 
 from __future__ import annotations
@@ -13,16 +14,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.window import Window
 
 from recordloom.functions import text as X
 from recordloom.functions import validators as V
 
 PAGE = ["doc_id", "page_no"]
 PHRASE = "x1 int, y1 int, x2 int, y2 int, confidence double, text string"
+#: Words that end a label.
 SUFFIX = r"(?i)\b(no|nos|number|name|date|code|type|centre|center|amount|by|id)[.:]?$"
-#: Distances in units of the page's text height.
-ROW_BAND, GUTTER_LEAST, GUTTER_MOST, BELOW, ASIDE, NEXT_LABEL = 0.7, 1.5, 20.0, 3.0, 2.7, 4.0
+#: Distances in units of the page's text height.
+ROW_BAND, SAME_ROW, GUTTER_LEAST, GUTTER_MOST, BELOW, ASIDE, NEXT_LABEL = 0.7, 1.0, 1.5, 20.0, 3.0, 2.7, 4.0
+TICK_ASIDE, TICK_ROWS, STAMP_BOX, STAMP_LEAST, CODES_LEAST = 1.7, 2.0, 10.0, 4, 3
+#: The shape of a tick box's code, what may stand around it, and ticks.
+CODE, CODE_EDGES, TICKS = r"^(?=[A-Z0-9]*[0-9])[A-Z0-9]{2,5}$", "[]{}()|_.:;", ("v", "V", "/", "\u2713", "\u2714", "\u221a")
 
 
 def geometry(boxes: DataFrame) -> DataFrame:
@@ -35,38 +39,37 @@ def readable(words: DataFrame) -> DataFrame:
     return words.where((X.strip("text") != "") & (F.col("conf") >= 0))
 
 
-def per_page(boxes: DataFrame, fold, schema: str | T.StructType) -> DataFrame:
-    """The rows that `fold` makes of each page's boxes, a list of dicts; doc_id and page_no go before what it returns."""
-    columns = [c for c in boxes.columns if c not in PAGE]
-    pages = boxes.groupBy(*PAGE).agg(F.collect_list(F.struct(*columns)).alias("items"))
-    kind = T.StructType([boxes.schema[c] for c in PAGE] + (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields)
+def per_page(boxes: DataFrame, fold, schema: str | T.StructType, keys: list[str] = PAGE) -> DataFrame:
+    """The rows that `fold` makes of each page's boxes, a list of dicts; the keys go before what it returns. One page at a time is unpacked."""
+    columns = [c for c in boxes.columns if c not in keys]
+    pages = boxes.groupBy(*keys).agg(F.collect_list(F.struct(*columns)).alias("items"))
+    kind = T.StructType([boxes.schema[c] for c in keys] + (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields)
     arrow = to_arrow_schema(kind)
 
     def run(batches):
         for b in batches:
-            rows = [(d, p, *row) for d, p, items in zip(*(c.to_pylist() for c in b.columns), strict=True) for row in fold(p, items)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)] if rows else [pa.array([], f.type) for f in arrow], schema=arrow)
+            for i in range(b.num_rows):
+                key = [c[i].as_py() for c in b.columns[:-1]]
+                rows = [(*key, *row) for row in fold(key, b.column(len(key))[i].as_py())]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
     return pages.mapInArrow(run, kind)
 
 
-def merge_words(words: DataFrame, ratio: float = 0.8) -> DataFrame:
+def merge_words(words: DataFrame, ratio: float = 0.8, keys: list[str] = PAGE) -> DataFrame:
     """Phrases of each line (block, par, line): a word joins the phrase so far if the gap is at most `ratio` times the higher of the two."""
+    kind = "struct<x1: int, y1: int, x2: int, y2: int, confidence: double, text: string>"
+    box = F.struct(F.col("left").cast("int").alias("x1"), F.col("top").cast("int").alias("y1"), (F.col("left") + F.col("width")).cast("int").alias("x2"), (F.col("top") + F.col("height")).cast("int").alias("y2"), (F.col("conf") / 100).alias("confidence"), "text")
+    lines = readable(words).groupBy(*keys, "block", "par", "line").agg(F.array_sort(F.collect_list(F.struct("left", "word", box.alias("box")))).alias("words"))
 
-    def fold(_, items):
-        out, line = [], None
-        for w in sorted(items, key=lambda w: (w["block"], w["par"], w["line"], w["left"], w["word"])):
-            box = [w["left"], w["top"], w["left"] + w["width"], w["top"] + w["height"], w["conf"] / 100, w["text"]]
-            here = (w["block"], w["par"], w["line"])
-            now = out[-1] if out and here == line else None
-            if now and w["left"] - now[2] <= ratio * max(now[3] - now[1], w["height"]):
-                out[-1] = [min(now[0], box[0]), min(now[1], box[1]), max(now[2], box[2]), max(now[3], box[3]), min(now[4], box[4]), f"{now[5]} {box[5]}"]
-            else:
-                out.append(box)
-            line = here
-        return out
+    def step(phrases, word):
+        now, w = F.get(phrases, F.size(phrases) - 1), word["box"]
+        both = F.struct(*[f(now[k], w[k]).alias(k) for k, f in (("x1", F.least), ("y1", F.least), ("x2", F.greatest), ("y2", F.greatest), ("confidence", F.least))], F.concat_ws(" ", now["text"], w["text"]).alias("text"))
+        near = w["x1"] - now["x2"] <= ratio * F.greatest(now["y2"] - now["y1"], w["y2"] - w["y1"])
+        return F.when(near, F.concat(F.slice(phrases, 1, F.size(phrases) - 1), F.array(both.cast(kind)))).otherwise(F.concat(phrases, F.array(w.cast(kind))))
 
-    return per_page(readable(words), fold, PHRASE)
+    return lines.select(*keys, F.explode(F.aggregate("words", F.array().cast(f"array<{kind}>"), step)).alias("p")).select(*keys, "p.*")
 
 
 def merge_rows(phrases: DataFrame, overlap: float = 0.5, ratio: float = 1.2) -> DataFrame:
@@ -99,31 +102,50 @@ def merge_rows(phrases: DataFrame, overlap: float = 0.5, ratio: float = 1.2) ->
 def row_bands(segments: DataFrame, unit: str = "unit") -> DataFrame:
     """Segments with row_no; a row ends where a segment's centre is more than 0.7 units from that of the row's first."""
     columns = [c for c in segments.columns if c not in PAGE]
+    pages = segments.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("cy", "left", "text", F.struct(*columns).alias("s")))).alias("items"))
 
-    def fold(_, items):
-        no, anchor, out = -1, None, []
-        for x in sorted(items, key=lambda x: (x["cy"], x["left"], x["text"])):
-            if anchor is None or abs(x["cy"] - anchor) > ROW_BAND * x[unit]:
-                no, anchor = no + 1, x["cy"]
-            out.append((*(x[c] for c in columns), no))
-        return out
+    def step(state, x):
+        fresh = state["anchor"].isNull() | (F.abs(x["cy"] - state["anchor"]) > ROW_BAND * x["s"][unit])
+        no = state["no"] + fresh.cast("int")
+        return F.struct(no.alias("no"), F.when(fresh, x["cy"].cast("double")).otherwise(state["anchor"]).alias("anchor"), F.concat(state["rows"], F.array(no)).alias("rows"))
 
-    return per_page(segments, fold, T.StructType([segments.schema[c] for c in columns] + [T.StructField("row_no", T.IntegerType())]))
+    start = F.struct(F.lit(-1).alias("no"), F.lit(None).cast("double").alias("anchor"), F.array().cast("array<int>").alias("rows"))
+    rows = pages.withColumn("rows", F.aggregate("items", start, step)["rows"])
+    return rows.select(*PAGE, F.explode(F.arrays_zip("items", "rows")).alias("z")).select(*PAGE, "z.items.s.*", F.col("z.rows").alias("row_no"))
 
 
 def drop_duplicates(segments: DataFrame, order: str = "pass_ord", share: float = 0.5) -> DataFrame:
-    """Segments that do not overlap an earlier kept one of their page by more than half of the smaller area."""
+    """Segments that do not overlap an earlier kept one of their page by more than half of the smaller area."""
     columns = [c for c in segments.columns if c not in PAGE]
+    pages = segments.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(order, "top", "left", "text", F.struct(*columns).alias("s")))).alias("items"))
+    side = lambda a, b, at, size: F.greatest(F.lit(0), F.least(a[at] + a[size], b[at] + b[size]) - F.greatest(a[at], b[at]))
+    area = lambda a: a["width"] * a["height"]
 
-    def fold(_, items):
-        kept = []
-        for s in sorted(items, key=lambda x: (x[order], x["top"], x["left"], x["text"])):
-            x, y, w, h = s["left"], s["top"], s["width"], s["height"]
-            if not any(max(0, min(x + w, k["left"] + k["width"]) - max(x, k["left"])) * max(0, min(y + h, k["top"] + k["height"]) - max(y, k["top"])) > share * max(1, min(w * h, k["width"] * k["height"])) for k in kept):
-                kept.append(s)
-        return [tuple(k[c] for c in columns) for k in kept]
+    def step(kept, x):
+        s = x["s"]
+        twice = F.exists(kept, lambda k: side(s, k, "left", "width") * side(s, k, "top", "height") > share * F.greatest(F.lit(1), F.least(area(s), area(k))))
+        return F.when(twice, kept).otherwise(F.concat(kept, F.array(s)))
+
+    kept = F.aggregate("items", F.filter(F.transform("items", lambda x: x["s"]), lambda x: F.lit(False)), step)
+    return pages.select(*PAGE, F.explode(kept).alias("s")).select(*PAGE, "s.*")
+
+
+def page_segments(words: DataFrame, ratio: float = 1.2) -> DataFrame:
+    """A page's phrases from all its passes (`pass`, read in that order), without what an earlier pass found in the same spot, with geometry."""
+    phrases = merge_words(words, ratio, [*PAGE, "pass"])
+    boxes = phrases.select(*PAGE, "pass", F.col("x1").alias("left"), F.col("y1").alias("top"), (F.col("x2") - F.col("x1")).alias("width"), (F.col("y2") - F.col("y1")).alias("height"), F.col("confidence").alias("conf"), "text")
+    return geometry(drop_duplicates(boxes, "pass"))
+
+
+def in_reading_order(segments: DataFrame) -> DataFrame:
+    """T1."""
+    return segments.orderBy(*PAGE, "top", "left", "text")
 
-    return per_page(segments, fold, T.StructType([segments.schema[c] for c in columns]))
+
+def debug_listing(segments: DataFrame) -> DataFrame:
+    """Every phrase with where it stands, top to bottom."""
+    shown = segments.select(*PAGE, F.round(F.col("cy").cast("double"), 1).alias("y_center"), F.round(F.col("left").cast("double"), 1).alias("x_left"), "text", F.round("conf", 4).alias("confidence"))
+    return shown.orderBy(*PAGE, "y_center", "x_left")
 
 
 def split_inline_pairs(segments: DataFrame) -> DataFrame:
@@ -153,87 +175,205 @@ def labels(segments: DataFrame) -> DataFrame:
     return s.withColumn("is_label", ~V.looks_like_value("text") & (X.strip("text").endswith(":") | sure)).drop("gutter")
 
 
-def label_values(segments: DataFrame) -> DataFrame:
-    """(doc_id, page_no, key_ord, key, value) of each page's labels, top down.
+def _related(segments: DataFrame, within: Column, order: list[str], reach: float) -> DataFrame:
+    """(PAGE, seg_id, found): for each label the segments for which `within` holds (l: label, s: segment), in order, up to the first label.
 
-    A label takes what stands right of it in its row up to the next label, else what stands below it; then lines that continue
-    the value until another label comes near. What is taken is not taken again; a key that repeats is numbered; segments
-    that nothing took are Unmatched_Text_<page>_<y>.
+    Pairs of a page meet in bins of `reach` units in height and their neighbours.
     """
-
-    def fold(page_no, items):
-        s = sorted(items, key=lambda x: (x["cy"], x["left"], x["text"]))
-        u = float(s[0]["unit"])
-        used, out, seen = set(), [], {}
-
-        def store(key, value):
-            key = key or "Unnamed"
-            name, n = key, 1
-            while name in seen:
-                n += 1
-                name = f"{key}_{n}"
-            seen[name] = 1
-            out.append((name, value))
-
-        def joined(items):
-            lines: list[list] = []
-            for x in sorted(items, key=lambda x: (x["cy"], x["left"])):
-                if lines and abs(x["cy"] - lines[-1][0]["cy"]) <= ROW_BAND * u:
-                    lines[-1].append(x)
-                else:
-                    lines.append([x])
-            return " | ".join(" ".join(x["text"] for x in sorted(line, key=lambda x: x["left"])) for line in lines)
-
-        def until_label(found):
-            got = []
-            for x in found:
-                if x["is_label"]:
-                    break
-                got.append(x)
-            return got
-
-        for lab in [x for x in s if x["is_label"]]:
-            used.add(lab["seg_id"])
-            free = [x for x in s if x["seg_id"] not in used or x["is_label"]]
-            right = sorted((x for x in free if x is not lab and abs(x["cy"] - lab["cy"]) <= ROW_BAND * u and lab["right"] <= x["left"] <= lab["right"] + GUTTER_MOST * u), key=lambda x: x["left"])
-            values = until_label(right)
-            if not values:
-                below = sorted((x for x in free if x is not lab and 0 < x["cy"] - lab["cy"] <= BELOW * u and abs(x["left"] - lab["left"]) <= ASIDE * u), key=lambda x: (x["cy"], x["left"]))
-                values = until_label(below)
-            if values:
-                floor, anchor = max(x["cy"] for x in values), min(x["left"] for x in values)
-                nexts = [x["cy"] for x in s if x["is_label"] and x["cy"] > lab["cy"] + ROW_BAND * u]
-                limit = min(nexts, default=float("inf"))
-                if limit - floor > NEXT_LABEL * u:
-                    values += [x for x in free if not x["is_label"] and x not in values and floor < x["cy"] < min(limit, floor + BELOW * u) and x["left"] >= anchor - ASIDE * u]
+    bins = segments.withColumn("bin", F.floor(F.col("cy") / (reach * F.col("unit"))))
+    left = bins.where("is_label").select(*PAGE, F.explode(F.array(*[F.col("bin") + k for k in (-1, 0, 1)])).alias("bin"), F.struct(*segments.columns).alias("l"))
+    pairs = left.join(bins.select(*PAGE, "bin", F.struct(*segments.columns).alias("s")), [*PAGE, "bin"]).where((F.col("l.seg_id") != F.col("s.seg_id")) & within)
+    entry = F.struct(*[F.col(f"s.{c}").alias(f"by_{c}") for c in order], F.col("s.seg_id").alias("seg_id"), F.col("s.is_label").alias("is_label"), F.col("s.text").alias("text"), F.col("s.left").alias("left"), F.col("s.bottom").alias("bottom"))
+    g = pairs.groupBy(*PAGE, F.col("l.seg_id").alias("seg_id")).agg(F.array_sort(F.collect_list(entry)).alias("all"))
+    stop = F.array_position(F.transform("all", lambda x: x["is_label"]), True)
+    return g.select(*PAGE, "seg_id", F.when(stop > 0, F.slice("all", F.lit(1), F.greatest(stop - 1, F.lit(0)).cast("int"))).otherwise(F.col("all")).alias("found")).where(F.size("found") > 0)
+
+
+def beside(segments: DataFrame) -> DataFrame:
+    """(doc_id, page_no, seg_id, found): what stands right of each label in its row, within 20 units, up to the next label."""
+    u = F.col("l.unit")
+    gap = F.col("s.left") - F.col("l.right")
+    return _related(segments, (F.abs(F.col("s.cy") - F.col("l.cy")) <= SAME_ROW * u) & (gap >= 0) & (gap <= GUTTER_MOST * u), ["left", "top"], SAME_ROW)
+
+
+def under(segments: DataFrame) -> DataFrame:
+    """(doc_id, page_no, seg_id, found): what stands within three units below each label, at most 2.7 units aside, up to the next label."""
+    u = F.col("l.unit")
+    within = (F.col("s.cy") >= F.col("l.bottom")) & (F.col("s.cy") <= F.col("l.bottom") + BELOW * u) & (F.abs(F.col("s.left") - F.col("l.left")) <= ASIDE * u)
+    return _related(segments, within, ["top", "left"], BELOW + 2)
+
+
+def continued(segments: DataFrame, values: DataFrame) -> DataFrame:
+    """(doc_id, page_no, seg_id, more): texts that go on with a label's values (`found`): below them, above the next label, which is no nearer than four units."""
+    lab = segments.where("is_label").select(*PAGE, "seg_id", F.col("bottom").alias("l_bottom"), "unit")
+    below = segments.where("is_label").select(*PAGE, F.col("top").alias("next_top"))
+    nxt = lab.join(below, PAGE).where(F.col("next_top") > F.col("l_bottom")).groupBy(*PAGE, "seg_id").agg(F.min("next_top").alias("next"))
+    v = lab.join(values, [*PAGE, "seg_id"]).join(nxt, [*PAGE, "seg_id"], "left").where(F.col("next").isNull() | (F.col("next") - F.col("l_bottom") > NEXT_LABEL * F.col("unit")))
+    v = v.select(*PAGE, "seg_id", "unit", "next", F.array_max(F.transform("found", lambda x: x["bottom"])).alias("floor"), F.array_min(F.transform("found", lambda x: x["left"])).alias("anchor"))
+    rest = segments.where("not is_label").select(*PAGE, "cy", "top", "bottom", "left", "text")
+    more = v.join(rest, PAGE).where((F.col("cy") > F.col("floor")) & (F.col("next").isNull() | (F.col("bottom") <= F.col("next"))) & (F.col("left") >= F.col("anchor") - ASIDE * F.col("unit")))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("top", "left", "text"))), lambda x: x["text"])
+    return more.groupBy(*PAGE, "seg_id").agg(texts.alias("more"))
+
+
+def _code(text: str) -> str:
+    return text.strip(CODE_EDGES + " ")
+
+
+def densest(segments: list[dict], unit: float, least: int = STAMP_LEAST, size: float = STAMP_BOX) -> list[list[dict]]:
+    """The densest boxes of `size` units with `least` segments or more, one after the other; the first seed on ties."""
+    out = []
+    while len(segments) >= least:
+        groups = [[x for x in segments if abs(x["cx"] - a["cx"]) <= size * unit / 2 and abs(x["cy"] - a["cy"]) <= size * unit / 2] for a in segments]
+        best = max(groups, key=len)
+        if len(best) < least:
+            break
+        out.append(best)
+        taken = {id(x) for x in best}
+        segments = [x for x in segments if id(x) not in taken]
+    return out
+
+
+def _joined(items: list[dict]) -> str:
+    """Rows of texts from left to right, rows joined by bars, top down."""
+    rows: dict = {}
+    for x in items:
+        rows.setdefault(x["row_no"], []).append(x)
+    return " | ".join(" ".join(x["text"] for x in sorted(row, key=lambda x: x["left"])) for row in sorted(rows.values(), key=lambda r: min(x["top"] for x in r)))
+
+
+def _pairs_of_page(page_no: int, s: list[dict]) -> list[tuple[str, str | None]]:
+    """Keys (not yet numbered) and values of a page's segments, in order."""
+    s = sorted(s, key=lambda x: (x["top"], x["left"], x["seg_id"]))
+    u, used, out = float(s[0]["unit"]), set(), []
+    rows: dict = {}
+    for x in s:
+        rows.setdefault(x["row_no"], []).append(x)
+    boxes = 0
+    for _, row in sorted(rows.items()):  # J19
+        codes = [x for x in row if re.match(CODE, _code(x["text"]), re.IGNORECASE)]
+        if len(codes) < CODES_LEAST:
+            continue
+        chosen = None
+        for tick in (x for x in s if x["text"].strip() in TICKS and abs(x["cy"] - codes[0]["cy"]) <= SAME_ROW * u * TICK_ROWS):
+            near = min(codes, key=lambda c: abs(c["cx"] - tick["cx"]))
+            if abs(near["cx"] - tick["cx"]) <= TICK_ASIDE * u + near["width"]:
+                chosen = _code(near["text"])
+                used.add(tick["seg_id"])
+                break
+        boxes += 1
+        end = "" if boxes == 1 else f"_{boxes}"
+        out += [(f"PO_Type_Selected{end}", chosen), (f"PO_Type_Options{end}", " ".join(_code(c["text"]) for c in codes))]
+        used.update(c["seg_id"] for c in codes)
+    names = [x for x in s if x["is_label"] and x["seg_id"] not in used]
+    named = {x["seg_id"] for x in names}
+
+    def until_label(found):
+        got = []
+        for x in found:
+            if x["seg_id"] in named:
+                break
+            got.append(x)
+        return got
+
+    for lab in names:
+        used.add(lab["seg_id"])
+        free = [x for x in s if x["seg_id"] not in used]
+        right = [x for x in free if abs(x["cy"] - lab["cy"]) <= SAME_ROW * u and 0 <= x["left"] - lab["right"] <= GUTTER_MOST * u]
+        values = until_label(sorted(right, key=lambda x: x["left"]))
+        if not values:
+            low = [x for x in free if lab["bottom"] <= x["cy"] <= lab["bottom"] + BELOW * u and abs(x["left"] - lab["left"]) <= ASIDE * u]
+            values = until_label(sorted(low, key=lambda x: (x["top"], x["left"])))
+        if values:
+            following = [x["top"] for x in names if x["top"] > lab["bottom"]]
+            limit = min(following, default=None)
+            if limit is None or limit - lab["bottom"] > NEXT_LABEL * u:
+                anchor, floor = min(x["left"] for x in values), max(x["bottom"] for x in values)
+                values = values + [x for x in free if x["seg_id"] not in named and x["cy"] > floor and (limit is None or x["bottom"] <= limit) and x["left"] >= anchor - ASIDE * u and x not in values]
             used.update(x["seg_id"] for x in values)
-            store(lab["key"], joined(values) or None)
-        for x in s:
-            if x["seg_id"] not in used and not x["is_label"]:
-                store(f"Unmatched_Text_{page_no + 1}_{round(x['cy'])}", x["text"])
-        return [(i, k, v) for i, (k, v) in enumerate(out)]
+        out.append((lab["key"], _joined(values) if values else None))
+    for crowd in densest([x for x in s if x["seg_id"] not in used], u):
+        name = max(crowd, key=lambda x: x["height"])["key"]
+        if name:
+            out.append((f"Stamp_{name}", " ".join(x["text"] for x in sorted(crowd, key=lambda x: (x["top"], x["left"])))))
+        used.update(x["seg_id"] for x in crowd)
+    out += [(f"Unmatched_Text_{page_no + 1}_{round(x['cy'])}", x["text"]) for x in s if x["seg_id"] not in used]
+    return [(k, v) for k, v in out if k]
+
+
+def numbered(names: list[str]) -> list[str]:
+    """A name that is there already gets the next free number, from 2 on."""
+    seen: set[str] = set()
+    for i, name in enumerate(names):
+        k = 2
+        while name in seen:
+            name, k = f"{names[i]}_{k}", k + 1
+        seen.add(name)
+        names[i] = name
+    return names
+
+
+def page_fields(segments: DataFrame) -> DataFrame:
+    """J16 but for the names' numbers: (doc_id, page_no, key_ord, key, value) of each page's tick boxes, labels, stamps and leftovers.
+
+    segments: as `prepared` makes them. A label takes what stands right of it up to the next label, else what stands
+    below it; then lines that continue the value, unless another label is near. What is taken is not taken again; a label whose key is
+    blank takes its values and is not listed; segments that nothing took are Unmatched_Text_<page>_<y>.
+    """
+
+    def fold(key, items):
+        return [(i, k, v) for i, (k, v) in enumerate(_pairs_of_page(key[1], items))]
 
-    return per_page(segments.withColumn("key", X.field_key("text")), fold, "key_ord int, key string, value string")
+    return per_page(row_bands(segments).withColumn("key", X.field_key("text")), fold, "key_ord int, key string, value string")
 
 
-def stamps(segments: DataFrame, least: int = 4, size: float = 10.0) -> DataFrame:
-    """(doc_id, page_no, stamp_no, name, members): densest boxes of `size` units with four segments at least, one after the other; named by the tallest text."""
+def label_values(segments: DataFrame, keys: tuple[str, ...] = tuple(PAGE)) -> DataFrame:
+    """`page_fields` with repeated names numbered within `keys`: a page, or a whole document (doc_id) in page order."""
+    fields = page_fields(segments)
+    if "page_no" not in keys:
+        fields = fields.withColumn("page", F.col("page_no")).drop("page_no")
+        at = "page"
+    else:
+        fields, at = fields.withColumn("page", F.lit(0)), "page"
 
     def fold(_, items):
-        s = sorted(items, key=lambda x: (x["cy"], x["left"], x["text"]))
-        u, out = float(s[0]["unit"]), []
-        while len(s) >= least:
-            groups = [[x for x in s if abs(x["cx"] - a["cx"]) <= size * u / 2 and abs(x["cy"] - a["cy"]) <= size * u / 2] for a in s]
-            best = max(groups, key=len)
-            if len(best) < least:
-                break
-            name = "_".join(re.findall(r"[0-9A-Za-z]+", max(best, key=lambda x: x["height"])["text"])).title()
-            out.append((len(out), f"Stamp_{name}", [x["text"] for x in best]))
-            taken = {x["seg_id"] for x in best}
-            s = [x for x in s if x["seg_id"] not in taken]
-        return out
+        items = sorted(items, key=lambda x: (x[at], x["key_ord"]))
+        return [(x["page"], i, k, x["value"]) for i, (k, x) in enumerate(zip(numbered([x["key"] for x in items]), items, strict=True))]
+
+    out = per_page(fields, fold, "page int, key_ord int, key string, value string", list(keys))
+    return out.drop("page") if "page_no" in keys else out.withColumnRenamed("page", "page_no")
 
-    return per_page(segments, fold, "stamp_no int, name string, members array<string>")
+
+def prepared(segments: DataFrame, unit: Column | None = None) -> DataFrame:
+    """Segments (doc_id, page_no, left, top, width, height, conf, text) split at inline pairs, with ids, geometry, the page's unit and is_label."""
+    from recordloom.operators.tables import unit as upper_unit
+
+    parts = split_inline_pairs(segments.select(*PAGE, "left", "top", "width", "height", "conf", "text"))
+    pages = parts.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("top", "left", "part", "text", "width", "height", "conf"))).alias("items"), (unit if unit is not None else upper_unit(F.collect_list("height"))).alias("unit"))
+    rows = pages.select(*PAGE, "unit", F.posexplode("items").alias("seg_id", "s")).select(*PAGE, "unit", "seg_id", "s.left", "s.top", "s.width", "s.height", "s.conf", "s.text")
+    return labels(geometry(rows))
+
+
+def generic_form(segments: DataFrame) -> DataFrame:
+    """(doc_id, page_no, key_ord, key, value) of all pages of a form; names are numbered over the whole document."""
+    return label_values(prepared(segments), ("doc_id",))
+
+
+def page_header(segments: DataFrame, rules: DataFrame, share: float = 0.3) -> DataFrame:
+    """Fields of what stands above the first rule of each page, or in its upper `share` without one. rules: doc_id, page_no, lines (array), height."""
+    cut = rules.select(*PAGE, F.coalesce(F.array_min("lines").cast("double"), F.floor(F.col("height") * share).cast("double")).alias("_cut"))
+    return label_values(prepared(segments.join(cut, PAGE).where(F.col("top") + F.col("height") <= F.greatest(F.col("_cut"), F.lit(1.0))).drop("_cut")))
+
+
+def stamps(segments: DataFrame, least: int = STAMP_LEAST, size: float = STAMP_BOX) -> DataFrame:
+    """W8 by itself: (doc_id, page_no, stamp_no, name, members): densest boxes of the segments given, named by the tallest text; members by (y, x)."""
+
+    def fold(_, items):
+        s = sorted(items, key=lambda x: (x["top"], x["left"], x["seg_id"]))
+        found = densest(s, float(s[0]["unit"]), least, size)
+        return [(i, f"Stamp_{max(g, key=lambda x: x['height'])['key']}", [x["text"] for x in sorted(g, key=lambda x: (x["top"], x["left"]))]) for i, g in enumerate(found)]
+
+    return per_page(segments.withColumn("key", X.field_key("text")), fold, "stamp_no int, name string, members array<string>")
 
 
 def nearest_tick(ticks: DataFrame, codes: DataFrame) -> DataFrame:
@@ -241,14 +381,37 @@ def nearest_tick(ticks: DataFrame, codes: DataFrame) -> DataFrame:
 
     ticks: tick_id, cx, cy, unit. codes: code, cx, cy, width. Rows of fewer than three codes are no options.
     """
-    c = codes.withColumn("band", F.count("*").over(Window.partitionBy(*PAGE, F.floor(F.col("cy"))))).where("band >= 3")
-    c = c.select(*PAGE, "code", F.col("cx").alias("c_cx"), F.col("cy").alias("c_cy"), F.col("width").alias("c_width"))
+    c = codes.withColumn("row", F.floor("cy"))
+    rows = c.groupBy(*PAGE, "row").count().where(F.col("count") >= CODES_LEAST).drop("count")
+    c = c.join(rows, [*PAGE, "row"]).select(*PAGE, "code", F.col("cx").alias("c_cx"), F.col("cy").alias("c_cy"), F.col("width").alias("c_width"))
     far = F.abs(F.col("cx") - F.col("c_cx"))
-    near = ticks.join(c, PAGE).where((F.abs(F.col("cy") - F.col("c_cy")) <= 2 * F.col("unit")) & (far <= 1.7 * F.col("unit") + F.col("c_width")))
+    near = ticks.join(c, PAGE).where((F.abs(F.col("cy") - F.col("c_cy")) <= TICK_ROWS * F.col("unit")) & (far <= TICK_ASIDE * F.col("unit") + F.col("c_width")))
     per_tick = near.groupBy(*PAGE, "tick_id").agg(F.min_by("code", F.struct(far.alias("far"), "c_cx", "code")).alias("code"))
     return per_tick.groupBy(*PAGE).agg(F.min_by("code", "tick_id").alias("code"))
 
 
+def zone_text(words: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, text, confidence): a crop's words in reading order and their mean confidence; blank words and those of confidence -1 do not count."""
+    w = words.where((X.strip("text") != "") & (F.col("conf") != -1))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("line", "word", "text"))), lambda x: x["text"])
+    return w.groupBy(*keys).agg(F.array_join(texts, " ").alias("text"), F.avg("conf").alias("confidence"))
+
+
+def zone_box(segments: DataFrame, pad: int = 6) -> DataFrame:
+    """(doc_id, page_no, seg_id, x1, y1, x2, y2): where a label's value is to be read again: right of it if anything stands there in its row, else below it."""
+    lab = segments.where("is_label").select(*PAGE, "seg_id", "left", "right", "top", "bottom", "cy", "unit")
+    other = segments.select(*PAGE, F.col("seg_id").alias("o_id"), F.col("left").alias("o_left"), F.col("cy").alias("o_cy"))
+    near = lab.join(other, PAGE).where((F.col("seg_id") != F.col("o_id")) & (F.abs(F.col("o_cy") - F.col("cy")) <= SAME_ROW * F.col("unit")) & (F.col("o_left") >= F.col("right")))
+    right = near.select(*PAGE, "seg_id").distinct().withColumn("_right", F.lit(True))
+    z = lab.join(right, [*PAGE, "seg_id"], "left").withColumn("_right", F.coalesce("_right", F.lit(False)))
+    u = F.col("unit")
+    pick = lambda a, b: F.when(F.col("_right"), a.cast("double")).otherwise(b.cast("double"))
+    return z.select(
+        *PAGE, "seg_id", pick(F.col("right"), F.col("left") - ASIDE * u).alias("x1"), pick(F.col("top") - pad, F.col("bottom")).alias("y1"),
+        pick(F.col("right") + GUTTER_MOST * u, F.col("left") + (ASIDE + GUTTER_MOST) * u).alias("x2"), pick(F.col("bottom") + pad, F.col("bottom") + BELOW * u).alias("y2"),
+    )
+
+
 def overlap_area(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     """Area shared by two boxes of (left, top, right, bottom)."""
     side = lambda k: F.greatest(F.lit(0), F.least(a[k + 2], b[k + 2]) - F.greatest(a[k], b[k]))

@@ -111,10 +111,36 @@ def leftmost(values: Column, k: int) -> Column:
 
 def width_split(x: Column, left: Column, width: Column, k: int) -> Column:
     """Which of k columns of equal width holds x; null outside."""
-    i = F.floor((x - left) / (width / F.lit(float(k)))).cast("int")
+    i = F.floor((x - left) * k / width).cast("int")
     return F.when((i >= 0) & (i < k), i)
 
 
+def first_filled_row(rows: DataFrame, after: int = 0) -> DataFrame:
+    """T5: (table_id, row_idx, cells) of each table's first row beyond `after` that has a filled cell."""
+    best = F.min_by(F.struct("row_idx", "cells"), "row_idx")
+    return rows.where((F.col("row_idx") > after) & (n_filled(F.col("cells")) > 0)).groupBy("table_id").agg(best.alias("r")).select("table_id", "r.*")
+
+
+def positional_record(rows: DataFrame, names: tuple[str, ...], after: int = 0) -> DataFrame:
+    """(table_id and `names`): the first filled row below the captions read by position; all null if it has fewer cells."""
+    part = leftmost(F.col("cells"), len(names))
+    first = first_filled_row(rows, after)
+    return first.select("table_id", *[F.nullif(F.get(part, F.lit(k)), F.lit("")).alias(n) for k, n in enumerate(names)])
+
+
+def column_divider(bands: Column, page_lines: Column, width: Column, least: float = 0.25, most: float = 0.75, margin: int = 50) -> Column:
+    """(divider, right) of the first band of two rows that has a rule inside the page's middle; null if none has.
+
+    bands: the vertical rules of each pair of adjacent rows, in order. Rules near those of the whole page are its borders.
+    """
+    inner = lambda b: F.filter(b, lambda x: F.forall(page_lines, lambda e: F.abs(x - e) > margin))
+    middle = lambda b: F.filter(b, lambda x: (x >= width * least) & (x <= width * most))
+    found = F.get(F.filter(F.transform(bands, inner), lambda b: F.size(middle(b)) > 0), F.lit(0))
+    divider = F.array_min(middle(found))
+    right = F.coalesce(F.array_min(F.filter(found, lambda x: x > divider)), F.array_max(page_lines) - margin)
+    return F.when(divider.isNotNull(), F.struct(divider.alias("divider"), right.alias("right")))
+
+
 def page_roles(pages: DataFrame, layout: DataFrame) -> DataFrame:
     """Pages with the role whose range holds them. layout: role, first_page, last_page (inclusive); all rows count."""
     return pages.join(layout, F.col("page_no").between(F.col("first_page"), F.col("last_page")), "left").drop("first_page", "last_page")

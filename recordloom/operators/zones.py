@@ -28,6 +28,94 @@ def tightest_box(boxes: Column, x: Column, y: Column) -> Column:
     return F.array_min(ranked)["b"]
 
 
+def first_box(boxes: Column, x: Column, y: Column) -> Column:
+    """The first of the boxes (x1, y1, x2, y2) around a point; null if there is none."""
+    return F.get(F.filter(boxes, lambda b: (b["x1"] <= x) & (x <= b["x2"]) & (b["y1"] <= y) & (y <= b["y2"])), F.lit(0))
+
+
+def sections(segments: DataFrame, boxes: Column, ratio: float = 3.0) -> DataFrame:
+    """Segments with `section`: the place of the first box that holds their centre, or, without one, -1, -2 and so on by gaps of more than `ratio` units."""
+    from recordloom.operators.tables import gap_groups
+
+    page = ["doc_id", "page_no"]
+    around = F.transform(boxes, lambda b: (b["x1"] <= F.col("cx")) & (F.col("cx") <= b["x2"]) & (b["y1"] <= F.col("cy")) & (F.col("cy") <= b["y2"]))
+    s = segments.withColumn("_box", F.coalesce(F.array_position(around, True), F.lit(0)))
+    apart = gap_groups(s.where("_box = 0"), page, "top", F.col("unit"), ratio).withColumn("section", (-1 - F.col("group_no")).cast("int")).drop("group_no", "_box")
+    return s.where("_box > 0").withColumn("section", (F.col("_box") - 1).cast("int")).drop("_box").unionByName(apart)
+
+
+def ink_share(levels: Column) -> Column:
+    """The share of dark pixels of a crop, from the counts of its 256 grey levels, by the cut that parts dark from light best (Otsu)."""
+    total = F.aggregate(levels, F.lit(0.0), lambda a, x: a + x)
+    mass = F.aggregate(F.transform(levels, lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)
+
+    def step(state, x):
+        n, m = state["n"] + x["c"], state["m"] + x["c"] * x["i"]
+        gap = m / F.nullif(n, F.lit(0.0)) - (mass - m) / F.nullif(total - n, F.lit(0.0))
+        between = F.coalesce(n * (total - n) * gap * gap, F.lit(-1.0))
+        better = between > state["best"]
+        return F.struct(n.alias("n"), m.alias("m"), F.when(better, between).otherwise(state["best"]).alias("best"), F.when(better, n).otherwise(state["dark"]).alias("dark"))
+
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("best"), F.lit(0.0).alias("dark"))
+    cells = F.transform(levels, lambda x, i: F.struct(x.cast("double").alias("c"), i.cast("double").alias("i")))
+    return F.coalesce(F.aggregate(cells, start, step)["dark"] / F.nullif(total, F.lit(0.0)), F.lit(0.0))
+
+
+def ink_present(share: Column, least: float = 0.05) -> Column:
+    """Whether a crop has more ink than an empty one."""
+    return share >= least
+
+
+def stamp_zone(anchor: Column, boxes: Column, width: Column, height: Column, margin: int = 10) -> Column:
+    """(box, above, band): the box around a stamp's anchor, the strip of two text heights above it, and its middle, where the stamp is."""
+    cx, cy, h = (anchor["x1"] + anchor["x2"]) / 2, (anchor["y1"] + anchor["y2"]) / 2, anchor["y2"] - anchor["y1"]
+    box = tightest_box(boxes, cx, cy)
+    pick = lambda k, other: F.coalesce(box[k].cast("double"), other.cast("double"))
+    x1, x2 = pick("x1", F.greatest(F.lit(0), anchor["x1"] - margin)), pick("x2", F.least(width, anchor["x2"] + margin))
+    y1, y2 = pick("y1", F.greatest(F.lit(0), anchor["y1"] - h)), pick("y2", F.least(height, anchor["y2"] + 3 * h))
+    part = lambda a, b, c, d: F.struct(a.alias("x1"), b.alias("y1"), c.alias("x2"), d.alias("y2"))
+    return F.struct(
+        part(x1, y1, x2, y2).alias("box"), part(x1, F.greatest(F.lit(0.0), y1 - 2 * h), x2, y1).alias("above"), part(x1, y1 + (y2 - y1) * 0.25, x2, y1 + (y2 - y1) * 0.85).alias("band")
+    )
+
+
+def seal_zone(anchor: Column, boxes: Column, width: Column, height: Column, margin: int = 10, wide: int = 3, tall: int = 15) -> Column:
+    """(x1, y1, x2, y2) below a seal's label: of the tightest box around it that is not much larger than the label, else of a padded one."""
+    cx, cy, w, h = (anchor["x1"] + anchor["x2"]) / 2, (anchor["y1"] + anchor["y2"]) / 2, anchor["x2"] - anchor["x1"], anchor["y2"] - anchor["y1"]
+    box = tightest_box(F.filter(boxes, lambda b: (b["x2"] - b["x1"] <= w * wide) & (b["y2"] - b["y1"] <= h * tall)), cx, cy)
+    pick = lambda k, other: F.coalesce(box[k].cast("double"), other.cast("double"))
+    return F.struct(
+        pick("x1", F.greatest(F.lit(0), anchor["x1"] - margin)).alias("x1"), F.greatest(pick("y1", F.greatest(F.lit(0), anchor["y1"] - margin)), anchor["y2"].cast("double")).alias("y1"),
+        pick("x2", F.least(width, anchor["x2"] + 20 * margin)).alias("x2"), pick("y2", F.least(height, anchor["y2"] + 6 * h)).alias("y2"),
+    )
+
+
+def text_within(segments: DataFrame, zone: str, keys: list[str]) -> DataFrame:
+    """(keys, text): texts whose centre is in the box column `zone` of their row, in reading order; null if there is none."""
+    inside = (F.col("cx") >= F.col(f"{zone}.x1")) & (F.col("cx") <= F.col(f"{zone}.x2")) & (F.col("cy") >= F.col(f"{zone}.y1")) & (F.col("cy") <= F.col(f"{zone}.y2"))
+    entry = F.when(inside, F.struct("top", "left", "text"))
+    texts = F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["text"])
+    return segments.groupBy(*keys).agg(F.nullif(F.array_join(texts, " "), F.lit("")).alias("text"))
+
+
+def acknowledgement(words: DataFrame, keys: list[str], lines: int = 6, row_lines: int = 4) -> DataFrame:
+    """(keys, field, x1, y1, x2, y2): the cells of the acknowledgement box below its topmost heading: received_wt, received_date, remark.
+
+    words: left, top, width, height, text. Pages without a heading or one of the three captions within six text heights below it have no row.
+    """
+    w = words.withColumn("low", F.lower("text"))
+    exact = w.where(F.col("low").rlike("acknowledgement")).groupBy(*keys).agg(F.min_by(F.struct("top", "height"), "top").alias("h"), F.lit(0).alias("o"))
+    loose = w.where(F.col("low").rlike("received")).groupBy(*keys).agg(F.min_by(F.struct("top", "height"), "top").alias("h"), F.lit(1).alias("o"))
+    head = exact.unionByName(loose).groupBy(*keys).agg(F.min_by("h", "o").alias("h"))
+    band = w.join(head, keys).where((F.col("top") >= F.col("h.top") + F.col("h.height")) & (F.col("top") <= F.col("h.top") + (1 + lines) * F.col("h.height")))
+    field = F.when(F.col("low").rlike("received"), "received_wt").when(F.col("low").rlike("^date$"), "received_date").when(F.col("low").rlike("remark"), "remark")
+    first = band.withColumn("field", field).where("field is not null").groupBy(*keys, "field").agg(F.min_by(F.struct("left", "top", "width", "height", (F.col("h.height") * row_lines).alias("row")), F.struct("top", "left")).alias("c"))
+    whole = Window.partitionBy(*keys)
+    until = F.lead("c.left").over(whole.orderBy("c.left", "field"))
+    cells = first.withColumns({"_n": F.count("*").over(whole), "_until": until}).where("_n = 3")
+    return cells.select(*keys, "field", F.col("c.left").cast("double").alias("x1"), (F.col("c.top") + F.col("c.height")).cast("double").alias("y1"), F.coalesce("_until", F.col("c.left") + 4 * F.col("c.width")).cast("double").alias("x2"), (F.col("c.top") + F.col("c.height") + F.col("c.row")).cast("double").alias("y2"))
+
+
 def nearest_right(boxes: Column, x: Column, y: Column) -> Column:
     """Of the boxes that begin right of x in the row of y the nearest."""
     right = F.filter(boxes, lambda b: (b["x1"] >= x) & (b["y1"] <= y) & (y <= b["y2"]))
@@ -73,12 +161,14 @@ def weight_crop(anchor: Column, lines: Column, width: Column, height: Column) ->
 
 
 def header_columns(labels: DataFrame, keys: list[str], heights: float = 6.0) -> DataFrame:
-    """(keys, text, left, until): labels within six heights of the topmost one; each column ends where the next starts, the last after four widths."""
+    """Labels within six heights of the topmost one, with `until`: each column ends where the next starts, the last after four widths.
+
+    labels: keys, line, word, left, top, width, height; of several topmost ones the first by (line, word) gives the height.
+    """
     w = Window.partitionBy(*keys)
-    first = labels.withColumns({"_top": F.min("top").over(w), "_h": F.min_by("height", "top").over(w)})
-    band = first.where(F.col("top") - F.col("_top") <= heights * F.col("_h"))
-    until = F.coalesce(F.lead("left").over(w.orderBy("left", "text")), F.col("left") + 4 * F.col("width"))
-    return band.select(*keys, "text", "left", until.alias("until"))
+    first = F.min(F.struct("top", "line", "word", "height")).over(w)
+    band = labels.withColumn("_first", first).where(F.col("top") - F.col("_first.top") <= heights * F.col("_first.height")).drop("_first")
+    return band.withColumn("until", F.coalesce(F.lead("left").over(w.orderBy("left", "line", "word")), F.col("left") + 4 * F.col("width")))
 
 
 def nearest_match(words: DataFrame, anchor_x: Column, anchor_y: Column, pattern: str, keys: list[str]) -> DataFrame:
