@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -54,6 +55,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffles of steps that are done: it does so when the driver's JVM finds them unused."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_bytes(name: str = "text") -> Column:
     """The UTF-8 bytes of a text; null counts as empty."""
     return F.coalesce(F.col(name).cast("binary"), F.lit(b""))

@@ -22,13 +22,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         label = state.select(F.col("node").alias("b"), F.col("root").alias("theirs"))
         around = both.join(label, "b").groupBy(F.col("a").alias("node")).agg(F.min("theirs").alias("theirs"))
-        seen = state.join(around, "node").select("node", F.col("root").alias("old"), F.least("root", "theirs").alias("root"))
-        offers = seen.select("node", "root").union(seen.where("root < old").select(F.col("old").alias("node"), "root"))
-        hooked = offers.groupBy("node").agg(F.min("root").alias("root"))
+        seen = state.join(around, "node").select("node", F.col("root").alias("was"), F.least("root", "theirs").alias("root"))
+        offers = seen.union(seen.where("root < was").select(F.col("was").alias("node"), F.lit(None).cast("long").alias("was"), "root"))
+        hooked = offers.groupBy("node").agg(F.min("root").alias("root"), F.min("was").alias("was"))
         up = hooked.select(F.col("node").alias("root"), F.col("root").alias("upper"))
-        jumped = hooked.join(up, "root").select("node", F.least("root", "upper").alias("root"))
-        new = checkpointed(jumped)
-        changed = new.join(state.withColumnRenamed("root", "was"), "node").where("root <> was").limit(1).count()
-        state = new
+        new = checkpointed(hooked.join(up, "root").select("node", F.least("root", "upper").alias("root"), "was"))
+        changed = new.where("root <> was").limit(1).count()
+        state = new.select("node", "root")
         if not changed:
             return state
