@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import checkpointed
+from recordloom.llm.common import checkpointed, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,5 +29,6 @@ def components(edges: DataFrame) -> DataFrame:
         new = checkpointed(hooked.join(up, "root").select("node", F.least("root", "upper").alias("root"), "was"))
         changed = new.where("root <> was").limit(1).count()
         state = new.select("node", "root")
+        release(edges.sparkSession)
         if not changed:
             return state
