@@ -26,6 +26,14 @@ def _pairs(s, d):
     return r.select(F.col("lr_idx").alias("doc_id"), F.lit(0).alias("page_no"), F.explode(entries).alias("e")).select("doc_id", "page_no", "e.*")
 
 
+def _zoned(s, d):
+    """Short keys that mean something in one zone only."""
+    r = derive.receipts(s, d)
+    keys = (("zone1", "From", "lr_no"), ("zone1", "To", "lr_date"), ("zone3", "Route", "shipment_no"), ("zone3", "From", "truck_no"), ("zone2", "To", "amount"))
+    entries = F.array(*[F.struct(F.lit(k).alias("idx"), F.lit(z).alias("zone"), F.lit(n).alias("key"), F.col(v).alias("value")) for k, (z, n, v) in enumerate(keys)])
+    return r.select(F.col("lr_idx").alias("doc_id"), F.lit(0).alias("page_no"), F.explode(entries).alias("e")).select("doc_id", "page_no", "e.*")
+
+
 def _cover(s, d):
     c = derive.table(s, d, "customer")
     entries = F.array(*[F.struct(F.lit(k).alias("idx"), F.lit(label).alias("label"), F.expr(v).alias("value")) for k, (label, v) in enumerate((("* Vendor Name", "c_name"), ("PO Number :", "concat('4500', c_custkey, ' A')"), ("Invoice Amount", "concat(c_custkey % 90 + 10, ',', 100 + c_custkey % 900, ' /-')")))])
@@ -35,8 +43,18 @@ def _cover(s, d):
 QUERIES = {
     "bill_extract": (lambda s, d: _fields(extract.bill_rows(captioned(s, d))), None),
     "tax_invoice_extract": (lambda s, d: _fields(extract.tax_invoice_rows(captioned(s, d))), None),
-    "cover_extract": (lambda s, d: extract.cover_records(_cover(s, d)), None),
-    "receipt_extract": (lambda s, d: extract.receipt_records(_pairs(s, d)).select("doc_id", "page_no", "lr_no", "lr_date", "shipment_no", "truck_no", "amount"), None),
+    "cover_extract": (
+        lambda s, d: extract.cover_records(_cover(s, d)),
+        "SELECT c_custkey AS doc_id, c_name AS vendor_name, CAST(NULL AS VARCHAR) AS vendor_code, concat('4500', c_custkey) AS po_number, CAST(NULL AS VARCHAR) AS grn_srn_number, CAST(NULL AS VARCHAR) AS invoice_number, CAST(NULL AS VARCHAR) AS invoice_date, CAST(NULL AS VARCHAR) AS penalty_amount, concat(c_custkey % 90 + 10, ',', 100 + c_custkey % 900, '/-') AS invoice_amount, CAST(NULL AS VARCHAR) AS barcode_number FROM customer",
+    ),
+    "receipt_extract": (
+        lambda s, d: extract.receipt_records(_pairs(s, d)).select("doc_id", "page_no", "lr_no", "lr_date", "shipment_no", "truck_no", "amount"),
+        f"WITH {D.RECEIPTS} SELECT lr_idx AS doc_id, CAST(0 AS INTEGER) AS page_no, lr_no, lr_date, shipment_no, truck_no, CAST(NULL AS VARCHAR) AS amount FROM receipts",
+    ),
+    "receipt_zones": (
+        lambda s, d: extract.receipt_records(_zoned(s, d)).select("doc_id", "page_no", "from_origin", "to_destination", "route"),
+        f"WITH {D.RECEIPTS} SELECT lr_idx AS doc_id, CAST(0 AS INTEGER) AS page_no, lr_no AS from_origin, lr_date AS to_destination, shipment_no AS route FROM receipts",
+    ),
     "trusted_fields": (
         lambda s, d: extract.trusted_fields(_pairs(s, d)).select("doc_id", "key", "value"),
         f"WITH {D.RECEIPTS}, p AS (SELECT lr_idx AS doc_id, unnest(['Lr_No', 'Lr_Date', 'Shipment_No', 'Truck_No', 'Net_Wt', 'Amount']) AS key, unnest([lr_no, lr_date, shipment_no, truck_no, net_wt, amount]) AS value FROM receipts) SELECT * FROM p WHERE len(regexp_replace(value, '[^A-Za-z0-9]+', '', 'g')) >= 3",

@@ -71,6 +71,8 @@ def _unique(s, d):
     return infer.unique_names(names, ["table_id"], "pos").where("table_id is not null")
 
 
+_NUMBERED = "^(.*)_([0-9]{1,9})$"
+
 QUERIES = {
     "shape_hit_rate": (lambda s, d: infer.hit_rates(cells(s, d)).select("table_id", "col_idx", "n_values", *[F.round(f"{n}_rate", 6).alias(f"{n}_rate") for n, _ in infer.SHAPES]), f"{FILLED}, rt AS (SELECT table_id, col_idx, {RATES} FROM v GROUP BY ALL) SELECT table_id, col_idx, n_values, " + ", ".join(f"round({n}_rate, 6) AS {n}_rate" for n, _ in infer.SHAPES) + " FROM rt"),
     "is_sequential": (lambda s, d: infer.sequential(cells(s, d)), f"{FILLED}, {SEQ} SELECT * FROM sq"),
@@ -82,7 +84,13 @@ QUERIES = {
         f"{TYPES}, {TRIPLES} SELECT c.table_id, c.col_idx, CASE WHEN c.col_idx IN (factor_a, factor_b) THEN 'qty_or_rate' WHEN c.col_idx = product THEN 'amount' ELSE coalesce(column_type, concat('unclassified_col_', c.col_idx + 1)) END AS name FROM (SELECT DISTINCT table_id, col_idx FROM cells) c LEFT JOIN ty USING (table_id, col_idx) LEFT JOIN best ON c.table_id = best.table_id",
     ),
     "classify_with_captions": (lambda s, d: infer.column_names(infer.classify_columns(cells(s, d), matching.match_captions(captions(s, d))), captions(s, d)), None),
-    "unique_names": (_unique, None),
+    "unique_names": (
+        _unique,
+        f"""WITH n AS (SELECT p_size AS table_id, p_partkey AS pos, CASE WHEN p_partkey % 3 = 0 THEN p_brand WHEN p_partkey % 3 = 1 THEN concat(p_brand, '_2') ELSE p_type END AS name FROM part WHERE p_size IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY table_id, name ORDER BY pos) AS nth FROM n),
+t AS (SELECT table_id AS tid, regexp_extract(name, '{_NUMBERED}', 1) AS base, list(DISTINCT CAST(regexp_extract(name, '{_NUMBERED}', 2) AS BIGINT)) AS taken FROM n WHERE regexp_matches(name, '{_NUMBERED}') GROUP BY 1, 2)
+SELECT table_id, pos, CASE WHEN nth = 1 THEN name ELSE concat(name, '_', CASE WHEN taken IS NULL THEN nth ELSE list_filter(range(2, len(taken) + nth + 2), lambda k: NOT list_contains(taken, k))[nth - 1] END) END AS name FROM r LEFT JOIN t ON table_id = tid AND name = base""",
+    ),
     "caption_row": (
         lambda s, d: tables.caption_rows(rows(s, d).withColumn("row_idx", F.col("row_idx") - 1)),
         f"{ROWS}, u AS (SELECT table_id, row_idx - 1 AS row_idx, {NF} AS nf FROM rws WHERE row_idx - 1 < 4 AND {NF} > 0 AND len(list_filter(cells, lambda t: regexp_matches(t, '[0-9]{{8}}'))) = 0 AND len(list_filter(cells, lambda t: len(t) > 25)) <= {NF} * 0.2), b AS (SELECT table_id, row_idx FROM (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY nf DESC, row_idx) k FROM u) WHERE k = 1) SELECT t.table_id, CAST(coalesce(b.row_idx, 0) AS BIGINT) AS caption_row FROM (SELECT DISTINCT table_id FROM rws) t LEFT JOIN b USING (table_id)",
@@ -117,6 +125,19 @@ QUERIES = {
         lambda s, d: tables.page_roles(pages(s, d).select("doc_id", "page_no"), s.createDataFrame([("form", 1, 1), ("bill", 2, 3), ("lr", 6, 36)], "slot string, first_page int, last_page int")),
         f"WITH {PAGES} SELECT doc_id, page_no, CASE WHEN page_no = 1 THEN 'form' WHEN page_no BETWEEN 2 AND 3 THEN 'bill' WHEN page_no BETWEEN 6 AND 36 THEN 'lr' END AS slot FROM pg",
     ),
+    "first_filled_row": (
+        lambda s, d: tables.first_filled_row(rows(s, d).withColumn("cells", F.when(F.col("row_idx") <= F.col("table_id") % 4, F.transform("cells", lambda t: F.lit(""))).otherwise(F.col("cells"))), 1).select("table_id", "row_idx"),
+        f"{ROWS} SELECT table_id, min(row_idx) AS row_idx FROM rws WHERE row_idx > greatest(table_id % 4, 1) GROUP BY table_id",
+    ),
+    "positional_record": (
+        lambda s, d: tables.positional_record(rows(s, d), ("a", "b", "c", "d", "e", "f", "g", "h"), 1),
+        f"{ROWS}, f AS (SELECT table_id, min_by(cells, row_idx) AS c FROM rws WHERE row_idx > 1 GROUP BY table_id) SELECT table_id, " + ", ".join(f"nullif(c[{k + 1}], '') AS {n}" for k, n in enumerate("abcdefgh")) + " FROM f",
+    ),
+    "column_divider": (
+        lambda s, d: derive.table(s, d, "customer").selectExpr("c_custkey", "array(array(c_custkey % 1000), array(c_custkey * 7 % 1000, c_custkey * 13 % 1000), array(500, 900)) AS bands").select("c_custkey", tables.column_divider(F.col("bands"), F.array(F.lit(10), F.lit(990)), F.lit(1000)).alias("z")).selectExpr("c_custkey", "CAST(z.divider AS BIGINT) AS divider", "CAST(z.right AS BIGINT) AS until"),
+        "WITH b AS (SELECT c_custkey, unnest([[c_custkey % 1000], [c_custkey * 7 % 1000, c_custkey * 13 % 1000], [500, 900]]) AS v, unnest([1, 2, 3]) AS i FROM customer), n AS (SELECT c_custkey, i, list_filter(v, lambda x: abs(x - 10) > 50 AND abs(x - 990) > 50) AS v FROM b), m AS (SELECT *, list_min(list_filter(v, lambda x: x BETWEEN 250 AND 750)) AS divider FROM n), "
+        "f AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY i) AS k FROM m WHERE divider IS NOT NULL) SELECT c_custkey, CAST(divider AS BIGINT) AS divider, CAST(coalesce(list_min(list_filter(v, lambda x: x > divider)), 940) AS BIGINT) AS until FROM f WHERE k = 1",
+    ),
     "layout_warnings": (
         lambda s, d: tables.layout_warnings(pages(s, d)).withColumn("warnings", F.array_join("warnings", ",")),
         f"WITH {PAGES} SELECT doc_id, count(*) AS n_pages, array_to_string(list_filter([CASE WHEN count(*) < 3 THEN 'too_few_pages' END, CASE WHEN count(CASE WHEN role = 'lr' THEN 1 END) = 0 THEN 'no_lr_pages' END, CASE WHEN count(CASE WHEN role = 'bill' THEN 1 END) = 0 THEN 'no_bill_pages' END], lambda f: f IS NOT NULL), ',') AS warnings FROM pg GROUP BY doc_id",

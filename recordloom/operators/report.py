@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from recordloom.functions import text as X
-from recordloom.operators.infer import unique_names
 
 CELLS = ("sheet_ord", "sheet", "row", "col", "value", "style")
 
@@ -38,12 +37,15 @@ def bill_columns(rows: DataFrame, hidden: tuple[str, ...] = ("validation_flags",
     return first.select((F.row_number().over(Window.orderBy("at")) - 1).alias("col"), "key", X.header("key").alias("header"))
 
 
-def sheet_names(records: DataFrame, keys: tuple[str, ...] = (), key: str = "lr_no", page: str = "lr_idx") -> DataFrame:
-    """K5: records with sheet: LR_ and the number without leading zeros, or LR_page_ and the page; without illegal characters, at most 31, repeats within a report (`keys`) numbered."""
-    digits = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(key), F.lit("")), "[^0-9]", ""), "^0+", "")
-    base = F.when(digits == "", F.concat(F.lit("LR_page_"), F.col(page).cast("string"))).otherwise(F.concat(F.lit("LR_"), digits))
-    named = records.withColumn("sheet", F.left(F.regexp_replace(base, r"[\[\]:*?/\\]", ""), F.lit(28)))
-    return unique_names(named, list(keys), page, "sheet")
+def sheet_names(records: DataFrame, keys: tuple[str, ...] = (), key: str = "lr_no", page: str = "lr_idx", longest: int = 31) -> DataFrame:
+    """K5: records with sheet: LR_ and the number without leading zeros (all zeros stay), or LR_page_ and the page; at most 31 characters, repeats within a report (`keys`) numbered."""
+    digits = F.regexp_replace(F.coalesce(F.col(key), F.lit("")), "[^0-9]", "")
+    short = F.coalesce(F.nullif(F.regexp_replace(digits, "^0+", ""), F.lit("")), digits)
+    base = F.when(short == "", F.concat(F.lit("LR_page_"), F.col(page).cast("string"))).otherwise(F.concat(F.lit("LR_"), short))
+    named = records.withColumn("sheet", F.left(base, F.lit(longest)))
+    nth = F.row_number().over(Window.partitionBy(*keys, "sheet").orderBy(page))
+    tag = F.when(nth > 1, F.concat(F.lit("_"), nth.cast("string"))).otherwise("")
+    return named.withColumn("_tag", tag).withColumn("sheet", F.concat(F.left("sheet", longest - F.length("_tag")), F.col("_tag"))).drop("_tag")
 
 
 def bill_cells(rows: DataFrame, sheet: str = "Bill", sheet_ord: int = 1, first_row: int = 0) -> DataFrame:

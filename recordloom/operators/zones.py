@@ -163,12 +163,12 @@ def weight_crop(anchor: Column, lines: Column, width: Column, height: Column) ->
 def header_columns(labels: DataFrame, keys: list[str], heights: float = 6.0) -> DataFrame:
     """Labels within six heights of the topmost one, with `until`: each column ends where the next starts, the last after four widths.
 
-    labels: keys, line, word, left, top, width, height; of several topmost ones the first by (line, word) gives the height.
+    labels: keys, left, top, width, height, text and, for ties, line and word if there are any; the first of several topmost ones gives the height.
     """
-    w = Window.partitionBy(*keys)
-    first = F.min(F.struct("top", "line", "word", "height")).over(w)
+    w, ties = Window.partitionBy(*keys), [c for c in ("line", "word") if c in labels.columns] or ["left", "text"]
+    first = F.min(F.struct("top", *ties, "height")).over(w)
     band = labels.withColumn("_first", first).where(F.col("top") - F.col("_first.top") <= heights * F.col("_first.height")).drop("_first")
-    return band.withColumn("until", F.coalesce(F.lead("left").over(w.orderBy("left", "line", "word")), F.col("left") + 4 * F.col("width")))
+    return band.withColumn("until", F.coalesce(F.lead("left").over(w.orderBy("left", *ties)), F.col("left") + 4 * F.col("width")))
 
 
 def nearest_match(words: DataFrame, anchor_x: Column, anchor_y: Column, pattern: str, keys: list[str]) -> DataFrame:

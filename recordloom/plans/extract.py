@@ -30,6 +30,10 @@ RECEIPT_SYNONYMS = {
     "lr_no": ["lr no"], "lr_date": ["lr date"], "shipment_no": ["shipment no"], "from_origin": ["from origin", "from"], "to_destination": ["to destination", "to"],
     "truck_no": ["truck no"], "truck_type": ["truck type"], "incoterm": ["incoterm"], "freight": ["freight"], "eway_bill_no": ["eway bill no", "e way bill no", "eway bill number"], "mwr": ["mwr"], "route": ["route"],
 }
+#: The zone of the page in which each of these is read.
+RECEIPT_ZONES = {
+    "zone1": ("lr_no", "lr_date", "shipment_no", "from_origin", "to_destination"), "zone2": ("truck_no", "truck_type", "incoterm", "freight", "eway_bill_no", "mwr"), "zone3": ("route",),
+}
 WEIGHTS = ("lorry_tare_wt", "net_wt", "gross_wt")
 GOODS = ("packages", "description_of_product", "net_wt_2", "gross_wt_2", "amount")
 
@@ -85,12 +89,17 @@ def cover_records(pairs: DataFrame, barcodes: DataFrame | None = None) -> DataFr
 def receipt_records(pairs: DataFrame, weights: DataFrame | None = None, goods: DataFrame | None = None, marks: DataFrame | None = None) -> DataFrame:
     """(doc_id, page_no and the 24 fields) of receipts.
 
-    pairs (doc_id, page_no, idx, key, value) are aliased to fields; weights and goods (doc_id, page_no, cells) are table rows read by position; marks
+    pairs (doc_id, page_no, idx, key, value and, if they were read zone by zone, zone) are aliased to fields, each zone's keys to its own; weights and goods (doc_id, page_no, cells) are table rows read by position; marks
     (doc_id, page_no, the four of stamp and seal) come from a reader of ink. What is not found is null.
     """
     page = ["doc_id", "page_no"]
     key = F.lower(F.replace("key", F.lit("_"), F.lit(" ")))
-    found = _assigned(pairs, page, RECEIPT_SYNONYMS, key, matching.RECORD_THRESHOLD, "alnum")
+    if "zone" in pairs.columns:
+        pools = {z: {n: RECEIPT_SYNONYMS[n] for n in names} for z, names in RECEIPT_ZONES.items()}
+        parts = [_assigned(pairs.where(F.col("zone") == z), page, pool, key, matching.RECORD_THRESHOLD, "alnum") for z, pool in pools.items()]
+        found = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    else:
+        found = _assigned(pairs, page, RECEIPT_SYNONYMS, key, matching.RECORD_THRESHOLD, "alnum")
     wide = pairs.select(*page).distinct().join(found.groupBy(*page).agg(*[F.max(F.when(F.col("field") == n, F.col("value"))).alias(n) for n in RECEIPT_SYNONYMS]), page, "left")
     for names, part in ((WEIGHTS, weights), (GOODS, goods)):
         if part is not None:

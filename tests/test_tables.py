@@ -95,11 +95,39 @@ def segments(spark, rows):
 
 
 def test_labels_and_values(spark):
-    s = segments(spark, [(0, 0, 60, 10, 0.9, "Vendor Name"), (100, 0, 60, 10, 0.9, "Acme"), (170, 1, 60, 10, 0.9, "Ltd"), (0, 30, 60, 10, 0.9, "Bill Date:"), (0, 50, 60, 10, 0.9, "05.09.2026"), (400, 300, 50, 10, 0.9, "stray")])
+    s = segments(spark, [(0, 0, 60, 10, 0.9, "Vendor Name"), (100, 0, 60, 10, 0.9, "Acme"), (170, 1, 60, 10, 0.9, "Ltd"), (0, 30, 60, 10, 0.9, "Bill Date:"), (0, 50, 60, 10, 0.9, "05.09.2026"), (400, 0, 50, 10, 0.9, "stray")])
     lab = layout.labels(s)
     assert {r.text for r in lab.where("is_label").collect()} >= {"Vendor Name", "Bill Date:"}
     got = {r.key: r.value for r in layout.label_values(lab.withColumn("is_label", F.col("text").isin("Vendor Name", "Bill Date:"))).collect()}
-    assert got["Vendor_Name"] == "Acme Ltd" and got["Bill_Date"] == "05.09.2026" and got["Unmatched_Text_1_305"] == "stray"
+    assert got["Vendor_Name"] == "Acme Ltd" and got["Bill_Date"] == "05.09.2026" and got["Unmatched_Text_1_5"] == "stray"
+
+
+def test_values_beside_below_and_continued(spark):
+    s = segments(spark, [(0, 0, 60, 10, 0.9, "Vendor Name:"), (100, 9, 60, 10, 0.9, "Acme"), (0, 100, 60, 10, 0.9, "Remark:"), (5, 134, 60, 10, 0.9, "late"), (0, 300, 60, 10, 0.9, "Approver:"), (100, 300, 60, 10, 0.9, "A B"), (100, 320, 60, 10, 0.9, "Head of"), (100, 360, 60, 10, 0.9, "Accounts"), (0, 500, 60, 10, 0.9, "**:"), (100, 500, 60, 10, 0.9, "nameless")])
+    got = {r.key: r.value for r in layout.label_values(s.withColumn("is_label", F.col("text").endswith(":"))).collect()}
+    assert got == {"Vendor_Name": "Acme", "Remark": "late", "Approver": "A B | Head of | Accounts"}
+
+
+def test_tick_boxes_stamps_and_numbered_names(spark):
+    page = [(0, 0, 40, 10, 0.9, "PO1X"), (60, 0, 40, 10, 0.9, "PO2X"), (120, 0, 40, 10, 0.9, "PO3O"), (125, 12, 8, 8, 0.9, "v"), (0, 100, 60, 10, 0.9, "Bill No: 7"), (0, 140, 60, 10, 0.9, "Bill No: 8")]
+    crowd = [(600 + 12 * k, 20 + 15 * k, 10, 10 + k, 0.5, f"w{k}") for k in range(4)]
+    rows = [(1, p, *r) for p in (0, 1) for r in (page + crowd if p == 0 else page[4:5])]
+    boxes = spark.createDataFrame(rows, "doc_id long, page_no int, left int, top int, width int, height int, conf double, text string")
+    form = [(r.page_no, r.key, r.value) for r in layout.generic_form(boxes).orderBy("key_ord").collect()]
+    assert form == [(0, "PO_Type_Selected", "PO3O"), (0, "PO_Type_Options", "PO1X PO2X PO3O"), (0, "Bill_No", "7"), (0, "Bill_No_2", "8"), (0, "Stamp_W3", "w0 w1 w2 w3"), (1, "Bill_No_3", "7")]
+    cut = spark.createDataFrame([(1, 0, [125], 1000), (1, 1, [], 1000)], "doc_id long, page_no int, lines array<int>, height int")
+    assert {(r.page_no, r.key) for r in layout.page_header(boxes, cut).collect()} == {(0, "PO_Type_Selected"), (0, "PO_Type_Options"), (0, "Bill_No"), (0, "Stamp_W3"), (1, "Bill_No")}
+
+
+def test_width_split_at_the_edges(spark):
+    got = spark.createDataFrame([(99,), (100,), (5099,), (5100,), (814,), (815,)], "x int").select("x", tables.width_split(F.col("x"), F.lit(100), F.lit(5000), 7).alias("s")).collect()
+    assert {r.x: r.s for r in got} == {99: None, 100: 0, 5099: 6, 5100: None, 814: 0, 815: 1}
+
+
+def test_sheet_names_fit(spark):
+    rows = spark.createDataFrame([(k, "9" * 40) for k in range(1, 121)] + [(500, "0000")], "lr_idx int, lr_no string")
+    names = [r.sheet for r in report.sheet_names(rows).collect()]
+    assert len(set(names)) == 121 and max(map(len, names)) == 31 and "LR_0000" in names
 
 
 def test_bands_duplicates_pairs_and_stamps(spark):
