@@ -214,6 +214,31 @@ def blind_trie_order(keys: list[bytes]) -> list[int]:
     return out
 
 
+def multikey_quicksort(words: np.ndarray, order: np.ndarray, lo: np.ndarray, size: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sort each slice [lo, lo + size) of `order` by its rows' words up to `limit` of them, in place; the slices left that agree in all of these.
+
+    All slices are partitioned at once in every round: less than, equal to and greater than their pivot, the median of three
+    drawn words. The equal part goes on with the next word, the other two with the same.
+    """
+    draw, depth, alike = np.random.default_rng(11), np.zeros(len(lo), np.int64), []
+    while len(lo):
+        rows, part = order[ragged(lo, size)], np.repeat(np.arange(len(lo)), size)
+        word = words[rows, depth[part]].astype(np.uint64)
+        begin = np.cumsum(size) - size
+        pivot = np.sort(word[begin + (draw.random((3, len(lo))) * size).astype(np.int64)], axis=0)[1][part]
+        side = 1 + (word > pivot).astype(np.int64) - (word < pivot)
+        count = np.bincount(3 * part + side, minlength=3 * len(lo)).reshape(-1, 3)
+        at = lo[:, None] + np.cumsum(count, axis=1) - count
+        for c in range(3):
+            k = count[:, c]
+            order[np.repeat(at[:, c] - np.cumsum(k) + k, k) + np.arange(int(k.sum()))] = rows[side == c]
+        lo, size, depth = at.ravel(), count.ravel(), (depth[:, None] + np.array([0, 1, 0])).ravel()
+        several, deep = size > 1, depth >= limit
+        alike.append((lo[several & deep], size[several & deep]))
+        lo, size, depth = (x[several & ~deep] for x in (lo, size, depth))
+    return tuple(np.concatenate([x[i] for x in alike]) if alike else np.zeros(0, np.int64) for i in (0, 1))
+
+
 def deep_shallow_order(group: np.ndarray, texts: np.ndarray, lens: np.ndarray, shallow: int = SHALLOW) -> np.ndarray:
     """Order of the rows by group, then text, a shorter one before its extensions. texts: bytes padded with zeros."""
     width = -(-(texts.shape[1] + 1) // 8) * 8
@@ -222,37 +247,14 @@ def deep_shallow_order(group: np.ndarray, texts: np.ndarray, lens: np.ndarray, s
     padded[:, -1] = lens  # between texts alike but for zero bytes
     words = padded.view(">u8")
     order = np.argsort(group, kind="stable")
-    part = group[order]
-    open_ = np.arange(len(order))  # places of rows whose part has others
-    for k in range(min(shallow, words.shape[1])):
-        size = np.bincount(part[open_], minlength=1) if len(open_) else np.zeros(1, np.int64)
-        open_ = open_[size[part[open_]] > 1] if len(open_) else open_
-        if not len(open_):
-            return order
-        word = words[order[open_], k].astype(np.uint64)
-        by = np.lexsort((word, part[open_]))
-        order[open_], word = order[open_][by], word[by]
-        p = part[open_]
-        new = np.ones(len(open_), bool)
-        new[1:] = (p[1:] != p[:-1]) | (word[1:] != word[:-1])
-        part[open_] = np.cumsum(new) - 1
-        rest = np.ones(len(order), bool)
-        rest[open_] = False
-        part[rest] += int(part[open_][-1]) + 1  # keeps parts of one row apart from the renumbered ones
-        part[rest] = np.arange(int(rest.sum())) + int(part[open_][-1]) + 1
-    size = np.bincount(part[open_])
-    open_ = open_[size[part[open_]] > 1]
-    if len(open_):
-        p = part[open_]
-        heads = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-        tails = np.append(heads[1:], len(open_))
-        done = 8 * min(shallow, words.shape[1])
-        for lo, hi in zip(heads.tolist(), tails.tolist(), strict=True):
-            places = open_[lo:hi]
-            rows = order[places]
-            keys = [r.tobytes() for r in padded[rows, done:]]
-            if keys[0]:
-                order[places] = rows[blind_trie_order(keys)]
+    heads = np.flatnonzero(np.diff(group[order], prepend=-1))
+    size = np.diff(heads, append=len(order))
+    several, limit = size > 1, min(shallow, words.shape[1])
+    lo, size = multikey_quicksort(words, order, heads[several], size[several], limit)
+    if limit < words.shape[1]:
+        for a, n in zip(lo.tolist(), size.tolist(), strict=True):
+            rows = order[a : a + n]
+            order[a : a + n] = rows[blind_trie_order([r.tobytes() for r in padded[rows, 8 * limit :]])]
     return order
 
 

@@ -311,6 +311,27 @@ def test_substring_dedup(spark, letters):
     assert got == brute_dedup(docs, 100)
 
 
+def test_multikey_quicksort_sorts_slices_and_tells_what_agrees():
+    draw = np.random.default_rng(3)
+    words = draw.integers(0, 4, (5000, 5)).astype(">u8")
+    words[:300] = words[0]  # one large group of equal keys
+    words[300:2000, 0] = np.arange(1700, dtype=np.uint64)[::-1] + np.uint64(2**63)  # sorted the wrong way, beyond the signed numbers
+    order, lo, size = np.arange(5000), np.array([0, 2500, 2501]), np.array([2500, 1, 2499])
+    left_lo, left_size = suffix_dedup.multikey_quicksort(words, order, lo[size > 1], size[size > 1], 3)
+    keys = [tuple(w[:3].tolist()) for w in words]
+    expect, groups = [], []
+    for a, n in zip(lo, size, strict=True):
+        part = sorted(range(a, a + n), key=keys.__getitem__)
+        for x in range(n):
+            if x and keys[part[x]] == keys[part[x - 1]]:
+                groups[-1][1] += 1
+            else:
+                groups.append([a + x, 1])
+        expect += part
+    assert order.tolist() == expect
+    assert sorted(zip(left_lo.tolist(), left_size.tolist(), strict=True)) == [tuple(g) for g in groups if g[1] > 1]
+
+
 def test_blind_trie_and_deep_shallow_order():
     rng = random.Random(1)
     for _ in range(50):
