@@ -51,16 +51,20 @@ def _sample(docs: DataFrame, labels: DataFrame, per_class: int, longest: int) ->
 
     def run(batches):
         for b in batches:
-            table, back, row = scan(b.column(3))
-            cut = np.searchsorted(row, np.arange(b.num_rows + 1))
-            out = [zstandard.compress(table[back[x:y]].tobytes()) for x, y in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.binary())], ["doc_id", "toxic", "lang", "pieces"])
+            out = [zstandard.compress(x) for x in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.binary())], ["doc_id", "toxic", "lang", "packed"])
 
-    kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("toxic", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("pieces", T.BinaryType())])
+    kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("toxic", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("packed", T.BinaryType())])
     rows = sampled_documents(columns, picked, "toxic").select("doc_id", "toxic", "lang", text_bytes().alias("text")).mapInArrow(run, kind).collect()
     return sorted(rows, key=lambda r: r.doc_id)
 
 
+def unpacked(packed: bytes) -> np.ndarray:
+    """The pieces of a compressed text's words."""
+    table, back, _ = scan(pa.array([zstandard.decompress(packed)], pa.binary()))
+    return table[back]
+
+
 def forward(vectors: np.ndarray, filters: list[np.ndarray], begin: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maxima of all filters in each document and the words that won; documents are followed by two zero words."""
     best, who = [], []
@@ -84,13 +88,13 @@ def forward(vectors: np.ndarray, filters: list[np.ndarray], begin: np.ndarray, l
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, longest: int = 16_000, epochs: int = 4, seed: int = 7) -> dict | None:
     """Fit on at most `per_class` documents of each class, picked among those of at most `longest` bytes; None if a class has none.
 
-    Learned from are labelled documents whose crc32 fold of 3 is not 1. Their pieces reach the driver compressed.
+    Learned from are labelled documents whose crc32 fold of 3 is not 1. Their texts reach the driver compressed, which are smaller than their pieces.
     """
     rows = _sample(docs, labels, per_class, longest)
     y_all = np.array([r.toxic > 0 for r in rows], float)
     if not len(rows) or y_all.min() == y_all.max():
         return None
-    texts = [np.frombuffer(zstandard.decompress(r.pieces), np.uint16).reshape(-1, 1 + len(PREFIXES)) for r in rows]
+    texts = [unpacked(r.packed) for r in rows]
     rng = np.random.default_rng(seed)
     part = rng.permutation(len(rows))
     aside, train = part[: len(part) // 5], part[len(part) // 5 :]
