@@ -8,6 +8,7 @@ from recordloom.catalog import duck as D
 from recordloom.functions import text as X
 from recordloom.operators import records as R
 from recordloom.operators import report as P
+from recordloom.operators import workbook as W
 from recordloom.plans import derive
 
 MATCHES = ("shipment_match", "vehicle_match", "date_match", "weight_match", "amount_match")
@@ -103,6 +104,27 @@ QUERIES = {
         f"WITH {D.BILLS}, t AS (SELECT *, bill_idx + 1 AS rn, CASE WHEN bill_idx % 3 = 0 THEN 'yellow' ELSE '' END AS style FROM bills) SELECT CAST(1 AS INTEGER) AS sheet_ord, 'Bill' AS sheet, rn AS \"row\", CAST(0 AS INTEGER) AS col, lr_no AS value, style FROM t UNION ALL SELECT 1, 'Bill', rn, 1, amount, style FROM t "
         "UNION ALL SELECT 1, 'Bill', 0, 0, 'Lr No', 'header' UNION ALL SELECT 1, 'Bill', 0, 1, 'Amount', 'header'",
     ),
+    "invoice_sheet": (
+        lambda s, d: W.form_cells(_form(s, d), ("page 2 has no rows",)),
+        f"WITH {D.BILLS}, t AS (SELECT count(*) AS n, max(lr_no) AS last FROM bills) SELECT CAST(0 AS INTEGER) AS sheet_ord, 'Invoice' AS sheet, CAST(0 AS INTEGER) AS \"row\", CAST(0 AS INTEGER) AS col, 'WARNING: page 2 has no rows' AS value, 'warning' AS style "
+        "UNION ALL SELECT 0, 'Invoice', 1, 0, 'Bill Rows', 'header' UNION ALL SELECT 0, 'Invoice', 1, 1, 'Last No', 'header' UNION ALL SELECT 0, 'Invoice', 1, 2, 'Remark', 'header' "
+        "UNION ALL SELECT 0, 'Invoice', 2, 0, CAST(n AS VARCHAR), '' FROM t UNION ALL SELECT 0, 'Invoice', 2, 1, last, '' FROM t UNION ALL SELECT 0, 'Invoice', 2, 2, '', 'red'",
+    ),
+    "bill_sheet": (
+        lambda s, d: W.section_cells(_fields(s, d), _form(s, d).select("bill_rows", "last_no")),
+        f"WITH {D.BILLS}, h AS (SELECT count(*) AS n, max(lr_no) AS last FROM bills), t AS (SELECT *, CAST(bill_idx + 5 AS BIGINT) AS rn, CASE WHEN bill_idx % 3 = 0 THEN 'yellow' ELSE '' END AS style FROM bills) "
+        "SELECT CAST(1 AS INTEGER) AS sheet_ord, 'Bill' AS sheet, rn AS \"row\", CAST(0 AS INTEGER) AS col, coalesce(lr_no, '') AS value, style FROM t UNION ALL SELECT 1, 'Bill', rn, 1, coalesce(amount, ''), style FROM t "
+        "UNION ALL SELECT 1, 'Bill', 4, 0, 'Lr No', 'header' UNION ALL SELECT 1, 'Bill', 4, 1, 'Amount', 'header' UNION ALL SELECT 1, 'Bill', 0, 0, 'Field', 'title' UNION ALL SELECT 1, 'Bill', 0, 1, 'Value', 'title' "
+        "UNION ALL SELECT 1, 'Bill', 1, 0, 'Bill Rows', 'blue' UNION ALL SELECT 1, 'Bill', 1, 1, CAST(n AS VARCHAR), 'blue' FROM h UNION ALL SELECT 1, 'Bill', 2, 0, 'Last No', 'blue' UNION ALL SELECT 1, 'Bill', 2, 1, last, 'blue' FROM h",
+    ),
+    "receipt_sheets": (
+        lambda s, d: W.receipt_cells(derive.receipts(s, d).select("lr_idx", "lr_no", "net_wt")),
+        f"WITH {D.RECEIPTS}, b AS (SELECT *, CASE WHEN regexp_replace(lr_no, '^0+', '') = '' THEN concat('LR_page_', lr_idx) ELSE concat('LR_', regexp_replace(lr_no, '^0+', '')) END AS base FROM receipts), "
+        "t AS (SELECT *, CASE WHEN n = 1 THEN base ELSE concat(base, '_', n) END AS sheet, CASE WHEN lr_no = '' THEN 1 ELSE 0 END AS \"at\" FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY lr_idx) n FROM b)), "
+        "c AS (SELECT lr_idx, sheet, 0 AS \"row\", 0 AS col, '" + W.NO_NUMBER + "' AS value, 'banner' AS style FROM t WHERE \"at\" = 1 UNION ALL SELECT lr_idx, sheet, \"at\", 0, 'Field', 'title' FROM t UNION ALL SELECT lr_idx, sheet, \"at\", 1, 'Value', 'title' FROM t "
+        "UNION ALL SELECT lr_idx, sheet, \"at\" + 1, 0, 'Lr No', '' FROM t UNION ALL SELECT lr_idx, sheet, \"at\" + 1, 1, coalesce(lr_no, ''), '' FROM t UNION ALL SELECT lr_idx, sheet, \"at\" + 2, 0, 'Net Wt', '' FROM t UNION ALL SELECT lr_idx, sheet, \"at\" + 2, 1, coalesce(net_wt, ''), '' FROM t) "
+        "SELECT lr_idx + 3 AS sheet_ord, sheet, CAST(\"row\" AS INTEGER) AS \"row\", CAST(col AS INTEGER) AS col, value, style FROM c",
+    ),
     "column_widths": (
         lambda s, d: P.column_widths(P.bill_cells(_fields(s, d))),
         f"WITH {D.BILLS} SELECT 'Bill' AS sheet, CAST(0 AS INTEGER) AS col, CAST(least(greatest(max(len(lr_no)), 5) + 2, 50) AS INTEGER) AS width FROM bills UNION ALL SELECT 'Bill', 1, CAST(least(greatest(max(len(amount)), 6) + 2, 50) AS INTEGER) FROM bills",
@@ -114,3 +136,7 @@ def _fields(s, d):
     b = derive.bills(s, d)
     fields = F.create_map(F.lit("lr_no"), "lr_no", F.lit("amount"), "amount", F.lit("validation_flags"), F.when(F.col("bill_idx") % 3 == 0, "x").otherwise(""))
     return b.select(F.col("bill_idx").alias("row_idx"), fields.alias("fields"))
+
+
+def _form(s, d):
+    return derive.bills(s, d).agg(F.count("*").alias("bill_rows"), F.max("lr_no").alias("last_no"), F.lit(None).cast("string").alias("remark"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zipfile
 from collections.abc import Iterable
 from xml.sax.saxutils import escape
@@ -49,13 +50,14 @@ def sheet_names(records: DataFrame, keys: tuple[str, ...] = (), key: str = "lr_n
 
 
 def bill_cells(rows: DataFrame, sheet: str = "Bill", sheet_ord: int = 1, first_row: int = 0) -> DataFrame:
-    """K1, K3: cells of the bill table: a header row, then rows at their row_idx (from 0) of map-typed `fields`; rows with flags are yellow."""
+    """K1, K3: cells of the bill table: a header row, then rows at their row_idx (from 0) of map-typed `fields`, a cell for every column; rows with flags are yellow."""
     columns = bill_columns(rows)
     head = columns.select(F.lit(first_row).alias("row"), "col", F.col("header").alias("value"), F.lit("header").alias("style"))
     at = F.col("row_idx") + first_row + 1
     flagged = F.coalesce(F.element_at("fields", "validation_flags"), F.lit("")) != ""
-    body = rows.withColumn("row", at).withColumn("style", F.when(flagged, "yellow").otherwise("")).select("row", "style", F.explode("fields").alias("key", "value"))
-    body = body.join(F.broadcast(columns), "key").select("row", "col", F.coalesce("value", F.lit("")).alias("value"), "style")
+    order = columns.agg(F.transform(F.sort_array(F.collect_list(F.struct("col", "key"))), lambda c: c["key"])).scalar()  # a sheet's columns are few
+    values = F.transform("_order", lambda k: F.coalesce(F.element_at("fields", k), F.lit("")))
+    body = rows.withColumn("_order", order).select(at.alias("row"), F.posexplode(values).alias("col", "value"), F.when(flagged, "yellow").otherwise("").alias("style"))
     return head.unionByName(body).select(F.lit(sheet_ord).alias("sheet_ord"), F.lit(sheet).alias("sheet"), "row", "col", "value", "style")
 
 
@@ -71,25 +73,60 @@ def column_widths(cells: DataFrame, most: int = 50) -> DataFrame:
     return cells.groupBy("sheet", "col").agg(F.least(F.max(F.length("value")) + 2, F.lit(most)).alias("width"))
 
 
+#: Colours of cells by style, and whether they are bold.
+STYLES = {"": (None, False), "header": ("F2F2F2", True), "title": ("F2F2F2", True), "blue": ("ADD8E6", False), "red": ("FF4444", False), "yellow": ("FFD700", False), "warning": ("FF4444", True), "banner": ("FF4444", True)}
+MAIN, RELATIONS = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def _letters(col: int) -> str:
+    return (_letters(col // 26 - 1) if col >= 26 else "") + chr(65 + col % 26)
+
+
+def _style_sheet() -> str:
+    fills = "".join(f'<fill><patternFill patternType="solid"><fgColor rgb="FF{c}"/><bgColor rgb="FF{c}"/></patternFill></fill>' for c, _ in list(STYLES.values())[1:])
+    forms = "".join(f'<xf numFmtId="0" fontId="{int(bold)}" fillId="{k + 1 if k else 0}" borderId="0" xfId="0"/>' for k, (_, bold) in enumerate(STYLES.values()))
+    return (
+        f'<styleSheet xmlns="{MAIN}"><fonts count="2"><font/><font><b/></font></fonts><fills count="{len(STYLES) + 1}"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>{fills}</fills>'
+        f'<borders count="1"><border/></borders><cellStyleXfs count="1"><xf numFmtId="0" fontId="0" fillId="0" borderId="0"/></cellStyleXfs><cellXfs count="{len(STYLES)}">{forms}</cellXfs></styleSheet>'
+    )
+
+
+def _sheet_xml(rows: dict[int, dict[int, tuple[str, str]]]) -> str:
+    """A sheet with its styles, widths (K8), the rows down to the last header frozen, and banners over two columns."""
+    number = {s: k for k, s in enumerate(STYLES)}
+    wide: dict[int, int] = {}
+    for cols in rows.values():
+        for c, (v, _) in cols.items():
+            wide[c] = max(wide.get(c, 0), len(v))
+    below = max((r + 1 for r, cols in rows.items() if any(s == "header" for _, s in cols.values())), default=0)
+    view = f'<sheetViews><sheetView workbookViewId="0"><pane ySplit="{below}" topLeftCell="A{below + 1}" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>' if below else ""
+    widths = "".join(f'<col min="{c + 1}" max="{c + 1}" width="{min(w + 2, 50)}" customWidth="1"/>' for c, w in sorted(wide.items()))
+    body = "".join(
+        f'<row r="{r + 1}">' + "".join(f'<c r="{_letters(c)}{r + 1}" s="{number.get(s, 0)}" t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>' for c, (v, s) in sorted(cols.items())) + "</row>"
+        for r, cols in sorted(rows.items())
+    )
+    banners = [r + 1 for r, cols in sorted(rows.items()) if any(s == "banner" for _, s in cols.values())]
+    merges = f'<mergeCells count="{len(banners)}">' + "".join(f'<mergeCell ref="A{r}:B{r}"/>' for r in banners) + "</mergeCells>" if banners else ""
+    return f'<worksheet xmlns="{MAIN}">{view}<cols>{widths}</cols><sheetData>{body}</sheetData>{merges}</worksheet>'
+
+
 def write_workbook(cells: Iterable, path: str) -> str:
-    """K1: a workbook of inline strings from report cells in order of sheet_ord, row, col; for reports that fit on the driver."""
-    sheets: dict[str, dict[int, dict[int, str]]] = {}
+    """K1: a workbook of inline strings from report cells in order of sheet_ord, row, col, with their styles; for reports that fit on the driver. Folders of the path are made."""
+    sheets: dict[str, dict[int, dict[int, tuple[str, str]]]] = {}
     for c in sorted(cells, key=lambda c: (c["sheet_ord"], c["sheet"], c["row"], c["col"])):
-        sheets.setdefault(c["sheet"], {}).setdefault(c["row"], {})[c["col"]] = c["value"] or ""
+        sheets.setdefault(c["sheet"], {}).setdefault(c["row"], {})[c["col"]] = (c["value"] or "", c["style"] or "")
     if not sheets:
-        sheets = {"Invoice": {0: {0: "No data"}}, "Bill": {0: {0: "No data"}}}
-
-    def ref(col: int) -> str:
-        return (ref(col // 26 - 1) if col >= 26 else "") + chr(65 + col % 26)
-
-    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+        sheets = {"Invoice": {0: {0: ("No data", "")}}, "Bill": {0: {0: ("No data", "")}}}
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    kind, package = "application/vnd.openxmlformats-officedocument.spreadsheetml", "http://schemas.openxmlformats.org/package/2006"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(sheets) + 1))
-        z.writestr("[Content_Types].xml", f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{parts}</Types>')
-        z.writestr("_rels/.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{escape(n)}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(sheets, 1)) + "</sheets></workbook>")
-        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1)) + "</Relationships>")
+        parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i in range(1, len(sheets) + 1))
+        z.writestr("[Content_Types].xml", f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="{kind}.styles+xml"/>{parts}</Types>')
+        z.writestr("_rels/.rels", f'<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{RELATIONS}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{MAIN}" xmlns:r="{RELATIONS}"><sheets>' + "".join(f'<sheet name="{escape(n)}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(sheets, 1)) + "</sheets></workbook>")
+        links = "".join(f'<Relationship Id="rId{i}" Type="{RELATIONS}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1))
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}/relationships">{links}<Relationship Id="rId{len(sheets) + 1}" Type="{RELATIONS}/styles" Target="styles.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", _style_sheet())
         for i, rows in enumerate(sheets.values(), 1):
-            body = "".join(f'<row r="{r + 1}">' + "".join(f'<c r="{ref(c)}{r + 1}" t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>' for c, v in sorted(cols.items())) + "</row>" for r, cols in sorted(rows.items()))
-            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
+            z.writestr(f"xl/worksheets/sheet{i}.xml", _sheet_xml(rows))
     return path
