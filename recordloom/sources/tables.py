@@ -66,19 +66,40 @@ def documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return tagged.where("reason is null").drop("reason"), tagged.where("reason is not null").select("path", "length", "reason")
 
 
+def counted(files: DataFrame, count: Callable[[bytes], int], least: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) of files that `documents` accepted, by a page counter from outside: a file must be readable and have `least` pages.
+
+    Accepted have path, n_pages and content, rejected path, n_pages (null if unreadable) and reason. No file fails the job.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            for path, content in zip(b.column(0), b.column(1), strict=True):
+                try:
+                    n, why = int(count(content.as_py())), None
+                except Exception as e:  # whatever the reader raises is the file's, and is told in its row
+                    n, why = None, f"unreadable: {str(e) or type(e).__name__}"
+                yield pa.RecordBatch.from_arrays([pa.array([path.as_py()]), pa.array([n], pa.int32()), pa.array([why], pa.string())], ["path", "n_pages", "reason"])
+
+    found = files.select("path", "content").mapInArrow(run, "path string, n_pages int, reason string")
+    found = found.withColumn("reason", F.coalesce("reason", F.when(F.col("n_pages") < least, F.lit(f"fewer than {least} pages"))))
+    return files.join(found.where("reason is null").select("path", "n_pages"), "path").select("path", "n_pages", "content"), found.where("reason is not null")
+
+
 def rendered_pages(files: DataFrame, render: Callable[[bytes], list[bytes]]) -> DataFrame:
-    """(path, page_no, image) by a renderer from outside; a file without pages is an error, as it cannot be read at all."""
+    """(path, page_no, image, error) by a renderer from outside, a file at a time; a file that it cannot read, or without pages, is one row with its error."""
     import pyarrow as pa
 
     def run(batches):
         for b in batches:
-            rows = []
-            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                pages = render(content)
-                if not pages:
-                    raise ValueError(f"no pages in {path}")
-                rows += [(path, i, p) for i, p in enumerate(pages)]
-            cols = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(cols[0]), pa.string()), pa.array(list(cols[1]), pa.int32()), pa.array(list(cols[2]), pa.binary())], ["path", "page_no", "image"])
-
-    return files.select("path", "content").mapInArrow(run, "path string, page_no int, image binary")
+            for path, content in zip(b.column(0), b.column(1), strict=True):
+                try:
+                    pages, why = list(render(content.as_py())), None
+                except Exception as e:  # as above
+                    pages, why = [], str(e) or type(e).__name__
+                rows = [(i, p, None) for i, p in enumerate(pages)] or [(None, None, why or "no pages")]
+                for i, p, e in rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([path.as_py()]), pa.array([i], pa.int32()), pa.array([p], pa.binary()), pa.array([e], pa.string())], ["path", "page_no", "image", "error"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, page_no int, image binary, error string")
