@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from recordloom.catalog import duck as D
 from recordloom.functions import text as X
 from recordloom.operators import infer, matching, tables
-from recordloom.plans import derive
+from recordloom.plans import clients, derive
 
 C = f"WITH {D.CELLS}"
 FILLED = f"{C}, v AS (SELECT * FROM cells WHERE text <> '')"
@@ -83,6 +83,10 @@ QUERIES = {
         lambda s, d: infer.classify_columns(cells(s, d)),
         f"{TYPES}, {TRIPLES} SELECT c.table_id, c.col_idx, CASE WHEN c.col_idx IN (factor_a, factor_b) THEN 'qty_or_rate' WHEN c.col_idx = product THEN 'amount' ELSE coalesce(column_type, concat('unclassified_col_', c.col_idx + 1)) END AS name FROM (SELECT DISTINCT table_id, col_idx FROM cells) c LEFT JOIN ty USING (table_id, col_idx) LEFT JOIN best ON c.table_id = best.table_id",
     ),
+    "client_columns": (
+        lambda s, d: clients.configured_columns(derive.table(s, d, "part").selectExpr("p_partkey AS table_id", "CASE p_partkey % 3 WHEN 0 THEN 'inland_world_logistics' WHEN 1 THEN 'another' END AS client_id")),
+        "SELECT p_partkey AS table_id, CAST(k AS INTEGER) AS col_idx, list_extract(names, k + 1) AS name FROM (SELECT p_partkey, unnest(range(15)) AS k, [" + ", ".join(f"'{n}'" for n in clients.CLIENT_COLUMNS["inland_world_logistics"]) + "] AS names FROM part WHERE p_partkey % 3 = 0)",
+    ),
     "classify_with_captions": (lambda s, d: infer.column_names(infer.classify_columns(cells(s, d), matching.match_captions(captions(s, d))), captions(s, d)), None),
     "unique_names": (
         _unique,
