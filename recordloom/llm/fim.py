@@ -32,7 +32,8 @@ BLOCK = 1 << 14
 
 def boundary(grammar: str) -> str:
     """The zero-width regular expression of a grammar's boundaries."""
-    return "|".join(f"(?<=[{before}])(?=[{after}])" for before, after in GRAMMARS[grammar])
+    one = lambda c: "(?s:.)" if c == ANY else f"[{c}]"
+    return "|".join(f"(?<={one(before)})(?={one(after)})" for before, after in GRAMMARS[grammar])
 
 
 def units(text: Column, grammar: str) -> Column:
@@ -50,8 +51,8 @@ def _code_points(k: Column, grammar: str) -> Column:
 
     def step(state, x):
         take = F.greatest(F.lit(0), F.least(k - state["units"], x["counts"].cast("long")))
-        inside = F.length(F.array_join(F.slice(units(x["blocks"], grammar), F.lit(1), take.cast("int")), ""))
-        chars = F.when(take == 0, 0).when(take == x["counts"], F.length(x["blocks"])).otherwise(inside)
+        rest = F.element_at(F.split(x["blocks"], boundary(grammar), (take + 1).cast("int")), -1)  # what is left once `take` units are split off
+        chars = F.when(take == 0, 0).when(take == x["counts"], F.length(x["blocks"])).otherwise(F.length(x["blocks"]) - F.length(rest))
         return F.struct((state["units"] + x["counts"]).alias("units"), (state["chars"] + chars).alias("chars"))
 
     return F.aggregate(F.arrays_zip("blocks", "counts"), F.struct(F.lit(0).cast("long").alias("units"), F.lit(0).cast("long").alias("chars")), step)["chars"]
