@@ -47,7 +47,7 @@ _RD = "(SELECT * FROM words WHERE regexp_replace(regexp_replace(text, '^\\s+', '
 SEGMENTS = f"""{D.WORDS}, rd AS {_RD}, u AS (SELECT doc_id, page_no, CAST(list_sort(list(height))[len(list(height)) // 2 + 1] AS DOUBLE) AS unit FROM rd GROUP BY ALL),
 sg AS (SELECT rd.* REPLACE (conf / 100 AS conf), unit, line * 8 + word AS seg_id, "left" + width AS "right", top + height AS bottom, "left" + width / 2 AS cx, top + height / 2 AS cy FROM rd JOIN u USING (doc_id, page_no))"""
 LABELS = f"""WITH {SEGMENTS}, gt AS (SELECT DISTINCT a.doc_id, a.page_no, a.seg_id FROM sg a JOIN sg o ON a.doc_id = o.doc_id AND a.page_no = o.page_no AND a.seg_id <> o.seg_id AND abs(a.cy - o.cy) <= a.unit AND o."left" - a."right" BETWEEN 1.5 * a.unit AND 20 * a.unit),
-lb AS (SELECT sg.*, NOT (regexp_full_match({D.strip('text')}, '[0-9,]+(\\.[0-9]+)?[/\\-]*') OR regexp_full_match({D.strip('text')}, '[0-9]{{1,2}}[./-][0-9]{{1,2}}[./-][0-9]{{2,4}}')) AND (suffix({D.strip('text')}, ':') OR (conf >= 0.6 AND (gt.seg_id IS NOT NULL OR regexp_matches(text, '(?i)\\b(no|nos|number|name|date|code|type|centre|center|amount|by|id)[.:]?$')))) AS is_label FROM sg LEFT JOIN gt USING (doc_id, page_no, seg_id))"""
+lb AS (SELECT sg.*, NOT (regexp_full_match({D.strip('text')}, '[0-9,]+(\\.[0-9]+)?[/\\-]*') OR regexp_full_match({D.strip('text')}, '[0-9]{{1,2}}[./-][0-9]{{1,2}}[./-][0-9]{{2,4}}')) AND (suffix({D.strip('text')}, ':') OR (conf >= 0.6 AND (gt.seg_id IS NOT NULL OR regexp_matches(text, '(?i)(^|[^\\p{{L}}\\p{{N}}_])(no|nos|number|name|date|code|type|centre|center|amount|by|id)[.:]?$')))) AS is_label FROM sg LEFT JOIN gt USING (doc_id, page_no, seg_id))"""
 _PAIR = "l.doc_id = s.doc_id AND l.page_no = s.page_no AND l.seg_id <> s.seg_id AND l.is_label"
 
 
@@ -142,20 +142,22 @@ QUERIES = {
     ),
     "zone_crop": (
         _crop(lambda: zones.zone_crop(_anchor(), F.col("lines"), F.col("boxes"), F.lit(1000), F.lit(1000))),
-        f"""{CUST}, q AS (SELECT c_custkey, x, y, bx.*, x1 <= x + 30 AND x + 30 <= x2 AND y1 <= y + 10 AND y + 10 <= y2 AS inside FROM c, bx),
-k AS (SELECT c_custkey, x1, x2, row_number() OVER (PARTITION BY c_custkey ORDER BY inside DESC, CASE WHEN inside THEN (x2 - x1) * (y2 - y1) ELSE x1 - x END, i) r FROM q WHERE inside OR (x1 >= x + 60 AND y1 <= y + 10 AND y + 10 <= y2)),
-z AS (SELECT c.c_custkey, x, y, coalesce(least(k.x1, x), greatest(0, x - 180)) AS l, coalesce(greatest(k.x2, x + 60), least(1000, x + 240)) AS r,
-  coalesce((SELECT max(h) FROM (SELECT unnest(range(100, 900, 100)) h) WHERE h <= y), greatest(0, y - 60)) AS t, coalesce((SELECT min(h) FROM (SELECT unnest(range(100, 900, 100)) h) WHERE h >= y + 20), least(1000, y + 80)) AS b FROM c LEFT JOIN k ON c.c_custkey = k.c_custkey AND k.r = 1)
-SELECT c_custkey, CAST(CASE WHEN s THEN greatest(0, x - 180) ELSE l END AS DOUBLE) AS x1, CAST(CASE WHEN s THEN greatest(0, y - 60) ELSE t END AS DOUBLE) AS y1, CAST(CASE WHEN s THEN least(1000, x + 240) ELSE r END AS DOUBLE) AS x2, CAST(CASE WHEN s THEN least(1000, y + 80) ELSE b END AS DOUBLE) AS y2 FROM (SELECT *, (r - l) * (b - t) < 3000 AS s FROM z)""",
+        f"""{CUST}, q AS (SELECT c_custkey, x, y, bx.*, x1 <= x + 30 AND x + 30 <= x2 AND y1 <= y + 10 AND y + 10 <= y2 AS inside, x1 > x + 40 AND y1 < y + 50 AND y2 > y - 30 AS after FROM c, bx),
+k AS (SELECT c_custkey, arg_min(x1, ((x2 - x1) * (y2 - y1), i)) AS x1, arg_min(x2, ((x2 - x1) * (y2 - y1), i)) AS x2 FROM q WHERE inside GROUP BY c_custkey), a AS (SELECT c_custkey, min(x1) AS e FROM q WHERE after GROUP BY c_custkey),
+z AS (SELECT c.c_custkey, x, y, greatest(0, coalesce(k.x1, CASE WHEN e IS NOT NULL THEN x - 10 ELSE x - 150 END)) AS l, least(1000, coalesce(k.x2, CASE WHEN e IS NOT NULL THEN greatest(x + 70, e - 10) ELSE x + 210 END)) AS r,
+  coalesce((SELECT max(h) FROM (SELECT unnest(range(100, 900, 100)) h) WHERE h <= y), greatest(0, y - 60)) AS t, coalesce((SELECT min(h) FROM (SELECT unnest(range(100, 900, 100)) h) WHERE h >= y + 20), least(1000, y + 80)) AS b FROM c LEFT JOIN k ON c.c_custkey = k.c_custkey LEFT JOIN a ON c.c_custkey = a.c_custkey)
+SELECT c_custkey, CAST(CASE WHEN s THEN greatest(0, x - 150) ELSE l END AS DOUBLE) AS x1, CAST(CASE WHEN s THEN greatest(0, y - 50) ELSE t END AS DOUBLE) AS y1, CAST(CASE WHEN s THEN least(1000, x + 210) ELSE r END AS DOUBLE) AS x2, CAST(CASE WHEN s THEN least(1000, y + 70) ELSE b END AS DOUBLE) AS y2 FROM (SELECT *, r <= l OR b <= t OR (r - l) * (b - t) < 3000 AS s FROM z)""",
     ),
     "table_crop": (
-        _crop(lambda: zones.table_crop(_anchor(), F.col("lines"), F.col("boxes"), F.lit(1000), 14.0)),
-        f"""{CUST}, g AS (SELECT c.c_custkey, x, y, least(x, coalesce(min(x1), x)) AS l, least(y, coalesce(min(y1), y)) AS t, greatest(x + 60, coalesce(max(x2), 0)) AS r, greatest(y + 20, coalesce(max(y2), 0)) AS b FROM c LEFT JOIN bx ON abs((y2 - y1) - 20) <= 280 AND least(y2, y + 20) > greatest(y1, y) GROUP BY c.c_custkey, x, y)
-SELECT c_custkey, CAST(l AS DOUBLE) AS x1, CAST(t AS DOUBLE) AS y1, CAST(r AS DOUBLE) AS x2, CAST(coalesce((SELECT min(h) FROM (SELECT unnest(range(100, 900, 100)) h) WHERE h >= b + 1), 1000) AS DOUBLE) AS y2 FROM g""",
+        _crop(lambda: zones.table_crop(_anchor(), F.col("lines"), F.col("boxes"), F.lit(1000), F.lit(1000))),
+        f"""{CUST}, k AS (SELECT c_custkey, arg_min(y1, ((x2 - x1) * (y2 - y1), i)) AS y1, arg_min(y2, ((x2 - x1) * (y2 - y1), i)) AS y2 FROM c JOIN bx ON x + 30 BETWEEN x1 AND x2 AND y + 10 BETWEEN y1 AND y2 GROUP BY c_custkey),
+g AS (SELECT k.c_custkey, min(b.x1) AS l, min(b.y1) AS t, max(b.x2) AS r, max(b.y2) AS d FROM k JOIN bx b ON b.y2 - b.y1 <= 1.5 * (k.y2 - k.y1) AND b.y1 < k.y2 AND b.y2 > k.y1 GROUP BY k.c_custkey)
+SELECT c.c_custkey, CAST(CASE WHEN g.l IS NULL THEN greatest(0, x - 150) ELSE greatest(0, l - 10) END AS DOUBLE) AS x1, CAST(CASE WHEN g.l IS NULL THEN greatest(0, y - 50) ELSE greatest(0, t - 10) END AS DOUBLE) AS y1, CAST(least(1000, CASE WHEN g.l IS NULL THEN x + 210 ELSE r + 10 END) AS DOUBLE) AS x2,
+  CAST(least(1000, CASE WHEN g.l IS NULL THEN y + 70 ELSE coalesce((SELECT min(h) FROM (SELECT unnest(range(100, 900, 100)) h) WHERE h > d), d) + 10 END) AS DOUBLE) AS y2 FROM c LEFT JOIN g USING (c_custkey)""",
     ),
     "weight_crop": (
-        _crop(lambda: zones.weight_crop(_anchor(), F.col("lines"), F.lit(1000), F.lit(1000))),
-        f"{CUST} SELECT c_custkey, CAST(x AS DOUBLE) AS x1, CAST(greatest(0, y - 10) AS DOUBLE) AS y1, CAST(least(1000, x + 198) AS DOUBLE) AS x2, CAST(least(1000, coalesce((SELECT min(h) FROM (SELECT unnest(range(100, 900, 100)) h) WHERE h >= y + 30), y + 120)) AS DOUBLE) AS y2 FROM c",
+        _crop(lambda: zones.weight_crop(_anchor(), F.col("lines"), F.lit(900), F.lit(1000), F.lit(1000))),
+        f"{CUST} SELECT c_custkey, CAST(greatest(0, x - 12) AS DOUBLE) AS x1, CAST(greatest(0, y - 10) AS DOUBLE) AS y1, CAST(least(900, x + 198) AS DOUBLE) AS x2, CAST(least(1000, coalesce((SELECT min(h) FROM (SELECT unnest(range(100, 900, 100)) h) WHERE h > y + 30), y + 120)) AS DOUBLE) AS y2 FROM c",
     ),
     "nearest_match": (
         lambda s, d: zones.nearest_match(words(s, d), F.lit(200), F.lit(60), "^[A-Z]", ["doc_id", "page_no"]),

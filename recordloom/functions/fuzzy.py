@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,3 +50,41 @@ def score(a: str, b: str) -> float:
 @F.pandas_udf(T.DoubleType())
 def fuzzy_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else score(x, y) for x, y in zip(a, b, strict=True)])
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def fuzzy_scores(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The scores of two arrays, place by place."""
+    return pd.Series([None if x is None or y is None else [score(p, q) for p, q in zip(x, y, strict=True)] for x, y in zip(a, b, strict=True)], dtype=object)
+
+
+#: Keeps a projection of its own: merged into a higher-order function it could not be run.
+fuzzy_scores = fuzzy_scores.asNondeterministic()
+
+
+def alphabet(synonyms: list[str]) -> str:
+    return "".join(sorted({c for s in synonyms for c in s if not c.isspace()}))
+
+
+def char_counts(text: Column, letters: str) -> Column:
+    """How often each letter occurs in a text, in the order of `letters`."""
+    return F.array(*[F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in letters])
+
+
+def solid_length(text: Column) -> Column:
+    """The characters of a text that are not blank."""
+    return F.length(F.regexp_replace(text, r"(?U)\s+", ""))
+
+
+def score_bound(solid: Column, counts: Column, synonym: str, letters: str) -> Column:
+    """C36 from above, without aligning anything.
+
+    A common subsequence has at most the s letters that both texts share (blanks are left out, which only raises the bound), and
+    what it is divided by is at least s plus the letters m of the shorter text, as a window at an edge may be no longer than s.
+    """
+    own = {c: synonym.count(c) for c in letters if c in synonym}
+    blanks = sum(c.isspace() for c in synonym)
+    shared = sum((F.least(F.get(counts, F.lit(letters.index(c))), F.lit(n)) for c, n in own.items()), F.lit(blanks))
+    least = F.least(solid, F.lit(len(synonym) - blanks))
+    s = F.least(shared, least)
+    return F.when(least <= 0, 100.0).otherwise(200.0 * s / (least + s))

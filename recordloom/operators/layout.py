@@ -21,7 +21,7 @@ from recordloom.functions import validators as V
 PAGE = ["doc_id", "page_no"]
 PHRASE = "x1 int, y1 int, x2 int, y2 int, confidence double, text string"
 #: Words that end a label.
-SUFFIX = r"(?i)\b(no|nos|number|name|date|code|type|centre|center|amount|by|id)[.:]?$"
+SUFFIX = r"(?i)(^|[^\p{L}\p{N}_])(no|nos|number|name|date|code|type|centre|center|amount|by|id)[.:]?$"
 #: Distances in units of the page's text height.
 ROW_BAND, SAME_ROW, GUTTER_LEAST, GUTTER_MOST, BELOW, ASIDE, NEXT_LABEL = 0.7, 1.0, 1.5, 20.0, 3.0, 2.7, 4.0
 TICK_ASIDE, TICK_ROWS, STAMP_BOX, STAMP_LEAST, CODES_LEAST = 1.7, 2.0, 10.0, 4, 3

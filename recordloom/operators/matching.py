@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions import text as X
-from recordloom.functions.fuzzy import fuzzy_score
+from recordloom.functions.bind import bind
+from recordloom.functions.fuzzy import alphabet, char_counts, fuzzy_score, fuzzy_scores, score_bound, solid_length
 
 #: Captions of bill columns.
 FIELD_SYNONYMS = {
@@ -44,24 +47,37 @@ def synonym_table(spark: SparkSession, pool: dict[str, list[str]]) -> DataFrame:
     return spark.createDataFrame(rows, "field string, field_ord int, synonym string, syn_ord int")
 
 
+def possible_pairs(text: Column, pool: dict[str, list[str]], threshold: float) -> Column:
+    """The synonyms (field, field_ord, synonym) of a pool that may reach the threshold with a text, judged in the JVM by `score_bound`: only these have to be scored."""
+    flat = [(f, i, s) for i, (f, ss) in enumerate(pool.items()) for s in ss]
+    letters = alphabet([s for _, _, s in flat])
+    pair = lambda x, f, i, s: F.when(score_bound(x["solid"], x["counts"], s, letters) >= threshold, F.struct(F.lit(f).alias("field"), F.lit(i).alias("field_ord"), F.lit(s).alias("synonym")))
+    known = F.struct(char_counts(text, letters).alias("counts"), solid_length(text).alias("solid"))
+    return bind(known, lambda x: F.filter(F.array(*[pair(x, f, i, s) for f, i, s in flat]), lambda p: p.isNotNull()))
+
+
 def synonym_matches(texts: DataFrame, pool: dict[str, list[str]], keys: list[str], threshold: float = CAPTION_THRESHOLD, guard: str | None = None) -> DataFrame:
     """(keys, idx, field, field_ord, score) of cleaned texts and fields whose best synonym scores enough.
 
-    texts: keys, idx, text. Each text meets the synonyms of the pool, a fixed list, as an array that is exploded beside it. `guard`
-    keeps pairs whose text starts with a synonym or has half to three times its length: "solid" counts all but blanks,
-    "alnum" letters and digits.
+    texts: keys, idx, text. Each text meets those synonyms of the pool, a fixed list, that `possible_pairs` leaves. A guard holds for a field
+    if it holds for any of its synonyms.
     """
-    rows = [(f, i, s) for i, (f, ss) in enumerate(pool.items()) for s in ss]
-    synonyms = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(i).alias("field_ord"), F.lit(s).alias("synonym")) for f, i, s in rows])
-    pairs = texts.where(X.strip("text") != "").select(*keys, "idx", "text", F.explode(synonyms).alias("s")).select(*keys, "idx", "text", "s.*")
+    t = texts.where(X.strip("text") != "").select(*keys, "idx", "text")
+    pairs = t.select("*", F.explode(possible_pairs(F.col("text"), pool, threshold)).alias("s")).select(*keys, "idx", "text", "s.*")
+    best = pairs.withColumn("score", fuzzy_score("text", "synonym")).groupBy(*keys, "idx", "text", "field", "field_ord").agg(F.max("score").alias("score")).where(F.col("score") >= threshold)
     if guard:
-        junk = r"\s+" if guard == "solid" else r"[^\p{L}\p{N}]"
-        n, m = (F.length(F.regexp_replace(c, junk, "")) for c in (F.col("text"), F.col("synonym")))
-        pairs = pairs.withColumn("fits", F.col("text").startswith(F.col("synonym")) | n.between(m * 0.5, m * 3))
-    else:
-        pairs = pairs.withColumn("fits", F.lit(True))
-    best = pairs.withColumn("score", fuzzy_score("text", "synonym")).groupBy(*keys, "idx", "field", "field_ord").agg(F.max("score").alias("score"), F.max("fits").alias("fits"))
-    return best.where((F.col("score") >= threshold) & F.col("fits")).drop("fits")
+        best = best.where(guarded(F.col("text"), F.col("field"), pool, guard))
+    return best.drop("text")
+
+
+def guarded(text: Column, field: Column, pool: dict[str, list[str]], guard: str) -> Column:
+    """Whether a text starts with a synonym of the field or is half to three times as long as one."""
+    junk = r"\s+" if guard == "solid" else r"[^\p{L}\p{N}]"
+    n = F.length(F.regexp_replace(text, junk, ""))
+    size = lambda s: len("".join(s.split())) if guard == "solid" else sum(c.isalnum() for c in s)
+    one = lambda s: text.startswith(s) | n.between(size(s) * 0.5, size(s) * 3)
+    tests = [(field == f) & reduce(lambda a, b: a | b, [one(s) for s in ss]) for f, ss in pool.items()]
+    return reduce(lambda a, b: a | b, tests)
 
 
 def greedy_assign(matches: DataFrame, keys: list[str]) -> DataFrame:
@@ -91,28 +107,60 @@ def match_captions(captions: DataFrame, pool: dict[str, list[str]] | None = None
 def title_pages(bands: DataFrame, page_type: str = "tax_invoice", threshold: float = TITLE_THRESHOLD, region: float = 0.2) -> DataFrame:
     """(doc_id, page_no) of pages with a title band that scores enough and is at most three times as long as the synonym.
 
-    bands: doc_id, page_no, top (share of the page's height), text. Long bands are out before anything is scored.
+    bands: doc_id, page_no, top (share of the page's height), text. Long bands, and those that cannot reach the threshold, are out before anything is scored.
     """
-    synonyms = F.array(*[F.lit(s) for s in TITLE_SYNONYMS[page_type]])
     b = bands.where(F.col("top") <= region).withColumn("text", F.lower(X.strip("text"))).where("text <> ''")
-    pairs = b.select("doc_id", "page_no", "text", F.explode(synonyms).alias("synonym")).where(F.length("text") <= 3 * F.length("synonym"))
-    return pairs.where(fuzzy_score("text", "synonym") >= threshold).select("doc_id", "page_no").distinct()
+    pairs = b.select("doc_id", "page_no", "text", F.explode(possible_pairs(F.col("text"), {page_type: TITLE_SYNONYMS[page_type]}, threshold)).alias("s")).where(F.length("text") <= 3 * F.length("s.synonym"))
+    return pairs.where(fuzzy_score(F.col("text"), F.col("s.synonym")) >= threshold).select("doc_id", "page_no").distinct()
+
 
+def squeezed(text: Column) -> Column:
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", "")
 
-def detect_client(texts: DataFrame, clients: list[str], name: str = "text") -> DataFrame:
-    """Texts with client: the first of the configured ids that a text contains, both squeezed to letters and digits."""
-    squeezed = F.regexp_replace(F.lower(F.coalesce(F.col(name), F.lit(""))), "[^a-z0-9]+", "")
-    out = F.lit("")
-    for c in reversed(clients):
-        key = "".join(x for x in c.lower() if x.isascii() and x.isalnum())
-        out = F.when(F.contains(squeezed, F.lit(key)) & (squeezed != ""), F.lit(c)).otherwise(out)
-    return texts.withColumn("client", out)
+
+def detect_client(texts: DataFrame, clients: list[str] | DataFrame, name: str = "text", gram: int = 3) -> DataFrame:
+    """Texts with client: the first of the configured ids that a text contains, both squeezed to letters and digits; empty if none is.
+
+    clients: ids in order, or a table (client, ord). A text that contains an id contains its first `gram` letters, so texts meet ids in a join on these, and only
+    those pairs are tested; ids shorter than that meet the shorter stretches. Texts alike meet once. Neither the plan nor the rows grow with clients times texts.
+    """
+    spark = texts.sparkSession
+    table = clients if isinstance(clients, DataFrame) else spark.createDataFrame([(c, i) for i, c in enumerate(clients)], "client string, ord int")
+    ids = table.select("client", "ord", squeezed(F.col("client")).alias("_id")).where("_id <> ''").groupBy("_id").agg(F.min_by("client", "ord").alias("_client"), F.min("ord").alias("_ord"))
+    ids = ids.withColumn("_gram", F.left("_id", F.lit(gram)))
+    known = texts.withColumn("_text", squeezed(F.col(name)))
+    stretches = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_text"), F.lit(1))), lambda i: F.substr("_text", i, F.lit(k)))
+    grams = F.filter(F.array_distinct(F.flatten(F.array(*[stretches(k) for k in range(1, gram + 1)]))), lambda g: g != "")
+    hit = known.select("_text").where("_text <> ''").distinct().select("_text", F.explode(grams).alias("_gram")).join(ids, "_gram").where(F.contains("_text", "_id"))
+    first = hit.groupBy("_text").agg(F.min_by("_client", "_ord").alias("client"))
+    return known.drop(*(["client"] if "client" in texts.columns else [])).join(first, "_text", "left").withColumn("client", F.coalesce("client", F.lit(""))).select(*[c for c in texts.columns if c != "client"], "client")
 
 
 def locate_anchor(phrases: DataFrame, synonyms: list[str], keys: list[str], threshold: float = RECORD_THRESHOLD) -> DataFrame:
-    """Per page the phrase that scores best; on ties one that starts with a synonym, then the shortest, then the first."""
-    pairs = phrases.withColumn("low", F.lower(X.strip("text"))).where("low <> ''").select("*", F.explode(F.array(*[F.lit(s) for s in synonyms])).alias("synonym"))
-    scored = pairs.withColumn("score", fuzzy_score("low", "synonym")).groupBy(*keys, "idx", "text").agg(F.max("score").alias("score"), F.max(F.col("low").startswith(F.col("synonym"))).alias("starts"))
-    order = F.struct(-F.col("score"), (~F.col("starts")).cast("int"), F.length("text"), F.col("idx"))
+    """Per page the phrase that scores best and passes the guard of letters and digits; on ties one that starts with a synonym, then the shortest, then the first."""
+    pool = {"anchor": synonyms}
+    pairs = phrases.withColumn("low", F.lower(X.strip("text"))).where("low <> ''").where(guarded(F.col("low"), F.lit("anchor"), pool, "alnum"))
+    pairs = pairs.select("*", F.explode(possible_pairs(F.col("low"), pool, threshold)).alias("s")).withColumn("synonym", F.col("s.synonym"))
+    starts = reduce(lambda a, b: a | b, [F.col("low").startswith(s) for s in synonyms])
+    scored = pairs.withColumn("score", fuzzy_score("low", "synonym")).groupBy(*keys, "idx", "text", "low").agg(F.max("score").alias("score"))
+    order = F.struct(-F.col("score"), (~starts).cast("int"), F.length("low"), F.col("idx"))
     best = F.min_by(F.struct("idx", "text", "score"), order)
     return scored.where(F.col("score") >= threshold).groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
+
+
+def with_anchors(pages: DataFrame, found: str, anchors: dict[str, list[str]], threshold: float = RECORD_THRESHOLD) -> DataFrame:
+    """J22 in place: pages with a column `anchor_<name>` for each anchor: the phrase (of the array column `found`) that `locate_anchor` would choose, or null.
+
+    Pairs that may reach the threshold are picked in the JVM, scored in one call for all anchors of a page, and ranked in the JVM; no row moves.
+    """
+    kept = lambda low, i: F.transform(F.filter(possible_pairs(low, anchors, threshold), lambda s: guarded(low, s["field"], anchors, "alnum")), lambda s: F.struct(s["field"].alias("field"), s["synonym"].alias("synonym"), low.alias("low"), i.alias("i")))
+    p = pages.withColumn("_low", F.transform(found, lambda p: F.lower(X.strip(p["text"])))).withColumn("_pairs", F.flatten(F.transform("_low", kept)))
+    p = p.withColumn("_scores", fuzzy_scores(F.transform("_pairs", lambda x: x["low"]), F.transform("_pairs", lambda x: x["synonym"])))
+
+    def chosen(name: str, synonyms: list[str]) -> Column:
+        starts = lambda x: reduce(lambda a, b: a | b, [x["low"].startswith(s) for s in synonyms])
+        ranked = F.zip_with("_pairs", "_scores", lambda x, s: F.struct((-s).alias("back"), (~starts(x)).cast("int").alias("late"), F.length(x["low"]).alias("n"), x["i"].alias("i"), x["field"].alias("field")))
+        return F.get(F.col(found), F.array_min(F.filter(ranked, lambda x: (x["field"] == name) & (x["back"] <= -threshold)))["i"])
+
+    p = p.withColumns({f"anchor_{name}": chosen(name, synonyms) for name, synonyms in anchors.items()})
+    return p.drop("_low", "_pairs", "_scores")

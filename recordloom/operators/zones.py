@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from recordloom.functions.bind import bind
+
 
 def rule_above(lines: Column, y: Column) -> Column:
     """The last line at or above y (as-of backward); null if there is none."""
@@ -22,10 +24,9 @@ def rule_below(lines: Column, y: Column) -> Column:
 
 def tightest_box(boxes: Column, x: Column, y: Column) -> Column:
     """Of the boxes (x1, y1, x2, y2) around a point the smallest, the first on ties; null if there is none."""
-    around = F.filter(boxes, lambda b: (b["x1"] <= x) & (x <= b["x2"]) & (b["y1"] <= y) & (y <= b["y2"]))
     area = lambda b: (b["x2"] - b["x1"]) * (b["y2"] - b["y1"])
-    ranked = F.transform(around, lambda b, i: F.struct(area(b).alias("area"), i.alias("i"), b.alias("b")))
-    return F.array_min(ranked)["b"]
+    ranked = lambda p: F.transform(F.filter(boxes, lambda b: (b["x1"] <= p["x"]) & (p["x"] <= b["x2"]) & (b["y1"] <= p["y"]) & (p["y"] <= b["y2"])), lambda b, i: F.struct(area(b).alias("area"), i.alias("i"), b.alias("b")))
+    return bind(F.struct(x.alias("x"), y.alias("y")), lambda p: F.array_min(ranked(p))["b"])
 
 
 def first_box(boxes: Column, x: Column, y: Column) -> Column:
@@ -46,19 +47,24 @@ def sections(segments: DataFrame, boxes: Column, ratio: float = 3.0) -> DataFram
 
 def ink_share(levels: Column) -> Column:
     """The share of dark pixels of a crop, from the counts of its 256 grey levels, by the cut that parts dark from light best (Otsu)."""
-    total = F.aggregate(levels, F.lit(0.0), lambda a, x: a + x)
-    mass = F.aggregate(F.transform(levels, lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)
+    sums = F.aggregate(F.transform(levels, lambda x, i: F.struct(x.cast("double").alias("c"), i.cast("double").alias("i"))), F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m")), lambda a, x: F.struct((a["n"] + x["c"]).alias("n"), (a["m"] + x["c"] * x["i"]).alias("m")))
+
+    def share(whole: Column) -> Column:
+        total, mass, cells = whole["s"]["n"], whole["s"]["m"], whole["l"]
+
+        def step(state, x):
+            return bind(F.struct((state["n"] + x["c"]).alias("n"), (state["m"] + x["c"] * x["i"]).alias("m"), state["best"].alias("best"), state["dark"].alias("dark")), cut)
 
-    def step(state, x):
-        n, m = state["n"] + x["c"], state["m"] + x["c"] * x["i"]
-        gap = m / F.nullif(n, F.lit(0.0)) - (mass - m) / F.nullif(total - n, F.lit(0.0))
-        between = F.coalesce(n * (total - n) * gap * gap, F.lit(-1.0))
-        better = between > state["best"]
-        return F.struct(n.alias("n"), m.alias("m"), F.when(better, between).otherwise(state["best"]).alias("best"), F.when(better, n).otherwise(state["dark"]).alias("dark"))
+        def cut(s):
+            gap = s["m"] / F.nullif(s["n"], F.lit(0.0)) - (mass - s["m"]) / F.nullif(total - s["n"], F.lit(0.0))
+            between = F.coalesce(s["n"] * (total - s["n"]) * gap * gap, F.lit(-1.0))
+            return bind(between, lambda v: F.struct(s["n"].alias("n"), s["m"].alias("m"), F.greatest(v, s["best"]).alias("best"), F.when(v > s["best"], s["n"]).otherwise(s["dark"]).alias("dark")))
 
-    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("best"), F.lit(0.0).alias("dark"))
-    cells = F.transform(levels, lambda x, i: F.struct(x.cast("double").alias("c"), i.cast("double").alias("i")))
-    return F.coalesce(F.aggregate(cells, start, step)["dark"] / F.nullif(total, F.lit(0.0)), F.lit(0.0))
+        start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("best"), F.lit(0.0).alias("dark"))
+        each = F.transform(cells, lambda x, i: F.struct(x.cast("double").alias("c"), i.cast("double").alias("i")))
+        return F.coalesce(F.aggregate(each, start, step)["dark"] / F.nullif(total, F.lit(0.0)), F.lit(0.0))
+
+    return bind(F.struct(sums.alias("s"), levels.alias("l")), share)
 
 
 def ink_present(share: Column, least: float = 0.05) -> Column:
@@ -69,25 +75,33 @@ def ink_present(share: Column, least: float = 0.05) -> Column:
 def stamp_zone(anchor: Column, boxes: Column, width: Column, height: Column, margin: int = 10) -> Column:
     """(box, above, band): the box around a stamp's anchor, the strip of two text heights above it, and its middle, where the stamp is."""
     cx, cy, h = (anchor["x1"] + anchor["x2"]) / 2, (anchor["y1"] + anchor["y2"]) / 2, anchor["y2"] - anchor["y1"]
-    box = tightest_box(boxes, cx, cy)
-    pick = lambda k, other: F.coalesce(box[k].cast("double"), other.cast("double"))
-    x1, x2 = pick("x1", F.greatest(F.lit(0), anchor["x1"] - margin)), pick("x2", F.least(width, anchor["x2"] + margin))
-    y1, y2 = pick("y1", F.greatest(F.lit(0), anchor["y1"] - h)), pick("y2", F.least(height, anchor["y2"] + 3 * h))
     part = lambda a, b, c, d: F.struct(a.alias("x1"), b.alias("y1"), c.alias("x2"), d.alias("y2"))
-    return F.struct(
-        part(x1, y1, x2, y2).alias("box"), part(x1, F.greatest(F.lit(0.0), y1 - 2 * h), x2, y1).alias("above"), part(x1, y1 + (y2 - y1) * 0.25, x2, y1 + (y2 - y1) * 0.85).alias("band")
-    )
+
+    def outer(box: Column) -> Column:
+        pick = lambda k, other: F.coalesce(box[k].cast("double"), other.cast("double"))
+        x1, x2 = pick("x1", F.greatest(F.lit(0), anchor["x1"] - margin)), pick("x2", F.least(width, anchor["x2"] + margin))
+        return part(x1, pick("y1", F.greatest(F.lit(0), anchor["y1"] - h)), x2, pick("y2", F.least(height, anchor["y2"] + 3 * h)))
+
+    def zones_of(b: Column) -> Column:
+        x1, y1, x2, y2 = (b[k] for k in ("x1", "y1", "x2", "y2"))
+        return F.struct(b.alias("box"), part(x1, F.greatest(F.lit(0.0), y1 - 2 * h), x2, y1).alias("above"), part(x1, y1 + (y2 - y1) * 0.25, x2, y1 + (y2 - y1) * 0.85).alias("band"))
+
+    return bind(bind(tightest_box(boxes, cx, cy), outer), zones_of)
 
 
 def seal_zone(anchor: Column, boxes: Column, width: Column, height: Column, margin: int = 10, wide: int = 3, tall: int = 15) -> Column:
     """(x1, y1, x2, y2) below a seal's label: of the tightest box around it that is not much larger than the label, else of a padded one."""
     cx, cy, w, h = (anchor["x1"] + anchor["x2"]) / 2, (anchor["y1"] + anchor["y2"]) / 2, anchor["x2"] - anchor["x1"], anchor["y2"] - anchor["y1"]
-    box = tightest_box(F.filter(boxes, lambda b: (b["x2"] - b["x1"] <= w * wide) & (b["y2"] - b["y1"] <= h * tall)), cx, cy)
-    pick = lambda k, other: F.coalesce(box[k].cast("double"), other.cast("double"))
-    return F.struct(
-        pick("x1", F.greatest(F.lit(0), anchor["x1"] - margin)).alias("x1"), F.greatest(pick("y1", F.greatest(F.lit(0), anchor["y1"] - margin)), anchor["y2"].cast("double")).alias("y1"),
-        pick("x2", F.least(width, anchor["x2"] + 20 * margin)).alias("x2"), pick("y2", F.least(height, anchor["y2"] + 6 * h)).alias("y2"),
-    )
+    near = F.filter(boxes, lambda b: (b["x2"] - b["x1"] <= w * wide) & (b["y2"] - b["y1"] <= h * tall))
+
+    def below(box: Column) -> Column:
+        pick = lambda k, other: F.coalesce(box[k].cast("double"), other.cast("double"))
+        return F.struct(
+            pick("x1", F.greatest(F.lit(0), anchor["x1"] - margin)).alias("x1"), F.greatest(pick("y1", F.greatest(F.lit(0), anchor["y1"] - margin)), anchor["y2"].cast("double")).alias("y1"),
+            pick("x2", F.least(width, anchor["x2"] + 20 * margin)).alias("x2"), pick("y2", F.least(height, anchor["y2"] + 6 * h)).alias("y2"),
+        )
+
+    return bind(tightest_box(near, cx, cy), below)
 
 
 def text_within(segments: DataFrame, zone: str, keys: list[str]) -> DataFrame:
@@ -116,48 +130,63 @@ def acknowledgement(words: DataFrame, keys: list[str], lines: int = 6, row_lines
     return cells.select(*keys, "field", F.col("c.left").cast("double").alias("x1"), (F.col("c.top") + F.col("c.height")).cast("double").alias("y1"), F.coalesce("_until", F.col("c.left") + 4 * F.col("c.width")).cast("double").alias("x2"), (F.col("c.top") + F.col("c.height") + F.col("c.row")).cast("double").alias("y2"))
 
 
-def nearest_right(boxes: Column, x: Column, y: Column) -> Column:
-    """Of the boxes that begin right of x in the row of y the nearest."""
-    right = F.filter(boxes, lambda b: (b["x1"] >= x) & (b["y1"] <= y) & (y <= b["y2"]))
-    return F.array_min(F.transform(right, lambda b, i: F.struct((b["x1"] - x).alias("d"), i.alias("i"), b.alias("b"))))["b"]
+def _whole(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column) -> Column:
+    """A crop on whole pixels inside the page."""
+    cut = lambda c, most: F.floor(F.least(F.greatest(c.cast("double"), F.lit(0.0)), most.cast("double"))).cast("double")
+    return F.struct(cut(x1, width).alias("x1"), cut(y1, height).alias("y1"), cut(x2, width).alias("x2"), cut(y2, height).alias("y2"))
+
+
+def _padded(anchor: Column, width: Column, height: Column, aside: float = 0.18, around: float = 0.06) -> Column:
+    """An anchor's centre with a share of the page on each side: what is left where nothing printed bounds a zone."""
+    cx, cy = (anchor["x1"] + anchor["x2"]) / 2, (anchor["y1"] + anchor["y2"]) / 2
+    return _whole(cx - width * aside, cy - height * around, cx + width * aside, cy + height * around, width, height)
 
 
-def zone_crop(anchor: Column, lines: Column, boxes: Column, width: Column, height: Column, aside: float = 0.18, around: float = 0.06, least: float = 0.003) -> Column:
-    """(x1, y1, x2, y2) of an anchor's zone: between rules, as wide as its tightest box or the nearest one right of it.
+def zone_crop(anchor: Column, lines: Column, boxes: Column, width: Column, height: Column, around: float = 0.06, least: float = 0.003, margin: int = 10) -> Column:
+    """(x1, y1, x2, y2) of an anchor's zone: between the rules above and below it, as wide as the tightest box around it.
 
-    Without rules or boxes the anchor is padded by a share of the page, as it is where the zone is less than 0.3 % of it.
+    Without such a box it reaches from just left of the anchor to just before the first box that begins right of it in its row (one and a half
+    heights more on both sides, 20 at least); without that one too, a share of the page's width on both sides. A zone of less than 0.3 % of the page is padded on all sides instead.
     """
-    cx, cy = (anchor["x1"] + anchor["x2"]) / 2, (anchor["y1"] + anchor["y2"]) / 2
-    pad_x, pad_y = width * aside, height * around
-    top = F.coalesce(rule_above(lines, anchor["y1"]), F.greatest(F.lit(0), anchor["y1"] - pad_y))
-    bottom = F.coalesce(rule_below(lines, anchor["y2"]), F.least(height, anchor["y2"] + pad_y))
-    box = F.coalesce(tightest_box(boxes, cx, cy), nearest_right(boxes, anchor["x2"], cy))
-    left = F.coalesce(F.least(box["x1"], anchor["x1"]), F.greatest(F.lit(0), anchor["x1"] - pad_x))
-    right = F.coalesce(F.greatest(box["x2"], anchor["x2"]), F.least(width, anchor["x2"] + pad_x))
-    small = (right - left) * (bottom - top) < least * width * height
-    pick = lambda a, b: F.when(small, a).otherwise(b).cast("double")
-    return F.struct(
-        pick(F.greatest(F.lit(0), anchor["x1"] - pad_x), left).alias("x1"), pick(F.greatest(F.lit(0), anchor["y1"] - pad_y), top).alias("y1"),
-        pick(F.least(width, anchor["x2"] + pad_x), right).alias("x2"), pick(F.least(height, anchor["y2"] + pad_y), bottom).alias("y2"),
-    )
-
-
-def table_crop(anchor: Column, lines: Column, boxes: Column, height: Column, like: float = 0.3) -> Column:
-    """The box around all boxes about as high as the anchor's that overlap its row, down to the next rule."""
-    h = anchor["y2"] - anchor["y1"]
-    row = F.filter(boxes, lambda b: (F.abs((b["y2"] - b["y1"]) - h) <= like * h) & (F.least(b["y2"], anchor["y2"]) > F.greatest(b["y1"], anchor["y1"])))
-    edge = lambda f, k: f(F.concat(F.transform(row, lambda b: b[k].cast("double")), F.array(anchor[k].cast("double"))))
-    bottom = edge(F.array_max, "y2")
-    return F.struct(edge(F.array_min, "x1").alias("x1"), edge(F.array_min, "y1").alias("y1"), edge(F.array_max, "x2").alias("x2"), F.coalesce(rule_below(lines, bottom + 1).cast("double"), height.cast("double")).alias("y2"))
-
-
-def weight_crop(anchor: Column, lines: Column, width: Column, height: Column) -> Column:
-    """From ten above the anchor to the first rule half a height below it, or five heights; 3.3 times as wide, inside the page."""
+    h, cx, cy = anchor["y2"] - anchor["y1"], (anchor["x1"] + anchor["x2"]) / 2, (anchor["y1"] + anchor["y2"]) / 2
+    top = F.coalesce(rule_above(lines, anchor["y1"]), F.greatest(F.lit(0), anchor["y1"] - height * around))
+    bottom = F.coalesce(rule_below(lines, anchor["y2"]), F.least(height, anchor["y2"] + height * around))
+    row = F.greatest(1.5 * h, F.lit(20.0))
+    after = F.filter(boxes, lambda b: (b["x1"] > anchor["x2"] - 2 * margin) & (b["y1"] < anchor["y2"] + row) & (b["y2"] > anchor["y1"] - row))
+    edge = F.array_min(F.transform(after, lambda b: b["x1"]))
+    known = F.struct(tightest_box(boxes, cx, cy).alias("box"), edge.alias("edge"), _padded(anchor, width, height).alias("wide"))
+
+    def crop(k: Column) -> Column:
+        left = F.when(k["box"].isNotNull(), k["box"]["x1"].cast("double")).when(k["edge"].isNotNull(), (anchor["x1"] - margin).cast("double")).otherwise(k["wide"]["x1"])
+        right = F.when(k["box"].isNotNull(), k["box"]["x2"].cast("double")).when(k["edge"].isNotNull(), F.greatest(anchor["x2"] + margin, k["edge"] - margin).cast("double")).otherwise(k["wide"]["x2"])
+        return bind(_whole(left, top, right, bottom, width, height), lambda z: F.when(small(z), k["wide"]).otherwise(z))
+
+    def small(z: Column) -> Column:
+        return (z["x2"] <= z["x1"]) | (z["y2"] <= z["y1"]) | ((z["x2"] - z["x1"]) * (z["y2"] - z["y1"]) < least * width * height)
+
+    return bind(known, crop)
+
+
+def table_crop(anchor: Column, lines: Column, boxes: Column, width: Column, height: Column, like: float = 1.5, margin: int = 10) -> Column:
+    """Around all boxes of the row of the cell that holds the anchor (at most 1.5 times as high as the cell), down to the first rule below them; padded without a cell."""
+
+    def around(cell: Column) -> Column:
+        row = F.filter(boxes, lambda b: (b["y2"] - b["y1"] <= like * (cell["y2"] - cell["y1"])) & (b["y1"] < cell["y2"]) & (b["y2"] > cell["y1"]))
+        return F.when(cell.isNotNull(), bind(row, union)).otherwise(_padded(anchor, width, height))
+
+    def union(row: Column) -> Column:
+        edge = lambda f, k: f(F.transform(row, lambda b: b[k].cast("double")))
+        below = bind(edge(F.array_max, "y2"), lambda y: F.coalesce(F.array_min(F.filter(lines, lambda h: h > y)).cast("double"), y))
+        return _whole(edge(F.array_min, "x1") - margin, edge(F.array_min, "y1") - margin, edge(F.array_max, "x2") + margin, below + margin, width, height)
+
+    return bind(tightest_box(boxes, (anchor["x1"] + anchor["x2"]) / 2, (anchor["y1"] + anchor["y2"]) / 2), around)
+
+
+def weight_crop(anchor: Column, lines: Column, outer_right: Column, width: Column, height: Column, wide: float = 3.3, aside: float = 0.2, margin: int = 10) -> Column:
+    """From ten above the anchor to the first rule half a height below it, or five heights; 3.3 times as wide, within the outer zone."""
     h, w = anchor["y2"] - anchor["y1"], anchor["x2"] - anchor["x1"]
-    return F.struct(
-        anchor["x1"].cast("double").alias("x1"), F.greatest(F.lit(0), anchor["y1"] - 10).cast("double").alias("y1"),
-        F.least(width, anchor["x1"] + 3.3 * w).cast("double").alias("x2"), F.least(height, F.coalesce(rule_below(lines, anchor["y2"] + 0.5 * h), anchor["y2"] + 5 * h)).cast("double").alias("y2"),
-    )
+    bottom = F.coalesce(F.array_min(F.filter(lines, lambda y: y > anchor["y2"] + 0.5 * h)).cast("double"), (anchor["y2"] + 5 * h).cast("double"))
+    return _whole(anchor["x1"] - aside * w, anchor["y1"] - margin, F.least(outer_right.cast("double"), anchor["x1"] + wide * w), bottom, width, height)
 
 
 def header_columns(labels: DataFrame, keys: list[str], heights: float = 6.0) -> DataFrame:

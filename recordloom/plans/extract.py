@@ -86,6 +86,16 @@ def cover_records(pairs: DataFrame, barcodes: DataFrame | None = None) -> DataFr
     return wide.join(barcodes.select("doc_id", X.barcode("text").alias("barcode_number")), "doc_id", "left")
 
 
+def zone_fields(pairs: DataFrame) -> DataFrame:
+    """(doc_id, page_no and the fields of RECEIPT_SYNONYMS) of pairs (doc_id, page_no, zone, idx, key, value), each zone's keys aliased to its own fields."""
+    page = ["doc_id", "page_no"]
+    texts = pairs.where(F.col("zone").isin(list(RECEIPT_ZONES))).select(*page, "zone", "idx", F.lower(F.replace("key", F.lit("_"), F.lit(" "))).alias("text"))
+    own = F.coalesce(*[F.when(F.col("zone") == z, F.col("field").isin(list(names))) for z, names in RECEIPT_ZONES.items()])
+    matches = matching.synonym_matches(texts, RECEIPT_SYNONYMS, [*page, "zone"], matching.RECORD_THRESHOLD, "alnum").where(own)
+    found = matching.greedy_assign(matches, [*page, "zone"]).drop("score").join(pairs.withColumn("idx", F.col("idx").cast("int")), [*page, "zone", "idx"])
+    return found.groupBy(*page).agg(*[F.max(F.when(F.col("field") == n, F.col("value"))).alias(n) for n in RECEIPT_SYNONYMS])
+
+
 def receipt_records(pairs: DataFrame, weights: DataFrame | None = None, goods: DataFrame | None = None, marks: DataFrame | None = None) -> DataFrame:
     """(doc_id, page_no and the 24 fields) of receipts.
 
@@ -95,12 +105,11 @@ def receipt_records(pairs: DataFrame, weights: DataFrame | None = None, goods: D
     page = ["doc_id", "page_no"]
     key = F.lower(F.replace("key", F.lit("_"), F.lit(" ")))
     if "zone" in pairs.columns:
-        pools = {z: {n: RECEIPT_SYNONYMS[n] for n in names} for z, names in RECEIPT_ZONES.items()}
-        parts = [_assigned(pairs.where(F.col("zone") == z), page, pool, key, matching.RECORD_THRESHOLD, "alnum") for z, pool in pools.items()]
-        found = parts[0].unionByName(parts[1]).unionByName(parts[2])
+        named = zone_fields(pairs)
     else:
         found = _assigned(pairs, page, RECEIPT_SYNONYMS, key, matching.RECORD_THRESHOLD, "alnum")
-    wide = pairs.select(*page).distinct().join(found.groupBy(*page).agg(*[F.max(F.when(F.col("field") == n, F.col("value"))).alias(n) for n in RECEIPT_SYNONYMS]), page, "left")
+        named = found.groupBy(*page).agg(*[F.max(F.when(F.col("field") == n, F.col("value"))).alias(n) for n in RECEIPT_SYNONYMS])
+    wide = pairs.select(*page).distinct().join(named, page, "left")
     for names, part in ((WEIGHTS, weights), (GOODS, goods)):
         if part is not None:
             first = tables.leftmost(F.col("cells"), len(names))
