@@ -148,18 +148,19 @@ def locate_anchor(phrases: DataFrame, synonyms: list[str], keys: list[str], thre
     return scored.where(F.col("score") >= threshold).groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
 
 
-def with_anchors(pages: DataFrame, found: str, anchors: dict[str, list[str]], threshold: float = RECORD_THRESHOLD) -> DataFrame:
+def with_anchors(pages: DataFrame, found: str, anchors: dict[str, list[str]], threshold: float = RECORD_THRESHOLD, guard: str | None = "alnum") -> DataFrame:
     """J22 in place: pages with a column `anchor_<name>` for each anchor: the phrase (of the array column `found`) that `locate_anchor` would choose, or null.
+    Without a guard the first of those that score best is taken, whatever it starts with.
 
     Pairs that may reach the threshold are picked in the JVM, scored in one call for all anchors of a page, and ranked in the JVM; no row moves.
     """
-    kept = lambda low, i: F.transform(F.filter(possible_pairs(low, anchors, threshold), lambda s: guarded(low, s["field"], anchors, "alnum")), lambda s: F.struct(s["field"].alias("field"), s["synonym"].alias("synonym"), low.alias("low"), i.alias("i")))
+    kept = lambda low, i: F.transform(F.filter(possible_pairs(low, anchors, threshold), lambda s: guarded(low, s["field"], anchors, guard) if guard else F.lit(True)), lambda s: F.struct(s["field"].alias("field"), s["synonym"].alias("synonym"), low.alias("low"), i.alias("i")))
     p = pages.withColumn("_low", F.transform(found, lambda p: F.lower(X.strip(p["text"])))).withColumn("_pairs", F.flatten(F.transform("_low", kept)))
     p = p.withColumn("_scores", fuzzy_scores(F.transform("_pairs", lambda x: x["low"]), F.transform("_pairs", lambda x: x["synonym"])))
 
     def chosen(name: str, synonyms: list[str]) -> Column:
         starts = lambda x: reduce(lambda a, b: a | b, [x["low"].startswith(s) for s in synonyms])
-        ranked = F.zip_with("_pairs", "_scores", lambda x, s: F.struct((-s).alias("back"), (~starts(x)).cast("int").alias("late"), F.length(x["low"]).alias("n"), x["i"].alias("i"), x["field"].alias("field")))
+        ranked = F.zip_with("_pairs", "_scores", lambda x, s: F.struct((-s).alias("back"), *([(~starts(x)).cast("int").alias("late"), F.length(x["low"]).alias("n")] if guard else []), x["i"].alias("i"), x["field"].alias("field")))
         return F.get(F.col(found), F.array_min(F.filter(ranked, lambda x: (x["field"] == name) & (x["back"] <= -threshold)))["i"])
 
     p = p.withColumns({f"anchor_{name}": chosen(name, synonyms) for name, synonyms in anchors.items()})

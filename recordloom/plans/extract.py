@@ -120,15 +120,18 @@ def receipt_records(pairs: DataFrame, weights: DataFrame | None = None, goods: D
     return wide.withColumns(missing).select(*page, *RECEIPT_FIELDS)
 
 
-def trusted_fields(fields: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
+def trusted_fields(fields: DataFrame, key: str = "key", value: str = "value", lenient: bool = False) -> DataFrame:
     """label/value pairs without leftovers and stamps, labels of more than five words, noise (fewer than three letters or digits, unless it is two and a
-    plausible value) and paragraphs (more than 20 words, or two ends of sentences)."""
-    size = F.length(F.regexp_replace(F.coalesce(F.col(value), F.lit("")), "[^A-Za-z0-9]+", ""))
-    noise = (size < 3) & ((size < 2) | ~V.plausible_value(value))
+    plausible value) and paragraphs (more than 20 words, or two ends of sentences). `lenient` keeps labels that have no value, and drops labels that are noise."""
+    size = lambda c: F.length(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "[^A-Za-z0-9]+", ""))
+    noise = lambda c: (size(c) < 3) & ((size(c) < 2) | ~V.plausible_value(c))
     words = F.size(F.filter(F.split(X.strip(value), X.SPACE), lambda t: t != ""))
     ends = F.regexp_count(F.coalesce(F.col(value), F.lit("")), F.lit(r"(?<![0-9])[.!?](?![0-9])"))
     label_words = F.size(F.split(F.col(key), "_"))
-    return fields.where(~F.col(key).startswith("Unmatched_Text") & ~F.col(key).startswith("Stamp_") & (label_words <= 5) & ~noise & (words <= 20) & (ends < 2))
+    good = ~noise(value) & (words <= 20) & (ends < 2)
+    if lenient:
+        good = (F.col(value).isNull() | good) & ~noise(key)
+    return fields.where(~F.col(key).startswith("Unmatched_Text") & ~F.col(key).startswith("Stamp_") & (label_words <= 5) & good)
 
 
 def shaped(value: Column | str, pattern: str) -> Column:
