@@ -39,14 +39,19 @@ GOODS = ("packages", "description_of_product", "net_wt_2", "gross_wt_2", "amount
 
 
 def _named_rows(cells: DataFrame, search: int, configured: DataFrame | None) -> DataFrame:
-    """(table_id, row_idx, cells, fields) of the rows under each table's caption row, columns named from captions, content or configuration."""
-    at = tables.caption_rows(tables.rows_of(cells), search)
+    """(table_id, row_idx, cells, fields) of the rows under each table's caption row, columns named from captions, content or configuration.
+
+    With a column `carried`, rows for which it holds are named by the others: they neither have the captions nor decide what a column is.
+    """
+    own = cells.where("not carried") if "carried" in cells.columns else cells
+    at = tables.caption_rows(tables.rows_of(own), search)
     c = cells.join(at, "table_id")
     body = c.where(F.col("row_idx") > F.col("caption_row")).drop("caption_row")
     captions = c.where(F.col("row_idx") == F.col("caption_row")).select("table_id", "col_idx", F.col("text").alias("caption"))
     rows = tables.rows_of(body)
     kept = rows.where(tables.not_footer(F.col("cells"))).select("table_id", "row_idx")
-    inferred = infer.classify_columns(body.join(kept, ["table_id", "row_idx"], "left_semi"), matching.match_captions(captions))
+    typed = body.where("not carried") if "carried" in cells.columns else body
+    inferred = infer.classify_columns(typed.join(kept, ["table_id", "row_idx"], "left_semi").select("table_id", "row_idx", "col_idx", "text"), matching.match_captions(captions))
     names = infer.column_names(inferred, captions, configured)
     pairs = body.join(names, ["table_id", "col_idx"]).groupBy("table_id", "row_idx").agg(F.sort_array(F.collect_list(F.struct("col_idx", "name", X.blank_to_null("text").alias("value")))).alias("p"))
     fields = F.map_from_entries(F.transform("p", lambda x: F.struct(x["name"].alias("key"), x["value"].alias("value"))))
