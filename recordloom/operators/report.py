@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import zipfile
 from collections.abc import Iterable
+from typing import BinaryIO
 from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame
@@ -110,14 +111,15 @@ def _sheet_xml(rows: dict[int, dict[int, tuple[str, str]]]) -> str:
     return f'<worksheet xmlns="{MAIN}">{view}<cols>{widths}</cols><sheetData>{body}</sheetData>{merges}</worksheet>'
 
 
-def write_workbook(cells: Iterable, path: str) -> str:
-    """K1: a workbook of inline strings from report cells in order of sheet_ord, row, col, with their styles; for reports that fit on the driver. Folders of the path are made."""
+def write_workbook(cells: Iterable, path: str | BinaryIO) -> str | BinaryIO:
+    """K1: a workbook of inline strings from report cells in order of sheet_ord, row, col, with their styles, to a path, whose folders are made, or a file. It holds one report; many are written on the executors by `sources.reports`."""
     sheets: dict[str, dict[int, dict[int, tuple[str, str]]]] = {}
     for c in sorted(cells, key=lambda c: (c["sheet_ord"], c["sheet"], c["row"], c["col"])):
         sheets.setdefault(c["sheet"], {}).setdefault(c["row"], {})[c["col"]] = (c["value"] or "", c["style"] or "")
     if not sheets:
         sheets = {"Invoice": {0: {0: ("No data", "")}}, "Bill": {0: {0: ("No data", "")}}}
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    if isinstance(path, str):
+        os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     kind, package = "application/vnd.openxmlformats-officedocument.spreadsheetml", "http://schemas.openxmlformats.org/package/2006"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i in range(1, len(sheets) + 1))
