@@ -327,10 +327,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     spark = docs.sparkSession
     bounded_batches(spark)
     kept = lambda ddl: T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *T.StructType.fromDDL(ddl).fields])
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # one number
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), text_bytes().alias("text")).distinct()
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # one number
     blocks = max(1, math.ceil(2 * size / BLOCK_BYTES))
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), text_bytes().alias("text"))
-    book_of = lambda part: spark.sparkContext.broadcast(phrase_book([(r.name, bytes(r.text)) for r in part.collect()], window))  # noqa: E731 - at most a block
+    book_of = lambda part: spark.sparkContext.broadcast(phrase_book([(r.name, bytes(r.text)) for r in part.collect()], window))  # noqa: E731 - at most a block, or its largest item
     if blocks == 1:
         return _in_one_pass(docs, book_of(items), kept(RESULT))
     folder, numbered = shared_folder(spark, "benchmark-hits"), kept(f"{HITS}, block int")
