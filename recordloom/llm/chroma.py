@@ -150,6 +150,10 @@ def bit_errors(a: bytes, b: bytes, offset: int) -> tuple[int, float]:
     return hi - lo, float(np.bitwise_count(x[lo:hi] ^ y[lo - offset : hi - offset]).sum()) / (32 * (hi - lo))
 
 
+#: Pairs of equal integers that are counted at once.
+HITS = 1 << 20
+
+
 def query_book(rows: list[tuple[str, bytes, bytes]]) -> dict:
     """A block of queries (owner, code, heard): the integers with sound of all, sorted, each with its query and frame."""
     codes = [np.frombuffer(c, np.uint32) for _, c, _ in rows]
@@ -161,14 +165,23 @@ def query_book(rows: list[tuple[str, bytes, bytes]]) -> dict:
 
 
 def vote(book: dict, code: bytes, heard: bytes, votes: int) -> list[tuple[int, int, int]]:
-    """(query, offset, votes) of the queries that a recording agrees with `votes` times at one offset; of offsets with most votes the smallest."""
+    """(query, offset, votes) of the queries that a recording agrees with `votes` times at one offset; of offsets with most votes the smallest.
+
+    Pairs of equal integers are counted in runs of frames, so a held tone takes the memory of its offsets and not of its pairs.
+    """
     at = np.flatnonzero(np.frombuffer(heard, np.uint8))
     k = np.frombuffer(code, np.uint32)[at]
     lo, hi = np.searchsorted(book["keys"], k, "left"), np.searchsorted(book["keys"], k, "right")
     n = hi - lo
-    hits = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    offset = book["frames"][hits] - np.repeat(at, n)
-    cells, count = np.unique((book["of"][hits] << 32) + offset + (1 << 31), return_counts=True)
+    cells, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ends = np.searchsorted(np.cumsum(n), np.arange(HITS, int(n.sum()) + HITS, HITS))  # frames in runs of about HITS pairs
+    for a, b in zip([0, *(ends[:-1] + 1)], np.minimum(ends + 1, len(n)), strict=True):
+        m = n[a:b]
+        hits = np.repeat(lo[a:b] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+        offset = book["frames"][hits] - np.repeat(at[a:b], m)
+        new, times = np.unique((book["of"][hits] << 32) + offset + (1 << 31), return_counts=True)
+        cells, back = np.unique(np.concatenate([cells, new]), return_inverse=True)
+        count = np.bincount(back, weights=np.concatenate([count, times]), minlength=len(cells)).astype(np.int64)
     cells, count = cells[count >= votes], count[count >= votes]
     query, offset = cells >> 32, (cells & 0xFFFFFFFF) - (1 << 31)
     best = np.lexsort((offset, -count, query))
