@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordloom.llm.common import bounded_batches, buffers, checkpointed, mix, text_bytes, with_text
+from recordloom.llm.simhash import with_owner
 
 LENGTH, GRAM = 100, 20
 #: Window starts hashed at once, and bytes of stretches that a bin holds on average.
@@ -548,10 +549,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bin_
 
 
 def later_windows(windows: DataFrame) -> DataFrame:
-    """(doc, sub, span) of the windows whose text occurs in another one that starts earlier."""
+    """(doc, sub, span) of the windows whose text occurs in another one that starts earlier. A text that very many have is broadcast, and its windows stay where they are."""
     place = F.struct("doc", "sub", "span")
-    first = windows.groupBy("window").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("window").alias("text"), "first")
-    return windows.join(first, F.col("window") == F.col("text")).where(place != F.col("first")).select("doc", "sub", "span")
+    first = checkpointed(windows.groupBy("window").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"))
+    total = windows.count()  # one number
+    return with_owner(windows.select("window", "doc", "sub", "span"), first, "window", total).where(place != F.col("first")).select("doc", "sub", "span")
 
 
 def _compressed(docs: DataFrame) -> DataFrame:
