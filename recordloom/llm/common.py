@@ -185,6 +185,25 @@ def least_hashed(rows: DataFrame, label: str, cap: int, total: int | None = None
     return picked
 
 
+def picked_documents(docs: DataFrame, labels: DataFrame, label: str, longest: int, cap: int) -> list:
+    """`least_hashed` of the labelled documents of at most `longest` bytes.
+
+    If a class that is labelled has none as short, texts four times as long are taken, or four times that, and as many times fewer of a class, one at least: as short
+    as lets every class be learned, and no more text in all.
+    """
+    picked = least_hashed(labelled_documents(docs, labels, label, longest), label, cap)
+    found = {r[2] for r in picked}
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias(label))
+    if len(found) > 1 or {r[0] for r in known.select(label).distinct().collect()} <= found:
+        return picked
+    sized = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).groupBy("doc_id").agg(F.min(F.octet_length("text")).alias("_bytes"))
+    need = known.join(sized, "doc_id").groupBy(label).agg(F.min("_bytes").alias("least")).agg(F.max("least")).first()[0] or 0
+    times = 1
+    while longest * times < need:
+        times *= 4
+    return picked if times == 1 else least_hashed(labelled_documents(docs, labels, label, longest * times), label, max(1, cap // times))
+
+
 def sampled_documents(docs: DataFrame, picked: list, label: str) -> DataFrame:
     """(doc_id, label, text, lang if there is one) of a bounded list of (doc_id, mark, label), which is broadcast; one row for each id."""
     spark = docs.sparkSession

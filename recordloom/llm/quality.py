@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordloom.llm.common import LOWER, SOLID, bounded_batches, buffers, fold, labelled_documents, least_hashed, mix, platt, sampled_documents, sigmoid, text_bytes, word_hashes, word_spans
+from recordloom.llm.common import LOWER, SOLID, bounded_batches, buffers, fold, mix, picked_documents, platt, sampled_documents, sigmoid, text_bytes, word_hashes, word_spans
 
 UPPER, SMALL, DIGIT, BLANK, PIPE, BANG, ODD, STOP, OTHER = range(9)
 
@@ -168,12 +168,12 @@ def train(x: np.ndarray, first: np.ndarray, y: np.ndarray, steps: int = 150, rat
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest: int = 16_000) -> dict | None:
-    """Fit on at most `per_class` documents of each class, picked among those of at most `longest` bytes; None if a class has none.
+    """Fit on at most `per_class` documents of each class, picked among those of at most `longest` bytes, or as `picked_documents` has it; None if a class has none.
 
     Learned from are labelled documents whose crc32 fold of 5 is not 0; a fifth of the sample is kept for calibration.
     """
     known = labels.select("doc_id", F.col("quality").cast("long").alias("quality")).where(fold(5) != 0)
-    picked = least_hashed(labelled_documents(docs.select("doc_id", "text"), known, "quality", longest), "quality", per_class)
+    picked = picked_documents(docs.select("doc_id", "text"), known, "quality", longest, per_class)
     rows = sampled_documents(docs.select("doc_id", "text"), picked, "quality").select("doc_id", "quality", text_bytes().alias("text")).collect()
     rows.sort(key=lambda r: r.doc_id)
     y = np.array([r.quality > 0 for r in rows], float)

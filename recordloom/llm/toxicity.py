@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordloom.llm.common import ALNUM, LOWER, bounded_batches, buffers, fold, labelled_documents, least_hashed, platt, sampled_documents, sigmoid, text_bytes, word_hashes, word_spans
+from recordloom.llm.common import ALNUM, LOWER, bounded_batches, buffers, fold, picked_documents, platt, sampled_documents, sigmoid, text_bytes, word_hashes, word_spans
 
 BUCKETS, DIM, FILTERS, WIDTHS, PREFIXES = 1 << 16, 8, 8, (1, 2, 3), (3, 4, 5, 6, 7)
 SLOTS = sum(WIDTHS) * FILTERS
@@ -47,7 +47,7 @@ def scan(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _sample(docs: DataFrame, labels: DataFrame, per_class: int, longest: int) -> list:
     learn = labels.select("doc_id", F.col("toxic").cast("long").alias("toxic")).where(fold(3) != 1)
     columns = docs.select("doc_id", "text", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
-    picked = least_hashed(labelled_documents(columns, learn, "toxic", longest), "toxic", per_class)
+    picked = picked_documents(columns, learn, "toxic", longest, per_class)
 
     def run(batches):
         for b in batches:
@@ -86,7 +86,7 @@ def forward(vectors: np.ndarray, filters: list[np.ndarray], begin: np.ndarray, l
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, longest: int = 16_000, epochs: int = 4, seed: int = 7) -> dict | None:
-    """Fit on at most `per_class` documents of each class, picked among those of at most `longest` bytes; None if a class has none.
+    """Fit on at most `per_class` documents of each class, picked among those of at most `longest` bytes, or as `picked_documents` has it; None if a class has none.
 
     Learned from are labelled documents whose crc32 fold of 3 is not 1. Their texts reach the driver compressed, which are smaller than their pieces.
     """
@@ -218,11 +218,10 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **optio
     def run(batches):
         for b in batches:
             s = scores(shared.value, b.column(2)) if shared.value is not None else np.full(b.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(s)], ["doc_id", "held_out", "lang", "score"])
+            limits = (shared.value or {}).get("thresholds", {})
+            limit = np.array([limits.get(x or "", threshold) for x in b.column(3).to_pylist()], float)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array(limit)], ["doc_id", "held_out", "score", "lang_threshold"])
 
-    kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
+    kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("lang_threshold", T.DoubleType())])
     found = docs.select("doc_id", (fold(3) == 1).alias("held_out"), text_bytes().alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(run, kind)
-    limit = F.lit(threshold)
-    for lang, t in sorted((model or {}).get("thresholds", {}).items()):
-        limit = F.when(F.coalesce("lang", F.lit("")) == lang, F.lit(t)).otherwise(limit)
-    return found.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), limit.alias("lang_threshold"), (F.col("score") >= limit).alias("flagged"))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "lang_threshold", (F.col("score") >= F.col("lang_threshold")).alias("flagged"))
