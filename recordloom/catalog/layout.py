@@ -46,7 +46,7 @@ def _crop(f):
 _RD = "(SELECT * FROM words WHERE regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') <> '' AND conf >= 0)"
 SEGMENTS = f"""{D.WORDS}, rd AS {_RD}, u AS (SELECT doc_id, page_no, CAST(list_sort(list(height))[len(list(height)) // 2 + 1] AS DOUBLE) AS unit FROM rd GROUP BY ALL),
 sg AS (SELECT rd.* REPLACE (conf / 100 AS conf), unit, line * 8 + word AS seg_id, "left" + width AS "right", top + height AS bottom, "left" + width / 2 AS cx, top + height / 2 AS cy FROM rd JOIN u USING (doc_id, page_no))"""
-LABELS = f"""WITH {SEGMENTS}, gt AS (SELECT DISTINCT a.doc_id, a.page_no, a.seg_id FROM sg a JOIN sg o ON a.doc_id = o.doc_id AND a.page_no = o.page_no AND a.seg_id <> o.seg_id AND abs(a.cy - o.cy) <= a.unit AND o."left" - a."right" BETWEEN 1.5 * a.unit AND 20 * a.unit),
+LABELS = f"""WITH {SEGMENTS}, ga AS (SELECT *, CAST(floor(cy / unit) AS BIGINT) AS b FROM sg), go AS (SELECT doc_id, page_no, seg_id, cy, "left", unnest([b - 1, b, b + 1]) AS b FROM ga), gt AS (SELECT DISTINCT a.doc_id, a.page_no, a.seg_id FROM ga a JOIN go o ON a.doc_id = o.doc_id AND a.page_no = o.page_no AND a.b = o.b AND a.seg_id <> o.seg_id AND abs(a.cy - o.cy) <= a.unit AND o."left" - a."right" BETWEEN 1.5 * a.unit AND 20 * a.unit),
 lb AS (SELECT sg.*, NOT (regexp_full_match({D.strip('text')}, '[0-9,]+(\\.[0-9]+)?[/\\-]*') OR regexp_full_match({D.strip('text')}, '[0-9]{{1,2}}[./-][0-9]{{1,2}}[./-][0-9]{{2,4}}')) AND (suffix({D.strip('text')}, ':') OR (conf >= 0.6 AND (gt.seg_id IS NOT NULL OR regexp_matches(text, '(?i)(^|[^\\p{{L}}\\p{{N}}_])(no|nos|number|name|date|code|type|centre|center|amount|by|id)[.:]?$')))) AS is_label FROM sg LEFT JOIN gt USING (doc_id, page_no, seg_id))"""
 _PAIR = "l.doc_id = s.doc_id AND l.page_no = s.page_no AND l.seg_id <> s.seg_id AND l.is_label"
 

@@ -76,15 +76,15 @@ def solid_length(text: Column) -> Column:
     return F.length(F.regexp_replace(text, r"(?U)\s+", ""))
 
 
-def score_bound(solid: Column, counts: Column, synonym: str, letters: str) -> Column:
+def score_bound(size: Column, solid: Column, counts: Column, synonym: str, letters: str) -> Column:
     """C36 from above, without aligning anything.
 
-    A common subsequence has at most the s letters that both texts share (blanks are left out, which only raises the bound), and
-    what it is divided by is at least s plus the letters m of the shorter text, as a window at an edge may be no longer than s.
+    A common subsequence has at most the s characters that both texts share, and what it is divided by is at least s plus the letters m
+    of the shorter text, as a window at an edge may be no longer than s. size: the text's characters, solid: those that are not blank.
     """
     own = {c: synonym.count(c) for c in letters if c in synonym}
     blanks = sum(c.isspace() for c in synonym)
-    shared = sum((F.least(F.get(counts, F.lit(letters.index(c))), F.lit(n)) for c, n in own.items()), F.lit(blanks))
+    shared = sum((F.least(F.get(counts, F.lit(letters.index(c))), F.lit(n)) for c, n in own.items()), F.least(size - solid, F.lit(blanks)))
     least = F.least(solid, F.lit(len(synonym) - blanks))
     s = F.least(shared, least)
     return F.when(least <= 0, 100.0).otherwise(200.0 * s / (least + s))

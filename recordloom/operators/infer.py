@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from recordloom.functions import text as X
 from recordloom.functions import validators as V
+from recordloom.operators.segmented import SPAN, segment
 
 SHARE, TRIPLE_SHARE, TRIPLE_TOLERANCE = 0.7, 0.7, 0.02
 SHAPES = (("timestamp", V.TIMESTAMP_SHAPE), ("date", V.DATE_SHAPE), ("decimal", V.DECIMAL_SHAPE), ("digits", V.DIGITS_SHAPE), ("alphanumeric", V.CODE_SHAPE), ("alpha", V.ALPHA_SHAPE))
@@ -30,12 +31,18 @@ def hit_rates(cells: DataFrame) -> DataFrame:
     return filled(cells).groupBy("table_id", "col_idx").agg(F.count("*").alias("n_values"), *rates)
 
 
-def sequential(cells: DataFrame) -> DataFrame:
-    """A5: per column whether all values are whole numbers, at least three, and 70 % of their steps lie in 0..5."""
-    n = filled(cells).withColumn("n", F.when(F.col("text").rlike(r"^[+-]?[0-9]{1,18}\z"), F.col("text").try_cast("bigint")))
-    step = F.col("n") - F.lag("n").over(Window.partitionBy("table_id", "col_idx").orderBy("row_idx"))
-    s = n.withColumn("step", step).groupBy("table_id", "col_idx")
-    s = s.agg(F.count("*").alias("size"), F.count("n").alias("whole"), F.count_if(F.col("step").between(0, 5)).alias("near"))
+def sequential(cells: DataFrame, span: int = SPAN) -> DataFrame:
+    """A5: per column whether all values are whole numbers, at least three, and 70 % of their steps lie in 0..5.
+
+    A column is summed in stretches of `span` rows, each a task's work, as (first, last, count, near steps); the steps between stretches are taken from these.
+    """
+    n = filled(cells).withColumn("n", F.when(F.col("text").rlike(r"^[+-]?[0-9]{1,18}\z"), F.col("text").try_cast("bigint"))).withColumn("_part", segment("row_idx", span))
+    step = F.col("n") - F.lag("n").over(Window.partitionBy("table_id", "col_idx", "_part").orderBy("row_idx"))
+    parts = n.withColumn("step", step).groupBy("table_id", "col_idx", "_part")
+    parts = parts.agg(F.count("*").alias("size"), F.count("n").alias("whole"), F.count_if(F.col("step").between(0, 5)).alias("near"), F.min_by("n", "row_idx").alias("first"), F.max_by("n", "row_idx").alias("last"))
+    across = F.col("first") - F.lag("last").over(Window.partitionBy("table_id", "col_idx").orderBy("_part"))
+    s = parts.withColumn("_over", F.coalesce(across.between(0, 5), F.lit(False)).cast("int")).groupBy("table_id", "col_idx")
+    s = s.agg(F.sum("size").alias("size"), F.sum("whole").alias("whole"), F.sum(F.col("near") + F.col("_over")).alias("near"))
     ok = (F.col("size") == F.col("whole")) & (F.col("size") >= 3) & (F.col("near") >= (F.col("size") - 1) * SHARE)
     return s.select("table_id", "col_idx", ok.alias("is_sequential"))
 

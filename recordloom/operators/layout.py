@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,16 +86,35 @@ def merge_rows(phrases: DataFrame, overlap: float = 0.5, ratio: float = 1.2) ->
     def fold(_, items):
         p = sorted((x["x1"], x["y1"], x["x2"], x["y2"], x["confidence"], x["text"]) for x in items)
         p.sort(key=lambda x: (x[1], x[0], x[5]))
+        step = max(1, *(x[3] - x[1] for x in p))
+        bins: dict[int, set[int]] = {}  # a phrase is in all strips of the page that it touches: only these can have its row
+
+        def strips(x):
+            return range(x[1] // step, x[3] // step + 1)
+
+        def put(i):
+            for k in strips(p[i]):
+                bins.setdefault(k, set()).add(i)
+
+        def partner(i, before):
+            near = set().union(*(bins[k] for k in strips(p[i])))
+            return next(((j, m) for j in sorted(near) if (j < i if before else j > i) and (m := joined(*((p[j], p[i]) if before else (p[i], p[j]))))), None)
+
+        for i in range(len(p)):
+            put(i)
         i = 0
         while i < len(p):
-            found = next(((j, m) for j in range(i + 1, len(p)) if (m := joined(p[i], p[j]))), None)
-            if found:  # the merged phrase may now reach one before it
-                p[i] = found[1]
-                del p[found[0]]
-                i = next((k for k in range(i) if joined(p[k], p[i])), i)
-            else:
+            found = partner(i, False) if p[i] is not None else None
+            if found is None:
                 i += 1
-        return p
+                continue
+            for k in strips(p[found[0]]):
+                bins[k].discard(found[0])
+            p[found[0]], p[i] = None, found[1]
+            put(i)
+            earlier = partner(i, True)  # the merged phrase may now reach one before it
+            i = earlier[0] if earlier else i
+        return [x for x in p if x is not None]
 
     return per_page(phrases, fold, PHRASE)
 
@@ -221,16 +241,35 @@ def _code(text: str) -> str:
 
 
 def densest(segments: list[dict], unit: float, least: int = STAMP_LEAST, size: float = STAMP_BOX) -> list[list[dict]]:
-    """The densest boxes of `size` units with `least` segments or more, one after the other; the first seed on ties."""
-    out = []
-    while len(segments) >= least:
-        groups = [[x for x in segments if abs(x["cx"] - a["cx"]) <= size * unit / 2 and abs(x["cy"] - a["cy"]) <= size * unit / 2] for a in segments]
-        best = max(groups, key=len)
-        if len(best) < least:
+    """The densest boxes of `size` units with `least` segments or more, one after the other; the first seed on ties.
+
+    Segments are looked up in a grid of half a box, and only the counts near a box that is taken change.
+    """
+    half, n = size * unit / 2, len(segments)
+    cells: dict[tuple[int, int], list[int]] = {}
+    spot = [(int(x["cx"] // half), int(x["cy"] // half)) if half > 0 else (x["cx"], x["cy"]) for x in segments]
+    for i, at in enumerate(spot):
+        cells.setdefault(at, []).append(i)
+    apart = (-1, 0, 1) if half > 0 else (0,)
+
+    def around(i):
+        a, (cx, cy) = segments[i], spot[i]
+        near = (j for dx in apart for dy in apart for j in cells.get((cx + dx, cy + dy), ()))
+        return [j for j in near if abs(segments[j]["cx"] - a["cx"]) <= half and abs(segments[j]["cy"] - a["cy"]) <= half]
+
+    count, alive, out = np.array([len(around(i)) for i in range(n)]), np.ones(n, bool), []
+    while n >= least:
+        best = int(count.argmax())
+        if count[best] < least:
             break
-        out.append(best)
-        taken = {id(x) for x in best}
-        segments = [x for x in segments if id(x) not in taken]
+        group = sorted(j for j in around(best) if alive[j])
+        out.append([segments[j] for j in group])
+        for j in group:
+            alive[j] = False
+            count[j] = 0
+        for j in group:
+            for k in around(j):
+                count[k] -= alive[k]
     return out
 
 
@@ -304,12 +343,14 @@ def _pairs_of_page(page_no: int, s: list[dict]) -> list[tuple[str, str | None]]:
 def numbered(names: list[str]) -> list[str]:
     """A name that is there already gets the next free number, from 2 on."""
     seen: set[str] = set()
+    free: dict[str, int] = {}  # the number from which on a name has not been tried
     for i, name in enumerate(names):
-        k = 2
-        while name in seen:
-            name, k = f"{names[i]}_{k}", k + 1
-        seen.add(name)
-        names[i] = name
+        if name in seen:
+            k = free.get(name, 2)
+            while f"{name}_{k}" in seen:
+                k += 1
+            free[name], names[i] = k + 1, f"{name}_{k}"
+        seen.add(names[i])
     return names
 
 

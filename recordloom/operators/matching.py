@@ -51,8 +51,8 @@ def possible_pairs(text: Column, pool: dict[str, list[str]], threshold: float) -
     """The synonyms (field, field_ord, synonym) of a pool that may reach the threshold with a text, judged in the JVM by `score_bound`: only these have to be scored."""
     flat = [(f, i, s) for i, (f, ss) in enumerate(pool.items()) for s in ss]
     letters = alphabet([s for _, _, s in flat])
-    pair = lambda x, f, i, s: F.when(score_bound(x["solid"], x["counts"], s, letters) >= threshold, F.struct(F.lit(f).alias("field"), F.lit(i).alias("field_ord"), F.lit(s).alias("synonym")))
-    known = F.struct(char_counts(text, letters).alias("counts"), solid_length(text).alias("solid"))
+    pair = lambda x, f, i, s: F.when(score_bound(x["size"], x["solid"], x["counts"], s, letters) >= threshold, F.struct(F.lit(f).alias("field"), F.lit(i).alias("field_ord"), F.lit(s).alias("synonym")))
+    known = F.struct(char_counts(text, letters).alias("counts"), F.length(text).alias("size"), solid_length(text).alias("solid"))
     return bind(known, lambda x: F.filter(F.array(*[pair(x, f, i, s) for f, i, s in flat]), lambda p: p.isNotNull()))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from recordloom.functions import text as X
+from recordloom.operators.segmented import SPAN, running_total, with_previous
 
 
 def rows_of(cells: DataFrame) -> DataFrame:
@@ -54,11 +55,11 @@ def not_footer(cells: Column, serial_at: int = 0) -> Column:
     return ~((s.rlike("[A-Za-z]") | (s == "")) & ~dense)
 
 
-def group_lines(points: DataFrame, keys: list[str], gap: int = 10) -> DataFrame:
-    """(keys, line_no, first, last, line): positions x with gaps of at most `gap` are one line, at the middle rounded down."""
-    w = Window.partitionBy(*keys).orderBy("x")
-    run = F.sum(F.coalesce((F.col("x") - F.lag("x").over(w) > gap).cast("int"), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    g = points.withColumn("line_no", run).groupBy(*keys, "line_no").agg(F.min("x").alias("first"), F.max("x").alias("last"))
+def group_lines(points: DataFrame, keys: list[str], gap: int = 10, span: int = SPAN) -> DataFrame:
+    """(keys, line_no, first, last, line): positions x with gaps of at most `gap` are one line, at the middle rounded down. A run of any length is cut into segments of `span`."""
+    p = with_previous(points, keys, "x", ["x"], span)
+    run = running_total(p, keys, "x", F.coalesce((F.col("x") - F.col("prev_x") > gap).cast("int"), F.lit(0)), "line_no", span)
+    g = run.groupBy(*keys, "line_no").agg(F.min("x").alias("first"), F.max("x").alias("last"))
     return g.withColumn("line", F.floor((F.col("first") + F.col("last")) / 2).cast("bigint"))
 
 
@@ -81,11 +82,11 @@ def trim_outliers(lines: Column, ratio: float = 4.0) -> Column:
     return F.when((n < 3) | (mid <= 0), lines).otherwise(F.slice(lines, 1, keep))
 
 
-def gap_groups(items: DataFrame, keys: list[str], at: str, size: Column, ratio: float = 3.0) -> DataFrame:
-    """The items with `group_no`, which rises where the gap to the one before is more than ratio * size."""
-    w = Window.partitionBy(*keys).orderBy(at)
-    fresh = F.coalesce((F.col(at) - F.lag(at).over(w) > ratio * size).cast("int"), F.lit(0))
-    return items.withColumn("group_no", F.sum(fresh).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def gap_groups(items: DataFrame, keys: list[str], at: str, size: Column, ratio: float = 3.0, span: int = SPAN) -> DataFrame:
+    """The items with `group_no`, which rises where the gap to the one before is more than ratio * size. A run of any length is cut into segments of `span`."""
+    p = with_previous(items, keys, at, [at], span)
+    fresh = F.coalesce((F.col(at) - F.col(f"prev_{at}") > ratio * size).cast("int"), F.lit(0))
+    return running_total(p, keys, at, fresh, "group_no", span).drop(f"prev_{at}")
 
 
 def page_runs(pages: DataFrame, tolerance: int = 2) -> DataFrame:
@@ -141,9 +142,17 @@ def column_divider(bands: Column, page_lines: Column, width: Column, least: floa
     return F.when(divider.isNotNull(), F.struct(divider.alias("divider"), right.alias("right")))
 
 
-def page_roles(pages: DataFrame, layout: DataFrame) -> DataFrame:
-    """Pages with the role whose range holds them. layout: role, first_page, last_page (inclusive); all rows count."""
-    return pages.join(layout, F.col("page_no").between(F.col("first_page"), F.col("last_page")), "left").drop("first_page", "last_page")
+def page_roles(pages: DataFrame, layout: DataFrame, width: int = 64) -> DataFrame:
+    """Pages with the role whose range holds them. layout: role, first_page, last_page (inclusive); all rows count.
+
+    Pages and ranges meet in bins of `width` pages, by equality; a range ends for that at the last page there is.
+    """
+    most = pages.agg(F.max("page_no")).first()[0]  # one number
+    last = F.least(F.col("last_page"), F.lit(0 if most is None else int(most)))
+    bins = F.sequence(F.floor(F.col("first_page") / width), F.floor(last / width))
+    ranges = layout.where(F.col("first_page") <= last).withColumn("_bin", F.explode(bins))
+    binned = pages.withColumn("_bin", F.floor(F.col("page_no") / width))
+    return binned.alias("p").join(ranges.alias("r"), (F.col("p._bin") == F.col("r._bin")) & F.col("p.page_no").between(F.col("first_page"), F.col("last_page")), "left").drop("_bin", "first_page", "last_page")
 
 
 def layout_warnings(pages: DataFrame, least: int = 3) -> DataFrame:
