@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from recordloom.catalog import duck as D
 from recordloom.operators import layout, matching, tables, zones
-from recordloom.plans import derive
+from recordloom.plans import derive, extract
 
 W = f"WITH {D.WORDS}"
 READABLE = f"{W}, rd AS (SELECT * FROM words WHERE regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') <> '' AND conf >= 0)"
@@ -159,6 +159,10 @@ SELECT c.c_custkey, CAST(CASE WHEN g.l IS NULL THEN greatest(0, x - 150) ELSE gr
         _crop(lambda: zones.weight_crop(_anchor(), F.col("lines"), F.lit(900), F.lit(1000), F.lit(1000))),
         f"{CUST} SELECT c_custkey, CAST(greatest(0, x - 12) AS DOUBLE) AS x1, CAST(greatest(0, y - 10) AS DOUBLE) AS y1, CAST(least(900, x + 198) AS DOUBLE) AS x2, CAST(least(1000, coalesce((SELECT min(h) FROM (SELECT unnest(range(100, 900, 100)) h) WHERE h > y + 30), y + 120)) AS DOUBLE) AS y2 FROM c",
     ),
+    "positive_confidence": (
+        lambda s, d: extract.mean_positive_confidence(words(s, d), ["doc_id", "page_no"]),
+        f"{W} SELECT doc_id, page_no, round(avg(conf) FILTER (conf > 0), 4) AS confidence_avg FROM words GROUP BY ALL",
+    ),
     "nearest_match": (
         lambda s, d: zones.nearest_match(words(s, d), F.lit(200), F.lit(60), "^[A-Z]", ["doc_id", "page_no"]),
         f"""{W} SELECT doc_id, page_no, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY pow("left" - 200, 2) + pow(10 * (top - 60), 2), top, "left", text) k FROM words WHERE regexp_matches(text, '^[A-Z]')) WHERE k = 1""",

@@ -49,6 +49,15 @@ CHECKS = D.flags(
     ("vehicle_no_invalid", f"vehicle_no IS NOT NULL AND NOT regexp_full_match({D.strip('vehicle_no')}, '[A-Za-z0-9]+')"),
 )
 
+def _totals(s, d):
+    """Three batches: a total far off, one stated as so much a row, and one that cannot be read."""
+    b = derive.bills(s, d)
+    part = lambda k: b.where(F.col("bill_idx") % 3 == k)
+    near = F.concat(F.lit("Rs "), (F.count("*") * 150000).cast("string"))
+    first, last = R.batch_total(part(0), "1,000.00"), R.batch_total(part(2), "n.a.")
+    return first.unionByName(R.batch_total(part(1), part(1).agg(near.alias("t")).first()[0])).unionByName(last)
+
+
 QUERIES = {
     "bill_normalise": (lambda s, d: normalised(s, d)[0].select(*BILL_COLUMNS), f"WITH {D.NORM_BILLS} SELECT {', '.join(BILL_COLUMNS)} FROM nb"),
     "lr_normalise": (lambda s, d: normalised(s, d)[1].select(*RECEIPT_COLUMNS), f"WITH {D.NORM_RECEIPTS} SELECT {', '.join(RECEIPT_COLUMNS)} FROM nr"),
@@ -79,8 +88,10 @@ QUERIES = {
         + D.flags(("shipment_no_invalid", "true"), ("lr_date_invalid", f"NOT ({D.strip('lr_date')} <> '' AND {D.date_ok('lr_date')})"), ("amount_invalid", f"NOT {D.amount_ok('amount')}")) + " AS flags FROM bills",
     ),
     "batch_total": (
-        lambda s, d: R.batch_total(derive.bills(s, d), "1,000.00").withColumn("computed_total", F.round("computed_total", 0)).select("n_rows", "computed_total", "stated_total", "flagged"),
-        f"WITH {D.BILLS} SELECT count(*) AS n_rows, round(round(sum({D.to_float('amount')}), 2), 0) AS computed_total, 1000.0::DOUBLE AS stated_total, true AS flagged FROM bills",
+        lambda s, d: _totals(s, d),
+        f"""WITH {D.BILLS}, b AS (SELECT bill_idx % 3 AS part, {D.to_float('amount')} AS a FROM bills), t AS (SELECT part, count(*) AS n_rows, round(sum(a), 2) AS computed_total FROM b GROUP BY part)
+SELECT n_rows, computed_total, stated_total, round(computed_total - stated_total, 2) AS difference, coalesce(abs(round(computed_total - stated_total, 2)) > 1.0 * n_rows, true) AS flagged
+FROM (SELECT *, CASE part WHEN 0 THEN 1000.0 WHEN 1 THEN n_rows * 150000.0 END::DOUBLE AS stated_total FROM t)""",
     ),
     "sheet_names": (
         lambda s, d: P.sheet_names(derive.receipts(s, d)).select("lr_idx", "sheet"),

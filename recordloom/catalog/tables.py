@@ -37,6 +37,27 @@ sh AS (SELECT table_id, ca, cb, cc, count(*) n, avg(CAST({_NEAR} AS INT)) AS sha
 best AS (SELECT table_id, ca AS factor_a, cb AS factor_b, cc AS product, share FROM (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY share DESC, ca, cb, cc) k FROM sh WHERE share >= 0.7) WHERE k = 1)"""
 
 
+def _numbered(s, d):
+    """Every second row counts its columns; where the row's number is divisible by four one is blank."""
+    numbers = F.array(*[F.when((F.lit(k) == 5) & (F.col("row_idx") % 4 == 0), "").otherwise(str(k)) for k in range(1, 9)])
+    return rows(s, d).withColumn("cells", F.when(F.col("row_idx") % 2 == 0, numbers).otherwise(F.col("cells")))
+
+
+def _footed(s, d):
+    """Totals, dense rows with a spoilt serial, and sparse rows without one."""
+    c = lambda k: F.get("cells", F.lit(k))
+    none, k = F.lit(""), F.col("row_idx") % 5
+    kinds = F.when(k == 0, F.array(F.lit("Total"), c(4), none, none)).when(k == 1, F.concat(F.array(F.lit("x7")), F.slice("cells", 2, 99))).when(k == 2, F.array(none, c(1), c(2), none, none)).when(k == 3, F.array(none, c(1), c(2), c(3), none))
+    return rows(s, d).withColumn("cells", kinds.otherwise(F.col("cells")))
+
+
+def _sparse(s, d):
+    """Serials lost or spoilt, cells lost, and a long notice now and then."""
+    r = F.col("row_idx")
+    cell = lambda t, i: F.when(i == 0, F.when(r % 4 == 0, "").when(r % 4 == 1, "l7").otherwise(t)).when((i > 1) & (r % 3 == 0) & (i % 2 == 0), "").when((i == 6) & (r % 7 == 0), "notice " * 6).otherwise(t)
+    return rows(s, d).withColumn("cells", F.transform("cells", cell))
+
+
 def captions(s, d):
     texts = F.array(*[F.lit(c) for c in CAPTIONS])
     return cells(s, d).select("table_id", "col_idx").distinct().withColumn("caption", F.get(texts, F.col("col_idx")))
@@ -100,16 +121,19 @@ SELECT table_id, pos, CASE WHEN nth = 1 THEN name ELSE concat(name, '_', CASE WH
         f"{ROWS}, u AS (SELECT table_id, row_idx - 1 AS row_idx, {NF} AS nf FROM rws WHERE row_idx - 1 < 4 AND {NF} > 0 AND len(list_filter(cells, lambda t: regexp_matches(t, '[0-9]{{8}}'))) = 0 AND len(list_filter(cells, lambda t: len(t) > 25)) <= {NF} * 0.2), b AS (SELECT table_id, row_idx FROM (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY nf DESC, row_idx) k FROM u) WHERE k = 1) SELECT t.table_id, CAST(coalesce(b.row_idx, 0) AS BIGINT) AS caption_row FROM (SELECT DISTINCT table_id FROM rws) t LEFT JOIN b USING (table_id)",
     ),
     "column_number_rows": (
-        lambda s, d: tables.column_number_rows(rows(s, d).withColumn("cells", F.slice("cells", 1, 1)), rows(s, d).groupBy("table_id").agg(F.max("row_idx").alias("caption_row"))).select("table_id", F.array_join("numbers", ",").alias("numbers")),
-        f"{ROWS} SELECT table_id, CAST(max(row_idx) - 1 AS VARCHAR) AS numbers FROM rws GROUP BY table_id HAVING max(row_idx) > 1",
+        lambda s, d: tables.column_number_rows(_numbered(s, d), rows(s, d).groupBy("table_id").agg(F.max("row_idx").alias("caption_row"))).select("table_id", F.array_join("numbers", ",").alias("numbers")),
+        f"{ROWS}, mx AS (SELECT table_id, max(row_idx) AS m FROM rws GROUP BY table_id) SELECT table_id, CASE WHEN max(row_idx) % 4 = 0 THEN '1,2,3,4,6,7,8' ELSE '1,2,3,4,5,6,7,8' END AS numbers FROM rws JOIN mx USING (table_id) WHERE row_idx < m AND row_idx % 2 = 0 GROUP BY table_id",
     ),
     "footer_filter": (
-        lambda s, d: rows(s, d).withColumn("cells", F.when(F.col("row_idx") % 5 == 0, F.array(F.lit("Total"), F.get("cells", F.lit(4)), F.lit(""), F.lit(""))).otherwise(F.col("cells"))).where(tables.not_footer(F.col("cells"))).select("table_id", "row_idx"),
-        f"{ROWS} SELECT table_id, row_idx FROM rws WHERE row_idx % 5 <> 0",
+        lambda s, d: _footed(s, d).where(tables.not_footer(F.col("cells"))).select("table_id", "row_idx"),
+        f"{ROWS}, ft AS (SELECT table_id, row_idx, CASE row_idx % 5 WHEN 0 THEN ['Total', cells[5], '', ''] WHEN 1 THEN list_concat(['x7'], cells[2:]) WHEN 2 THEN ['', cells[2], cells[3], '', ''] WHEN 3 THEN ['', cells[2], cells[3], cells[4], ''] ELSE cells END AS c FROM rws), "
+        "o AS (SELECT *, c[2:] AS rest FROM ft) SELECT table_id, row_idx FROM o WHERE NOT ((regexp_matches(c[1], '[A-Za-z]') OR c[1] = '') AND NOT len(list_filter(rest, lambda t: t <> '')) > 0.5 * len(rest))",
     ),
     "data_row_filter": (
-        lambda s, d: rows(s, d).select("table_id", "row_idx", tables.bill_data_row(F.when(F.col("row_idx") % 4 == 0, "").when(F.col("row_idx") % 4 == 1, "l7").otherwise(F.get("cells", F.lit(0))), F.col("cells")).alias("bill_row"), tables.invoice_data_row(F.when(F.col("row_idx") % 4 == 0, "").otherwise(F.get("cells", F.lit(0))), F.col("cells")).alias("invoice_row")),
-        f"{ROWS} SELECT table_id, row_idx, row_idx % 4 <> 0 AS bill_row, true AS invoice_row FROM rws",
+        lambda s, d: _sparse(s, d).select("table_id", "row_idx", tables.bill_data_row(F.get("cells", F.lit(0)), F.col("cells")).alias("bill_row"), tables.invoice_data_row(F.get("cells", F.lit(0)), F.col("cells")).alias("invoice_row")),
+        f"{ROWS}, sp AS (SELECT table_id, row_idx, list_transform(range(1, 9), lambda i: CASE WHEN i = 1 THEN CASE row_idx % 4 WHEN 0 THEN '' WHEN 1 THEN 'l7' ELSE cells[1] END WHEN i > 2 AND row_idx % 3 = 0 AND i % 2 = 1 THEN '' WHEN i = 7 AND row_idx % 7 = 0 THEN repeat('notice ', 6) ELSE cells[i] END) AS c FROM rws), "
+        "f AS (SELECT *, trim(c[1]) AS s, len(list_filter(c, lambda t: t <> '')) >= 0.6 * len(c) AS dense FROM sp) "
+        "SELECT table_id, row_idx, regexp_full_match(s, '[0-9]+') OR (s <> '' AND dense) AS bill_row, len(list_filter(c, lambda t: len(t) > 40)) = 0 AND (regexp_full_match(s, '[0-9]+') OR dense) AS invoice_row FROM f",
     ),
     "caption_projection": (
         lambda s, d: rows(s, d).select("table_id", "row_idx", X.blank_to_null(F.get("cells", F.lit(7))).alias("mark"), X.blank_to_null(F.get("cells", F.lit(11))).alias("absent")),

@@ -87,10 +87,10 @@ def bill_header(tabled: DataFrame) -> DataFrame:
     return found.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("header"))
 
 
-def bill_flow(words: DataFrame, rules: DataFrame, sizes: DataFrame, configured: DataFrame | None = None) -> DataFrame:
+def bill_flow(words: DataFrame, rules: DataFrame, sizes: DataFrame, configured: DataFrame | None = None, captions: DataFrame | None = None) -> DataFrame:
     """E2 with E3, U1: (doc_id, row_idx, fields, header, column_numbers) of bills that run over any number of pages.
 
-    The captions, and what the columns are, come from the first page with a table; later pages repeat neither. Rows keep their number in the whole bill. A bill
+    The captions (or those read again: table_id, col_idx, caption), and what the columns are, come from the first page with a table; later pages repeat neither. Rows keep their number in the whole bill. A bill
     without data rows has none here; `bill_header` has its header.
     """
     tabled = written(page_tables(pages.gathered(words=words, rules=rules, sizes=sizes)))
@@ -98,7 +98,7 @@ def bill_flow(words: DataFrame, rules: DataFrame, sizes: DataFrame, configured:
     head = rows.where("not carried").select("table_id", "row_idx", "cells")
     at = tables.caption_rows(head)
     numbers = tables.column_number_rows(head, at)
-    out = extract.bill_rows(_cells(rows), configured).withColumnRenamed("table_id", "doc_id")
+    out = extract.bill_rows(_cells(rows), configured, captions).withColumnRenamed("table_id", "doc_id")
     return out.join(bill_header(tabled), "doc_id", "left").join(numbers.select(F.col("table_id").alias("doc_id"), F.col("numbers").alias("column_numbers")), "doc_id", "left")
 
 

@@ -38,16 +38,20 @@ WEIGHTS = ("lorry_tare_wt", "net_wt", "gross_wt")
 GOODS = ("packages", "description_of_product", "net_wt_2", "gross_wt_2", "amount")
 
 
-def _named_rows(cells: DataFrame, search: int, configured: DataFrame | None) -> DataFrame:
+def _named_rows(cells: DataFrame, search: int, configured: DataFrame | None, reread: DataFrame | None = None) -> DataFrame:
     """(table_id, row_idx, cells, fields) of the rows under each table's caption row, columns named from captions, content or configuration.
 
-    With a column `carried`, rows for which it holds are named by the others: they neither have the captions nor decide what a column is.
+    With a column `carried`, rows for which it holds are named by the others: they neither have the captions nor decide what a column is. Captions that were read again
+    (table_id, col_idx, caption) take the place of those in the cells.
     """
     own = cells.where("not carried") if "carried" in cells.columns else cells
     at = tables.caption_rows(tables.rows_of(own), search)
     c = cells.join(at, "table_id")
     body = c.where(F.col("row_idx") > F.col("caption_row")).drop("caption_row")
     captions = c.where(F.col("row_idx") == F.col("caption_row")).select("table_id", "col_idx", F.col("text").alias("caption"))
+    if reread is not None:
+        again = reread.select("table_id", "col_idx", F.nullif(X.strip("caption"), F.lit("")).alias("_again"))
+        captions = captions.join(again, ["table_id", "col_idx"], "left").select("table_id", "col_idx", F.coalesce("_again", "caption").alias("caption"))
     rows = tables.rows_of(body)
     kept = rows.where(tables.not_footer(F.col("cells"))).select("table_id", "row_idx")
     typed = body.where("not carried") if "carried" in cells.columns else body
@@ -62,9 +66,9 @@ def _serial() -> Column:
     return F.coalesce(F.col("fields")["sr_no"], F.when(~F.map_contains_key("fields", "sr_no"), F.get("cells", F.lit(0))), F.lit(""))
 
 
-def bill_rows(cells: DataFrame, configured: DataFrame | None = None) -> DataFrame:
-    """(table_id, row_idx, fields) of a bill's data rows; rows run over the table's pages in order."""
-    rows = _named_rows(cells, 4, configured)
+def bill_rows(cells: DataFrame, configured: DataFrame | None = None, captions: DataFrame | None = None) -> DataFrame:
+    """(table_id, row_idx, fields) of a bill's data rows; rows run over the table's pages in order. captions: those that were read again, if any."""
+    rows = _named_rows(cells, 4, configured, captions)
     return rows.where(tables.bill_data_row(_serial(), F.col("cells"))).select("table_id", "row_idx", "fields")
 
 
@@ -147,3 +151,12 @@ def shaped(value: Column | str, pattern: str) -> Column:
 def mean_positive_confidence(words: DataFrame, keys: list[str]) -> DataFrame:
     """A21."""
     return words.groupBy(*keys).agg(F.round(F.avg(F.when(F.col("conf") > 0, F.col("conf"))), 4).alias("confidence_avg"))
+
+
+#: What a job's record keeps to itself.
+PRIVATE = ("combined_path", "bill_image_path", "bill_ocr")
+
+
+def public_jobs(jobs: DataFrame) -> DataFrame:
+    """job records as a client sees them, without paths and readings."""
+    return jobs.drop(*PRIVATE)

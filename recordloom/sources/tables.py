@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 WORD_BOXES = "doc_id long, page_no int, pass int, block int, par int, line int, word int, left int, top int, width int, height int, conf double, text string"
 CELLS = "table_id long, row_idx long, col_idx int, text string"
+CAPTIONS = "table_id long, col_idx int, caption string"
 FORMATS = ("parquet", "orc", "json", "csv")
 
 
@@ -20,6 +21,10 @@ class OcrProvider(Protocol):
 
     def cells(self) -> DataFrame: ...
 
+    def captions(self) -> DataFrame:
+        """Captions that were read again, magnified; tables without any have no rows."""
+        ...
+
     def records(self, kind: str) -> DataFrame: ...
 
 
@@ -45,6 +50,9 @@ class TableProvider:
     def cells(self) -> DataFrame:
         return self._read("cells", CELLS)
 
+    def captions(self) -> DataFrame:
+        return self._read("captions", CAPTIONS)
+
     def records(self, kind: str) -> DataFrame:
         return self._read(kind)
 
