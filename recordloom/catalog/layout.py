@@ -93,6 +93,14 @@ def _bands(s, d):
     return o.withColumn("text", F.expr("CASE page_no % 7 WHEN 0 THEN 'TAX INVOICE' WHEN 1 THEN concat('Freight Invoice ', page_no) WHEN 2 THEN concat('tax invoice ', repeat('z ', 60)) WHEN 3 THEN '' ELSE 'zzzzq' END"))
 
 
+#: Words as codes in brackets and, here and there, ticks.
+_TICKED = "CASE WHEN word % 4 = 0 AND (line + page_no) % 3 = 0 THEN '✓' WHEN (word + page_no) % 5 <> 0 THEN concat('[P', 10 + seg_id, ']') ELSE text END"
+
+
+def _ticked(s, d):
+    return segments(s, d).withColumn("text", F.expr(_TICKED))
+
+
 QUERIES = {
     "box_geometry": (
         lambda s, d: layout.geometry(words(s, d)).select("doc_id", "page_no", "line", "word", "right", "bottom", "cx", "cy"),
@@ -168,13 +176,14 @@ SELECT c.c_custkey, CAST(CASE WHEN g.l IS NULL THEN greatest(0, x - 150) ELSE gr
         f"""{W} SELECT doc_id, page_no, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY pow("left" - 200, 2) + pow(10 * (top - 60), 2), top, "left", text) k FROM words WHERE regexp_matches(text, '^[A-Z]')) WHERE k = 1""",
     ),
     "nearest_tick": (
-        lambda s, d: layout.nearest_tick(
-            segments(s, d).where("word % 4 = 0").selectExpr("doc_id", "page_no", "seg_id AS tick_id", "cx", "cy", "unit"),
-            segments(s, d).where("word % 4 <> 0").selectExpr("doc_id", "page_no", "text AS code", "cx", "cy", "width"),
-        ),
-        f"""{READABLE}, u AS (SELECT doc_id, page_no, CAST(list_sort(list(height))[len(list(height)) // 2 + 1] AS DOUBLE) AS unit FROM rd GROUP BY ALL), sg AS (SELECT rd.*, unit, "left" + width / 2 AS cx, top + height / 2 AS cy, line * 8 + word AS seg_id FROM rd JOIN u USING (doc_id, page_no)),
-cd AS (SELECT *, count(*) OVER (PARTITION BY doc_id, page_no, floor(cy)) AS band FROM sg WHERE word % 4 <> 0), nr AS (SELECT t.doc_id, t.page_no, t.seg_id, c.text AS code, row_number() OVER (PARTITION BY t.doc_id, t.page_no, t.seg_id ORDER BY abs(t.cx - c.cx), c.cx, c.text) k FROM sg t JOIN cd c ON t.doc_id = c.doc_id AND t.page_no = c.page_no AND band >= 3 AND abs(t.cy - c.cy) <= 2 * t.unit AND abs(t.cx - c.cx) <= 1.7 * t.unit + c.width WHERE t.word % 4 = 0)
-SELECT doc_id, page_no, code FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY seg_id) r FROM nr WHERE k = 1) WHERE r = 1""",
+        lambda s, d: layout.nearest_tick(_ticked(s, d)),
+        f"""WITH RECURSIVE {SEGMENTS}, tk AS (SELECT * REPLACE ({_TICKED} AS text) FROM sg), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY cy, "left", text) AS i FROM tk),
+rb AS (SELECT doc_id, page_no, seg_id, i, 0 AS row_no, cy AS anchor FROM o WHERE i = 1 UNION ALL SELECT o.doc_id, o.page_no, o.seg_id, o.i, row_no + CASE WHEN abs(o.cy - anchor) > 0.7 * unit THEN 1 ELSE 0 END, CASE WHEN abs(o.cy - anchor) > 0.7 * unit THEN o.cy ELSE anchor END FROM rb JOIN o ON o.doc_id = rb.doc_id AND o.page_no = rb.page_no AND o.i = rb.i + 1),
+cd AS (SELECT tk.*, row_no, trim(text, '[]{{}}()|_.:; ') AS code, count(*) OVER r AS n, first_value(cy) OVER (r ORDER BY top, "left", seg_id) AS row_cy, row_number() OVER (r ORDER BY top, "left", seg_id) AS k FROM tk JOIN rb USING (doc_id, page_no, seg_id) WHERE regexp_matches(upper(trim(text, '[]{{}}()|_.:; ')), '^[A-Z0-9]{{2,5}}$') AND regexp_matches(trim(text, '[]{{}}()|_.:; '), '[0-9]') WINDOW r AS (PARTITION BY doc_id, page_no, row_no)),
+op AS (SELECT doc_id, page_no, row_no, string_agg(code, ' ' ORDER BY k) AS options FROM cd WHERE n >= 3 GROUP BY ALL),
+nr AS (SELECT c.doc_id, c.page_no, c.row_no, t.top, t."left", t.seg_id, c.code, abs(c.cx - t.cx) AS far, c.width, c.unit, row_number() OVER (PARTITION BY c.doc_id, c.page_no, c.row_no, t.seg_id ORDER BY abs(c.cx - t.cx), c.k) AS nth FROM cd c JOIN tk t ON c.doc_id = t.doc_id AND c.page_no = t.page_no AND t.text = '✓' AND abs(t.cy - c.row_cy) <= 2 * c.unit WHERE n >= 3),
+ch AS (SELECT doc_id, page_no, row_no, arg_min(code, (top, "left", seg_id)) AS selected FROM nr WHERE nth = 1 AND far <= 1.7 * unit + width GROUP BY ALL)
+SELECT doc_id, page_no, row_no, selected, options FROM op LEFT JOIN ch USING (doc_id, page_no, row_no)""",
     ),
     "gutter_labels": (lambda s, d: layout.labels(segments(s, d)).where("is_label").select("doc_id", "page_no", "seg_id"), f"{LABELS} SELECT doc_id, page_no, seg_id FROM lb WHERE is_label"),
     "row_bands": (

@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from recordloom.functions import text as X
 from recordloom.functions import validators as V
+from recordloom.functions.bind import bind
 
 PAGE = ["doc_id", "page_no"]
 PHRASE = "x1 int, y1 int, x2 int, y2 int, confidence double, text string"
@@ -417,18 +418,26 @@ def stamps(segments: DataFrame, least: int = STAMP_LEAST, size: float = STAMP_BO
     return per_page(segments.withColumn("key", X.field_key("text")), fold, "stamp_no int, name string, members array<string>")
 
 
-def nearest_tick(ticks: DataFrame, codes: DataFrame) -> DataFrame:
-    """(doc_id, page_no, code): per page the code nearest to its first tick that is near enough: two units in height, 1.7 units and the code's width aside.
+def nearest_tick(segments: DataFrame) -> DataFrame:
+    """(doc_id, page_no, row_no, selected, options): for each row of a page with three codes or more the one that is ticked, null if none is, and all of them.
 
-    ticks: tick_id, cx, cy, unit. codes: code, cx, cy, width. Rows of fewer than three codes are no options.
+    A code has two to five letters and digits, one digit at least, once brackets and points around it are off. The first tick of the page, in reading order, counts that
+    is within two units of the row and no farther from its nearest code than 1.7 units and that code's width. Rows are those of `row_bands`; a row's codes and a page's
+    ticks meet as arrays, so no pairs are made. segments: as `row_bands` takes them, with top, cx, width and seg_id.
     """
-    c = codes.withColumn("row", F.floor("cy"))
-    rows = c.groupBy(*PAGE, "row").count().where(F.col("count") >= CODES_LEAST).drop("count")
-    c = c.join(rows, [*PAGE, "row"]).select(*PAGE, "code", F.col("cx").alias("c_cx"), F.col("cy").alias("c_cy"), F.col("width").alias("c_width"))
-    far = F.abs(F.col("cx") - F.col("c_cx"))
-    near = ticks.join(c, PAGE).where((F.abs(F.col("cy") - F.col("c_cy")) <= TICK_ROWS * F.col("unit")) & (far <= TICK_ASIDE * F.col("unit") + F.col("c_width")))
-    per_tick = near.groupBy(*PAGE, "tick_id").agg(F.min_by("code", F.struct(far.alias("far"), "c_cx", "code")).alias("code"))
-    return per_tick.groupBy(*PAGE).agg(F.min_by("code", "tick_id").alias("code"))
+    rows = row_bands(segments.withColumn("_code", F.trim(F.col("text"), F.lit(CODE_EDGES + " "))))
+    entry = F.struct("top", "left", "seg_id", "cx", "cy", "width", F.col("_code").alias("code"), "unit")
+    codes = rows.where(F.col("_code").rlike("(?i)" + CODE)).groupBy(*PAGE, "row_no").agg(F.array_sort(F.collect_list(entry)).alias("codes")).where(F.size("codes") >= CODES_LEAST)
+    ticks = segments.where(X.strip("text").isin(*TICKS)).groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("top", "left", "seg_id", "cx", "cy"))).alias("ticks"))
+    both = codes.join(ticks, PAGE, "left").withColumn("_u", F.get("codes", F.lit(0))["unit"])
+
+    def reach(t: Column) -> Column:
+        near = F.array_min(F.transform("codes", lambda c, i: F.struct(F.abs(c["cx"] - t["cx"]).alias("far"), i.alias("i"), c["width"].alias("width"), c["code"].alias("code"))))
+        level = F.abs(t["cy"] - F.get("codes", F.lit(0))["cy"]) <= SAME_ROW * F.col("_u") * TICK_ROWS
+        return bind(near, lambda n: F.when(level & (n["far"] <= TICK_ASIDE * F.col("_u") + n["width"]), n["code"]))
+
+    selected = F.get(F.filter(F.transform(F.coalesce("ticks", F.array().cast(ticks.schema["ticks"].dataType)), reach), lambda c: c.isNotNull()), F.lit(0))
+    return both.select(*PAGE, "row_no", selected.alias("selected"), F.array_join(F.transform("codes", lambda c: c["code"]), " ").alias("options"))
 
 
 def zone_text(words: DataFrame, keys: list[str]) -> DataFrame:
