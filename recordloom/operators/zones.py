@@ -130,6 +130,12 @@ def acknowledgement(words: DataFrame, keys: list[str], lines: int = 6, row_lines
     return cells.select(*keys, "field", F.col("c.left").cast("double").alias("x1"), (F.col("c.top") + F.col("c.height")).cast("double").alias("y1"), F.coalesce("_until", F.col("c.left") + 4 * F.col("c.width")).cast("double").alias("x2"), (F.col("c.top") + F.col("c.height") + F.col("c.row")).cast("double").alias("y2"))
 
 
+def nearest_right(boxes: Column, x: Column, y: Column) -> Column:
+    """Of the boxes that begin right of x in the row of y the nearest."""
+    right = F.filter(boxes, lambda b: (b["x1"] >= x) & (b["y1"] <= y) & (y <= b["y2"]))
+    return F.array_min(F.transform(right, lambda b, i: F.struct((b["x1"] - x).alias("d"), i.alias("i"), b.alias("b"))))["b"]
+
+
 def _whole(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column) -> Column:
     """A crop on whole pixels inside the page."""
     cut = lambda c, most: F.floor(F.least(F.greatest(c.cast("double"), F.lit(0.0)), most.cast("double"))).cast("double")
