@@ -175,7 +175,7 @@ def vote(book: dict, code: bytes, heard: bytes, votes: int) -> list[tuple[int, i
     n = hi - lo
     cells, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
     ends = np.searchsorted(np.cumsum(n), np.arange(HITS, int(n.sum()) + HITS, HITS))  # frames in runs of about HITS pairs
-    for a, b in zip([0, *(ends[:-1] + 1)], np.minimum(ends + 1, len(n)), strict=True):
+    for a, b in zip(np.concatenate([[0], ends + 1])[: len(ends)], np.minimum(ends + 1, len(n)), strict=True):  # none if nothing is equal
         m = n[a:b]
         hits = np.repeat(lo[a:b] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
         offset = book["frames"][hits] - np.repeat(at[a:b], m)

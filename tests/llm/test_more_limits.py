@@ -46,6 +46,7 @@ def test_votes_of_a_held_tone(monkeypatch):
     book = chroma.query_book([("q", code[: 4 * 2000], heard[:2000])])
     tracemalloc.start()
     assert chroma.vote(book, code, heard, 8) == [(0, -18_000, 2000)]
+    assert chroma.vote(book, np.full(9, 8, np.uint32).tobytes(), np.ones(9, np.uint8).tobytes(), 1) == []
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 200 << 20
