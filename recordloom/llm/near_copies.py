@@ -1,7 +1,8 @@
-"""Near copies by shingles of words: MinHash bands find the texts that may have any, prefixes of rare shingles propose pairs, sets decide.
+"""Near copies by shingles of words: SimHash balls (op 10) propose pairs first, MinHash bands and prefixes of rare shingles what lies beyond them, sets decide.
 
 Two texts are near copies if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more. Texts of one set are
-one node. Nodes that agree in all rows of a band with another one are looked at further; at a similarity of exactly 0.8 a pair agrees in none of the
+one node. Each has a SimHash fingerprint of its shingles; fingerprints at most two bits apart meet in balls of half that radius, as in op 10, and an exact comparison
+follows. A ball's links are true but not all: pairs of that similarity may differ in 10 bits. So nodes that agree in all rows of a band with another one are looked at further; at a similarity of exactly 0.8 a pair agrees in none of the
 bands with a probability of (1 - 0.8^ROWS)^BANDS = 6e-7, at higher ones with less. Of these nodes the shingles are ordered by how few
 nodes have them. A pair of that similarity has its first common shingle so early in both orders that what follows suffices for the
 overlap: such shingles are a node's keys, and nodes of one key are candidates. A node with many shingles of its own, as texts
@@ -21,7 +22,8 @@ from pyspark.sql import types as T
 
 from recordloom.llm.common import SOLID, bounded_batches, buffers, checkpointed, mix, release, word_hashes, word_spans
 from recordloom.llm.graph import components
-from recordloom.llm.simhash import keep_first, keyed, with_owner
+from recordloom.llm.simhash import keep_first, keyed, majority, with_owner
+from recordloom.llm.simhash import links as ball_pairs
 
 WORDS, PERCENT = 5, 80
 BANDS, ROWS = 36, 5
@@ -78,16 +80,16 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def marks(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, n, bands): the set of each document, its size and its bands."""
+    """(doc_id, node, n, bands, fp): the set of each document, its size, its bands and its fingerprint."""
     bounded_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
             sets = shingle_sets(*buffers(b.column(1)))
-            cols = [b.column(0), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), lists([bands(s) for s in sets])]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "n", "bands"])
+            cols = [b.column(0), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), lists([bands(s) for s in sets]), pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "n", "bands", "fp"])
 
-    kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("fp", T.LongType())])
     return _texts(docs).mapInArrow(run, kind)
 
 
@@ -155,22 +157,44 @@ def prefix_keys(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     return keys.join(least, "key").where((100 + percent) * F.col("left") >= percent * (F.col("n") + F.col("least"))).select("key", "node", "n", "left")
 
 
+def ball_links(nodes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame | None:
+    """(a, b): of nodes (node, fp, first) whose fingerprints are at most two bits apart the links that sets confirm; None without such nodes.
+
+    One node stands for a fingerprint: the others of it are compared with that one, and those of a ball with each other along it.
+    """
+    stands = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("component_id"), F.count("*").alias("n")))
+    total = stands.agg(F.sum("n")).first()[0] or 0  # one number
+    same = with_owner(nodes.select("node", "fp"), stands, "fp", total).select(F.col("component_id").alias("a"), F.col("node").alias("b"))
+    of = lambda k: stands.select(F.col("fp").alias(k), F.col("component_id").alias(f"{k}_node"))
+    near = ball_pairs(stands.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    pairs = checkpointed(same.unionByName(near).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    release(docs.sparkSession)
+    if not pairs.limit(1).count():
+        return None
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = checkpointed(sets_of(docs, nodes.join(asked, "node", "left_semi").select(F.col("first").alias("_id"))))
+    found = checkpointed(alike(pairs, sets, percent))
+    release(docs.sparkSession)
+    return found
+
+
 def set_links(nodes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame | None:
-    """(a, b): links between nodes (node, n, bands, first), enough to connect all that keys link; None without candidates."""
+    """(a, b): links between nodes (node, n, bands, fp, first), enough to connect all that balls and keys link; None without candidates."""
+    found = ball_links(nodes, docs, percent)
     rows = nodes.select("node", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").count().where("count > 1").select("key")
     mates = checkpointed(rows.join(shared, "key", "left_semi").select("node").distinct())
     if not mates.limit(1).count():
-        return None
+        return found
     sets = checkpointed(sets_of(docs, nodes.join(mates, "node", "left_semi").select(F.col("first").alias("_id"))))
     members = checkpointed(prefix_keys(sets, percent))
     release(docs.sparkSession)
     total = members.count()
     if not total:
-        return None
+        return found
     bound = lambda n, left, m: (100 + percent) * F.col(left) >= percent * (F.col(n) + F.col(m))
     fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & bound("n", "left", "m") & bound("n", "other_left", "m")
-    found, before, nth = None, None, 0
+    before, nth = None, 0
     while True:
         roots = members.withColumn("root", F.col("node")) if found is None else members.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
         roots = checkpointed(roots.select("key", "node", "n", "left", "root"))
@@ -214,7 +238,7 @@ def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     empty table gives no rows.
     """
     marked = checkpointed(marks(docs))
-    nodes = checkpointed(marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    nodes = checkpointed(marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("fp").alias("fp")))
     found = set_links(nodes, docs, percent)
     if found is None:
         owner = nodes.select("node", F.col("copies").alias("n"), F.col("first").alias("component_id"))

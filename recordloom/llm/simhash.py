@@ -47,6 +47,14 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The unsigned 64-bit SimHash of unsigned hashes: a bit is 1 if it is set in over half of them; 0 without any."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), CHUNK):
+        ones += np.unpackbits(np.ascontiguousarray(hashes[i : i + CHUNK]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long. Null text has no words."""
     bounded_batches(docs.sparkSession)
