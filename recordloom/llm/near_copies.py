@@ -157,10 +157,10 @@ def prefix_keys(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     return keys.join(least, "key").where((100 + percent) * F.col("left") >= percent * (F.col("n") + F.col("least"))).select("key", "node", "n", "left")
 
 
-def ball_links(nodes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame | None:
-    """(a, b): of nodes (node, fp, first) whose fingerprints are at most two bits apart the links that sets confirm; None without such nodes.
+def near_fingerprints(nodes: DataFrame) -> DataFrame:
+    """(a, b), a < b: pairs of nodes (node, fp) whose fingerprints are at most two bits apart, enough to connect all such nodes.
 
-    One node stands for a fingerprint: the others of it are compared with that one, and those of a ball with each other along it.
+    One node stands for a fingerprint: the others of it are paired with that one, and those of a ball with each other along it.
     """
     stands = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("component_id"), F.count("*").alias("n")))
     total = stands.agg(F.sum("n")).first()[0] or 0  # one number
@@ -168,26 +168,45 @@ def ball_links(nodes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> Dat
     of = lambda k: stands.select(F.col("fp").alias(k), F.col("component_id").alias(f"{k}_node"))
     near = ball_pairs(stands.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     pairs = checkpointed(same.unionByName(near).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    release(docs.sparkSession)
-    if not pairs.limit(1).count():
-        return None
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    release(nodes.sparkSession)
+    return pairs
+
+
+def _sets_of_nodes(asked: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """`sets_of` the nodes asked for (node), written; what their texts were moved by is let go."""
     sets = checkpointed(sets_of(docs, nodes.join(asked, "node", "left_semi").select(F.col("first").alias("_id"))))
-    found = checkpointed(alike(pairs, sets, percent))
     release(docs.sparkSession)
-    return found
+    return sets
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+
+def ball_links(nodes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame | None:
+    """(a, b): of nodes (node, fp, first) whose fingerprints are at most two bits apart the links that sets confirm; None without such nodes."""
+    pairs = near_fingerprints(nodes)
+    return checkpointed(alike(pairs, _sets_of_nodes(_ends(pairs), nodes, docs), percent)) if pairs.limit(1).count() else None
 
 
 def set_links(nodes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame | None:
-    """(a, b): links between nodes (node, n, bands, fp, first), enough to connect all that balls and keys link; None without candidates."""
-    found = ball_links(nodes, docs, percent)
+    """(a, b): links between nodes (node, n, bands, fp, first), enough to connect all that balls and keys link; None without candidates.
+
+    Texts move once: the sets of all nodes that balls or bands propose are made together.
+    """
+    balls = near_fingerprints(nodes)
     rows = nodes.select("node", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").count().where("count > 1").select("key")
     mates = checkpointed(rows.join(shared, "key", "left_semi").select("node").distinct())
-    if not mates.limit(1).count():
+    close, near = bool(balls.limit(1).count()), bool(mates.limit(1).count())
+    if not close and not near:
+        return None
+    sets = _sets_of_nodes(mates.union(_ends(balls)).distinct(), nodes, docs)
+    found = checkpointed(alike(balls, sets, percent)) if close else None
+    release(docs.sparkSession)
+    if not near:
         return found
-    sets = checkpointed(sets_of(docs, nodes.join(mates, "node", "left_semi").select(F.col("first").alias("_id"))))
-    members = checkpointed(prefix_keys(sets, percent))
+    members = checkpointed(prefix_keys(sets.join(mates, "node", "left_semi"), percent))
     release(docs.sparkSession)
     total = members.count()
     if not total:

@@ -21,3 +21,13 @@ def test_balls_propose_and_sets_decide(spark):
     found = near_copies.ball_links(nodes.withColumn("fp", F.lit(7).cast("long")), docs)
     assert {frozenset((first[r.a], first[r.b])) for r in found.collect()} <= {frozenset((0, 1))}
     assert sorted(r.doc_id for r in near_copies.keep_one(docs).collect()) == [0, 2, 3, 5]
+
+
+def test_texts_move_once_for_balls_and_bands(spark, monkeypatch):
+    rng, asked, own = random.Random(4), [], near_copies.sets_of
+    monkeypatch.setattr(near_copies, "sets_of", lambda docs, ids: asked.append(ids.count()) or own(docs, ids))
+    base, other = (["w" + str(rng.randrange(100_000)) for _ in range(n)] for n in (9000, 100))
+    rows = [(0, " ".join(base)), (1, " ".join([*base[:-1], "x"])), (2, " ".join(other)), (3, " ".join([*other[:-3], "x", "y", "z"])), (4, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.keep_one(docs).collect()) == [0, 2, 4]
+    assert asked == [4]  # balls have two of them, bands all four: each set is made once
