@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordloom.llm.common import SOLID, bounded_batches, buffers, checkpointed, mix, release, word_hashes, word_spans
-from recordloom.llm.graph import components
+from recordloom.llm.graph import compact, components
 from recordloom.llm.simhash import keep_first, keyed, majority, with_owner
 from recordloom.llm.simhash import links as ball_pairs
 
@@ -211,20 +211,21 @@ def set_links(nodes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> Data
     total = members.count()
     if not total:
         return found
+    members = compact(members, total)
     bound = lambda n, left, m: (100 + percent) * F.col(left) >= percent * (F.col(n) + F.col(m))
     fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & bound("n", "left", "m") & bound("n", "other_left", "m")
     before, nth = None, 0
     while True:
         roots = members.withColumn("root", F.col("node")) if found is None else members.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        roots = checkpointed(roots.select("key", "node", "n", "left", "root"))
+        roots = compact(roots.select("key", "node", "n", "left", "root"), total)
         sizes = roots.groupBy("key", "root").agg(F.count("*").alias("size"), F.min("n").alias("least"))
         largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", F.xxhash64("root", "key"))).alias("big"), F.max("size").alias("most"), F.sum("size").alias("all"), F.count("*").alias("parts"))
-        largest = checkpointed(largest.where("parts > 1"))
+        largest = compact(largest.where("parts > 1"), total)
         cost = largest.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
         last = cost <= EACH * total or (before is not None and cost > before / 4)
         if last:  # every node outside the largest component against all that it is not linked to
-            whole = checkpointed(roots.select("node", "root").distinct())
-            large = checkpointed(whole.groupBy("root").count().where(F.col("count") > BLOCK).select("root"))
+            whole = compact(roots.select("node", "root").distinct(), total)
+            large = compact(whole.groupBy("root").count().where(F.col("count") > BLOCK).select("root"), total // BLOCK)
             outside = roots.join(largest.select("key", "big"), "key").where("root <> big")
             meets = roots.join(large, "root", "left_anti").select("key", F.col("node").alias("other_node"), F.col("n").alias("m"), F.col("left").alias("other_left"), F.col("root").alias("other"))
             pairs = outside.join(meets, "key").where(fits & (F.col("root") != F.col("other")) & ((F.col("other") == F.col("big")) | (F.col("node") < F.col("other_node"))))
