@@ -22,35 +22,49 @@ def _spanning(rules: Column, axis: str, begin: Column, end: Column, share: float
     return F.array_distinct(F.array_sort(F.transform(F.filter(rules, lambda r: (r["axis"] == axis) & along(r)), lambda r: r["at"])))
 
 
+def _ends(places: Column) -> Column:
+    return F.struct(F.array_min(places).alias("a"), F.array_max(places).alias("b"))
+
+
+def _between(h: Column, i: Column, share: float) -> Column:
+    """The upright rules that run along two bands, from the i-th rule across."""
+    return bind(F.struct(F.get(h, i).alias("a"), F.get(h, i + 2).alias("b")), lambda e: _spanning(F.col("rules"), "v", e["a"], e["b"], share))
+
+
 def cover_pairs(page: DataFrame) -> DataFrame:
     """(doc_id, idx, label, value): both halves of each band between successive rules of a form's first page, left and right of its divider.
 
     The divider is the first rule inside the page's middle that runs through two bands; the page's own borders run through nearly all of them. A page with fewer than
     three rules across or two borders, or without a divider, has no rows.
     """
-    p = page.withColumn("_h", pages.lines(F.col("rules"), "h"))
-    p = p.withColumn("_edges", _spanning(F.col("rules"), "v", F.array_min("_h"), F.array_max("_h"), 0.7)).where((F.size("_h") >= 3) & (F.size("_edges") >= 2))
-    bands = F.transform(F.sequence(F.lit(0), F.size("_h") - 3), lambda i: _spanning(F.col("rules"), "v", F.get("_h", i), F.get("_h", i + 2), 0.7))
-    p = p.withColumn("_bands", bands).withColumn("_d", tables.column_divider(F.col("_bands"), F.col("_edges"), F.col("width"))).where("_d is not null")
-    half = lambda a, b: F.transform(pages.grid(F.col("words"), F.col("_h"), F.array(a, b)), lambda r: F.get(r, F.lit(0)))
-    p = p.withColumns({"label": half(F.array_min("_edges") + CELL_MARGIN, F.col("_d.divider")), "value": half(F.col("_d.divider") + CELL_MARGIN, F.col("_d.right"))})
-    return p.select("doc_id", F.posexplode(F.arrays_zip("label", "value")).alias("idx", "z")).select("doc_id", "idx", "z.label", "z.value")
+    none = F.lit(None).cast("array<struct<label: string, value: string>>")
+    half = lambda h, a, b: F.transform(pages.grid(F.col("words"), h, F.array(a, b)), lambda r: F.get(r, F.lit(0)))
+
+    def read(h: Column, edges: Column) -> Column:
+        bands = F.transform(F.sequence(F.lit(0), F.size(h) - 3), lambda i: _between(h, i, 0.7))
+        found = bind(bands, lambda bs: tables.column_divider(bs, edges, F.col("width")))
+        zipped = lambda d: F.zip_with(half(h, F.array_min(edges) + CELL_MARGIN, d["divider"]), half(h, d["divider"] + CELL_MARGIN, d["right"]), lambda x, y: F.struct(x.alias("label"), y.alias("value")))
+        return bind(found, lambda d: F.when(d.isNotNull(), zipped(d)).otherwise(none))
+
+    ruled = lambda h: F.when(F.size(h) >= 3, bind(bind(_ends(h), lambda e: _spanning(F.col("rules"), "v", e["a"], e["b"], 0.7)), lambda edges: F.when(F.size(edges) >= 2, read(h, edges)).otherwise(none))).otherwise(none)
+    # one expression, each part bound where it is made, and an outer explode: no filter has it computed once more
+    return page.select("doc_id", F.posexplode_outer(bind(pages.lines(F.col("rules"), "h"), ruled)).alias("idx", "z")).where("idx is not null").select("doc_id", "idx", "z.label", "z.value")
 
 
-def barcode_texts(page: DataFrame, left: int = 20, wide: float = 1.7, tall: float = 0.9) -> DataFrame:
-    """(doc_id, text): what is printed under a page's bars (the largest box of kind `barcode`)."""
+def barcode_text(left: int = 20, wide: float = 1.7, tall: float = 0.9) -> Column:
+    """What is printed under a page's bars (the largest box of kind `barcode`); null without."""
     area = lambda b: (b["x2"] - b["x1"]) * (b["y2"] - b["y1"])
     best = F.array_max(F.transform(F.filter("boxes", lambda b: b["kind"] == "barcode"), lambda b: F.struct(area(b).alias("area"), b.alias("b"))))["b"]
     under = bind(best, lambda b: pages.zone(b["x1"] - left, b["y2"], b["x1"] + wide * (b["x2"] - b["x1"]), b["y2"] + tall * (b["y2"] - b["y1"])))
-    return page.select("doc_id", pages.text_of(pages.within(F.col("words"), under)).alias("text")).where("text is not null")
+    return pages.text_of(pages.within(F.col("words"), under))
 
 
 def cover_flow(words: DataFrame, rules: DataFrame, boxes: DataFrame, sizes: DataFrame) -> DataFrame:
     """(doc_id and nine fields) of covers, from the words and rules of each document's page 0; one shuffle brings a page together. What is not found is null."""
     first = {n: df.where("page_no = 0") for n, df in (("words", words), ("rules", rules), ("boxes", boxes), ("sizes", sizes))}
     page = written(pages.gathered(**first))
-    found = extract.cover_records(written(cover_pairs(page)), barcode_texts(page))
-    return page.select("doc_id").join(found.drop("barcode_number"), "doc_id", "left").join(barcode_texts(page).select("doc_id", X.barcode("text").alias("barcode_number")), "doc_id", "left")
+    found = extract.cover_records(written(cover_pairs(page)))
+    return page.select("doc_id", bind(barcode_text(), lambda t: F.when(t.isNotNull(), X.barcode(t))).alias("barcode_number")).join(found.drop("barcode_number"), "doc_id", "left").select(*found.columns)
 
 
 def page_tables(page: DataFrame, least: int = 3) -> DataFrame:
