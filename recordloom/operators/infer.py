@@ -6,6 +6,8 @@ inferred at once, and the names are joined back to the cells as rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +15,7 @@ from pyspark.sql.window import Window
 from recordloom.functions import text as X
 from recordloom.functions import validators as V
 from recordloom.operators.segmented import SPAN, segment
+from recordloom.session import written
 
 SHARE, TRIPLE_SHARE, TRIPLE_TOLERANCE = 0.7, 0.7, 0.02
 SHAPES = (("timestamp", V.TIMESTAMP_SHAPE), ("date", V.DATE_SHAPE), ("decimal", V.DECIMAL_SHAPE), ("digits", V.DIGITS_SHAPE), ("alphanumeric", V.CODE_SHAPE), ("alpha", V.ALPHA_SHAPE))
@@ -47,16 +50,41 @@ def sequential(cells: DataFrame, span: int = SPAN) -> DataFrame:
     return s.select("table_id", "col_idx", ok.alias("is_sequential"))
 
 
+def _kind(at: Callable[[str], Column], counting: Column) -> Column:
+    """The type of a column from the shapes that enough of its cells have, and whether they count."""
+    return (
+        F.when(at("timestamp"), "timestamp_like").when(at("date"), "date_like").when(at("decimal"), "decimal_currency")
+        .when(at("digits") & counting, "small_sequential_int").when(at("digits"), "large_numeric_code")
+        .when(at("alphanumeric"), "alphanumeric_code").otherwise("free_text")
+    )
+
+
 def column_types(cells: DataFrame) -> DataFrame:
     """table_id, col_idx, column_type; columns without values are not listed."""
     c = hit_rates(cells).join(sequential(cells), ["table_id", "col_idx"])
     at = lambda n: F.col(f"{n}_rate") >= SHARE
-    kind = (
-        F.when(at("timestamp"), "timestamp_like").when(at("date"), "date_like").when(at("decimal"), "decimal_currency")
-        .when(at("digits") & F.col("is_sequential"), "small_sequential_int").when(at("digits"), "large_numeric_code")
-        .when(at("alphanumeric"), "alphanumeric_code").otherwise("free_text")
+    return c.select("table_id", "col_idx", _kind(at, F.col("is_sequential")).alias("column_type"))
+
+
+def column_facts(cells: DataFrame, span: int = SPAN) -> DataFrame:
+    """A4, A5, A6, A7 at once: (table_id, col_idx, column_type, numeric) of every column that occurs; no type without a filled cell.
+
+    As in `sequential` a column is summed in stretches of `span` rows; shares of shapes and of decimals are counted along, so cells move once.
+    """
+    c = cells.select("table_id", "col_idx", "row_idx", X.strip("text").alias("text")).withColumn("_filled", F.coalesce(F.col("text") != "", F.lit(False)))
+    n = c.withColumn("n", F.when(F.col("text").rlike(r"^[+-]?[0-9]{1,18}\z"), F.col("text").try_cast("bigint"))).withColumn("_part", segment("row_idx", span))
+    by = ["table_id", "col_idx", "_filled"]
+    step = F.col("n") - F.lag("n").over(Window.partitionBy(*by, "_part").orderBy("row_idx"))
+    shapes = {n: F.count_if(F.col("text").rlike(p)).alias(n) for n, p in SHAPES}
+    parts = n.withColumn("step", step).groupBy(*by, "_part").agg(
+        F.count("*").alias("size"), F.count("n").alias("whole"), F.count_if(F.col("step").between(0, 5)).alias("near"), F.min_by("n", "row_idx").alias("first"), F.max_by("n", "row_idx").alias("last"),
+        F.count(X.as_float("text")).alias("floats"), *shapes.values(),
     )
-    return c.select("table_id", "col_idx", kind.alias("column_type"))
+    across = F.col("first") - F.lag("last").over(Window.partitionBy(*by).orderBy("_part"))
+    sums = parts.withColumn("near", F.col("near") + F.coalesce(across.between(0, 5), F.lit(False)).cast("int")).groupBy("table_id", "col_idx")
+    s = sums.agg(*[F.coalesce(F.sum(F.when(F.col("_filled"), F.col(k))), F.lit(0)).alias(k) for k in ("size", "whole", "near", "floats", *shapes)])
+    size, counting = F.nullif("size", F.lit(0)), (F.col("size") == F.col("whole")) & (F.col("size") >= 3) & (F.col("near") >= (F.col("size") - 1) * SHARE)
+    return s.select("table_id", "col_idx", F.when(F.col("size") > 0, _kind(lambda k: F.col(k) / size >= SHARE, counting)).alias("column_type"), F.coalesce(F.col("floats") / size >= 0.5, F.lit(False)).alias("numeric"))
 
 
 def numeric_columns(cells: DataFrame) -> DataFrame:
@@ -72,14 +100,15 @@ def product_matches(x: Column, y: Column, z: Column) -> Column:
     return near(z) | F.exists(F.sequence(F.lit(0), F.lit(9)), lambda d: near(d * F.pow(F.lit(10.0), width) + z))
 
 
-def product_triples(cells: DataFrame) -> DataFrame:
+def product_triples(cells: DataFrame, numeric: DataFrame | None = None) -> DataFrame:
     """table_id, factor_a, factor_b, product: of all triples of numeric columns the one with the best share of matching rows.
 
     Tried are rows where all three parse and the product is not 0, three at least; 70 % must match; ties go to the first
-    triple. A row's cells meet in one list, after columns that are not numeric are out: one shuffle and no join of rows; a row of k numeric
+    triple. numeric: the numeric columns (table_id, col_idx), if they are known. A row's cells meet in one list, after columns that are not numeric are out: one shuffle and no join of rows; a row of k numeric
     columns still makes about k ** 3 / 2 triples, which are counted before they are sent.
     """
-    n = cells.join(numeric_columns(cells).select("table_id", "col_idx"), ["table_id", "col_idx"]).select("table_id", "row_idx", "col_idx", X.as_float("text").alias("v")).where("v is not null")
+    numeric = numeric_columns(cells) if numeric is None else numeric
+    n = cells.join(numeric.select("table_id", "col_idx"), ["table_id", "col_idx"]).select("table_id", "row_idx", "col_idx", X.as_float("text").alias("v")).where("v is not null")
     rows = n.groupBy("table_id", "row_idx").agg(F.collect_list(F.struct("col_idx", "v")).alias("cells"))
     pairs = rows.select("table_id", "cells", F.explode("cells").alias("a")).select("table_id", "cells", "a", F.explode("cells").alias("b")).where("a.col_idx < b.col_idx")
     triples = pairs.select("table_id", "a", "b", F.explode("cells").alias("c")).where("c.col_idx <> a.col_idx and c.col_idx <> b.col_idx and c.v <> 0")
@@ -97,9 +126,9 @@ def classify_columns(cells: DataFrame, captions: DataFrame | None = None) -> Dat
     a column of the product triple where it is none of quantity, rate and amount; then the triple, then the type. If one
     factor has a name of gross_qty and rate and the other has none, the other gets what is left.
     """
-    columns = cells.groupBy("table_id", "col_idx").agg(F.lit(1).alias("_")).drop("_")
-    t = product_triples(cells).drop("share")
-    c = columns.join(column_types(cells), ["table_id", "col_idx"], "left").join(t, "table_id", "left")
+    facts = written(column_facts(cells))
+    t = product_triples(cells, facts.where("numeric")).drop("share")
+    c = facts.drop("numeric").join(t, "table_id", "left")
     if captions is None:
         c = c.withColumn("field", F.lit(None).cast("string"))
     else:
