@@ -67,7 +67,7 @@ def sectioned(page: DataFrame, gap: float = SECTION_GAP) -> DataFrame:
     Sections are numbered as they first occur, those of printed boxes before the others. What no box holds is parted where the gap to the segment before is
     more than three times its usual height.
     """
-    p = page.withColumn("_all", F.transform(F.array_sort(F.transform(pages.phrases(F.col("words"), 1.2), lambda x: F.struct(x["y1"], x["x1"], x["text"], x.alias("p")))), lambda x: x["p"]))
+    p = page.withColumn("_phrases", pages.phrases_at_once(F.col("words"), 1.2)).withColumn("_all", F.transform(F.array_sort(F.transform("_phrases", lambda x: F.struct(x["y1"], x["x1"], x["text"], x.alias("p")))), lambda x: x["p"])).drop("_phrases")
     holds = lambda b, s: ((s["x1"] + s["x2"]) / 2).between(b["x1"], b["x2"]) & ((s["y1"] + s["y2"]) / 2).between(b["y1"], b["y2"])
     p = p.withColumn("_box", F.transform("_all", lambda s: F.array_position(F.transform("boxes", lambda b: holds(b, s)), True)))
     p = p.withColumns({"_order": F.array_distinct(F.filter("_box", lambda x: x > 0)), "_loose": F.filter("_all", lambda s, i: F.get("_box", i) == 0)})
